@@ -96,3 +96,13 @@ def words(text: str) -> list[bytes]:
 
 def to_batch(columns: dict[str, tuple[Iterable, pa.DataType]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in columns.values()], names=list(columns))
+
+
+def stratified(df: DataFrame, stratum: Column, order: Column, most: int) -> DataFrame:
+    """A repeatable sample of about ``most`` rows per value of stratum at most, by the hash of ``order``."""
+    keyed = df.withColumn("_stratum", stratum.cast("string")).where(F.col("_stratum").isNotNull())
+    counts = {r["_stratum"]: r["count"] for r in keyed.groupBy("_stratum").count().collect()}
+    share = F.lit(0.0)
+    for value, n in counts.items():
+        share = F.when(F.col("_stratum") == value, F.lit(min(1.0, most / n))).otherwise(share)
+    return keyed.where(F.pmod(F.xxhash64(order), F.lit(1 << 20)) < share * (1 << 20)).drop("_stratum")
