@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, slices, to_batch, whole_texts
+from .common import prepare, slices, to_batch, whole_texts
 
 #: A space that something other than white space follows always starts a match of the pattern.
 _CUT = re.compile(r" (?=\S)")
@@ -194,7 +194,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     Null text counts as empty and gives no ids. Other columns are ignored.
     """
-    bounded_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path, pattern)
@@ -214,7 +214,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
 def decode(tokens: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """doc_id and text (string) of arrays of ids; bytes that are no UTF-8 become U+FFFD, null ids count as none."""
-    bounded_batches(tokens.sparkSession)
+    prepare(tokens.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path, pattern)
@@ -231,7 +231,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     Null text counts as empty (no tokens). Repeated rows give repeated results; other columns
     are ignored.
     """
-    bounded_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path, pattern)

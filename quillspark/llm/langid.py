@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, crc_mod, slices, stratified, to_batch, whole_texts
+from .common import prepare, crc_mod, slices, stratified, to_batch, whole_texts
 
 _LETTER = re.compile(r"[^\W\d_]")
 WINDOW = 256
@@ -125,7 +125,7 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], size: int = 8, count:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1200, per_text: int = 2) -> Model:
     """Learns from ``per_text`` windows of about ``per_language`` documents of each language at most, none of the held-out quarter."""
-    bounded_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     key = F.col(id_col).cast("long")
     known = docs.select(key.alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("text")).where(F.col("_lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("_id"), 4) != 2))
     sample = stratified(known, F.col("_lang"), F.col("_id"), per_language)
@@ -154,7 +154,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     Ids, sources and given languages never enter a prediction; a null id is predicted like
     any other. An empty table gives no rows.
     """
-    bounded_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept = [docs.schema[c] for c in keep]
 

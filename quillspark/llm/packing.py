@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import tokenizer
-from .common import bounded_batches, materialize, slices, whole_texts
+from .common import prepare, materialize, slices, whole_texts
 
 _COLUMNS = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64()}
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -113,7 +113,7 @@ def pack(docs: DataFrame, path: str, pattern: str, window: int = 1024, open_wind
     change pieces that others have read. Rows with equal or null ids are separate documents.
     An empty table gives no rows; other columns are ignored.
     """
-    bounded_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     end = end_id.to_bytes(4, "little")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, prepare
 
 #: Scaled components beyond this could overflow a long score and are held unrepresentable.
 LARGEST = 1 << 26
@@ -85,6 +85,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     and a repeated query id gets one list. An empty table gives no rows; other columns are
     ignored.
     """
+    prepare(vectors.sparkSession)
     rows = materialize(quantised(vectors, scale, id_col, vector_col), "vectors")
     asked = materialize(quantised(vectors.where(is_query), scale, id_col, vector_col).dropDuplicates(["vec_id"]), "queries")
     row_blocks = max(1, math.ceil(rows.count() / row_block))

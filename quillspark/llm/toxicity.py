@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, crc_mod, slices, stratified, to_batch, whole_texts
+from .common import prepare, crc_mod, slices, stratified, to_batch, whole_texts
 
 _TERM = re.compile(r"\w+")
 #: Hashed terms: a word, and its first four and five letters.
@@ -55,21 +55,9 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(x, -30, 30))))
 
 
-def train(docs: list[np.ndarray], labels: np.ndarray, factors: int = 4, epochs: int = 6, batch: int = 128, rate: float = 0.1, sparse: float = 2e-4, seed: int = 7) -> Model:
-    """Proximal AdaGrad: an L1 penalty on w and a group penalty on the rows of v leave only terms that tell."""
-    m = 1 << BITS
-    model = Model(0.0, np.zeros(m, np.float32), np.zeros((m, factors), np.float32))
-    if not len(docs) or labels.min() == labels.max():
-        model.bias = 0.0 if not len(docs) else float(8 * labels[0] - 4)
-        return model
-    seen = np.bincount(np.concatenate(docs), minlength=m)
-    used = np.nonzero(seen >= (2 if len(docs) < 2000 else 4))[0]
-    where = np.full(m, -1)
-    where[used] = np.arange(len(used))
-    docs = [(x := where[d])[x >= 0] for d in docs]
-    rng = np.random.default_rng(seed)
-    w, v = np.zeros(len(used)), rng.normal(0, 0.02, (len(used), factors))
-    gw, gv, gb, bias = np.full(len(used), 1e-2), np.full(v.shape, 1e-2), 1e-2, float(np.log(labels.mean() / (1 - labels.mean())))
+def _descend(docs: list[np.ndarray], labels: np.ndarray, bias: float, w: np.ndarray, v: np.ndarray, epochs: int, sparse: float, group: float, rng, batch: int = 128, rate: float = 0.1) -> float:
+    """Proximal AdaGrad on w and v in place, with an L1 penalty on w and a group penalty on the rows of v; gives the bias."""
+    gw, gv, gb = np.full(len(w), 1e-2), np.full(v.shape, 1e-2), 1e-2
     heavy = min(3.0, float(np.sqrt((1 - labels.mean()) / labels.mean())))
     for _ in range(epochs):
         order = rng.permutation(len(docs))
@@ -85,26 +73,49 @@ def train(docs: list[np.ndarray], labels: np.ndarray, factors: int = 4, epochs:
             x = bias + np.add.reduceat(w[ids], starts) + 0.5 * ((s * s).sum(1) - np.add.reduceat((vi * vi).sum(1), starts))
             g = (1 / (1 + np.exp(-np.clip(x, -30, 30))) - y) * np.where(y == 1, heavy, 1.0) / len(some)
             gi = g[owner]
-            dw = np.bincount(ids, gi, len(used))
-            dv = np.stack([np.bincount(ids, gi * (s[owner, f] - vi[:, f]), len(used)) for f in range(factors)], 1)
+            dw = np.bincount(ids, gi, len(w))
+            dv = np.stack([np.bincount(ids, gi * (s[owner, f] - vi[:, f]), len(w)) for f in range(v.shape[1])], 1)
             gw += dw * dw
             gv += dv * dv
             gb += g.sum() ** 2
             step = rate / np.sqrt(gw)
             w -= step * dw
-            w = np.sign(w) * np.maximum(np.abs(w) - step * sparse, 0)
+            w[:] = np.sign(w) * np.maximum(np.abs(w) - step * sparse, 0)
             step = rate / np.sqrt(gv)
             v -= step * dv
             norm = np.sqrt((v * v).sum(1, keepdims=True))
-            v *= np.maximum(1 - step.mean(1, keepdims=True) * sparse / np.maximum(norm, 1e-9), 0)
+            v *= np.maximum(1 - step.mean(1, keepdims=True) * group / np.maximum(norm, 1e-9), 0)
             bias -= rate / np.sqrt(gb) * g.sum()
+    return bias
+
+
+def train(docs: list[np.ndarray], labels: np.ndarray, factors: int = 4, sparse: float = 1e-2, group: float = 3e-2, epochs: int = 3, again: int = 12, seed: int = 7) -> Model:
+    """Strong penalties first select the terms that tell alone or in pairs; weights and factors of these are then fitted with weak ones."""
+    m = 1 << BITS
+    model = Model(0.0, np.zeros(m, np.float32), np.zeros((m, factors), np.float32))
+    if not len(docs) or labels.min() == labels.max():
+        model.bias = 0.0 if not len(docs) else float(8 * labels[0] - 4)
+        return model
+    rng = np.random.default_rng(seed)
+    seen = np.bincount(np.concatenate(docs), minlength=m)
+    used = np.nonzero(seen >= (2 if len(docs) < 2000 else 4))[0]
+    bias = float(np.log(labels.mean() / (1 - labels.mean())))
+    for times, least, pair in ((max(epochs, 30_000 // len(docs)), sparse, group), (again, sparse / 20, group / 20)):
+        where = np.full(m, -1)
+        where[used] = np.arange(len(used))
+        known = [(x := where[d])[x >= 0] for d in docs]
+        w, v = np.zeros(len(used)), rng.normal(0, 0.02, (len(used), factors))
+        bias = _descend(known, labels, bias, w, v, min(times, 30), least, pair, rng)
+        kept = (np.abs(w) > 0.05) | (np.abs(v).sum(1) > 0.05)
+        if least == sparse:
+            used = used[kept]
     model.bias, model.w[used], model.v[used] = bias, w, v
     return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", positives: int = 4000, negatives: int = 10_000) -> Model:
     """Learns from labelled documents outside the held-out fifth, about ``positives`` and ``negatives`` of them at most."""
-    bounded_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     key = F.col(id_col).cast("long")
     known = labels.select(key.alias("_id"), F.col(label_col).cast("int").alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & (crc_mod(F.col("_id"), 5) != 0))
     known = known.groupBy("_id").agg(F.max("_y").alias("_y"))
@@ -129,7 +140,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Null text counts as empty; an empty text has the score of the bias alone. A null id is
     scored like any other. Other columns never enter a score. An empty table gives no rows.
     """
-    bounded_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept = [docs.schema[c] for c in keep]
 

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringContains, StringEndsWith, StringStartsWith
+from ..shipping import ship
 
 _PAGE = "urn:quillspark:page:"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -228,6 +229,7 @@ class WarcDataSource(DataSource):
 
 
 def read_archives(spark: SparkSession, path: str, payload: str = "bytes") -> DataFrame:
+    ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
     return spark.read.format("warc").option("payload", payload).load(path)
