@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, line_dedup, packing, topk, toxicity, warc
+from . import bpe, exact_dedup, langid, line_dedup, near_dedup, packing, topk, toxicity, warc
 from .common import read_table, scratch_path
 
 
@@ -39,6 +39,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.fit(docs))
@@ -53,5 +57,5 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_warc, op2_line_dedup, op3_byte_bpe, op4_packing, op5_toxicity, op7_language_id, op9_topk_search, op10_exact_dedup)
+    every = (op1_warc, op2_line_dedup, op3_byte_bpe, op4_packing, op5_toxicity, op6_near_dedup, op7_language_id, op9_topk_search, op10_exact_dedup)
     return {f.__name__: f for f in every}
