@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, line_dedup, near_dedup, packing, topk, toxicity, warc
+from . import bpe, exact_dedup, langid, line_dedup, lm, near_dedup, packing, topk, toxicity, warc
 from .common import read_table, scratch_path
 
 
@@ -48,6 +48,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read_table(spark, sf_dir, "documents"))
+
+
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -57,5 +61,5 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_warc, op2_line_dedup, op3_byte_bpe, op4_packing, op5_toxicity, op6_near_dedup, op7_language_id, op9_topk_search, op10_exact_dedup)
+    every = (op1_warc, op2_line_dedup, op3_byte_bpe, op4_packing, op5_toxicity, op6_near_dedup, op7_language_id, op8_lm_scoring, op9_topk_search, op10_exact_dedup)
     return {f.__name__: f for f in every}
