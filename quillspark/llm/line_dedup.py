@@ -37,7 +37,8 @@ def repeated_lines(docs: DataFrame, min_sites: int, id_col: str, text_col: str,
     spread = materialize(spread, "spread")
     far = spread.where(F.col("sites") > min_sites * NEAR).select("line", "home")
     near = spread.where(F.col("sites") <= min_sites * NEAR).select("line", "home")
-    exact = lines.join(near.select("line"), "line", "left_semi").groupBy("line", "site").agg(F.lit(1).alias("one")).groupBy("line").agg(F.count("site").alias("sites"))
+    sites = lines.groupBy("line", "site").agg(F.lit(1).alias("one"))  # first, so that a line of many rows shrinks before it moves
+    exact = sites.join(near.select("line"), "line", "left_semi").groupBy("line").agg(F.count("site").alias("sites"))
     near = near.join(exact.where(F.col("sites") >= min_sites).select("line"), "line", "left_semi")
     return lines, far.unionByName(near)
 
