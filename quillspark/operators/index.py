@@ -86,7 +86,8 @@ class ChunkIndex:
     def stats(self) -> DataFrame:
         """chunks, word_terms and tri_terms."""
         terms = self.posted.groupBy("field", "term").agg(F.lit(1).alias("one")).agg(F.count_if(F.col("field") == "w").alias("word_terms"), F.count_if(F.col("field") == "t").alias("tri_terms"))
-        return self.lens.agg(F.count("*").alias("chunks")).join(terms)
+        both = self.lens.agg(F.count("*").alias("chunks")).unionByName(terms, allowMissingColumns=True)
+        return both.agg(*[F.max(c).alias(c) for c in ("chunks", "word_terms", "tri_terms")])
 
 
 def vocabulary_df(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -65,7 +65,7 @@ def fused(words: DataFrame, trigrams: DataFrame) -> DataFrame:
 def numeric_boost(scored: DataFrame, contents: DataFrame, queries: DataFrame) -> DataFrame:
     """Adds boosted: score, and NUMERIC_BOOST once if the content holds a grouped numeral of the query."""
     numbers = queries.select("qid", F.filter(text.tokens(text.collapse(F.col("query"))), text.is_thousands).alias("_numbers"))
-    found = scored.join(contents.select(*KEY, "content"), KEY).join(F.broadcast(numbers), "qid")
+    found = scored.join(contents.select(*KEY, "content"), KEY).join(numbers, "qid")
     hit = F.exists("_numbers", lambda x: F.contains("content", x))
     return found.withColumn("boosted", F.col("score") + F.when(hit, NUMERIC_BOOST).otherwise(0.0)).drop("_numbers")
 

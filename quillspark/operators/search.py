@@ -99,7 +99,7 @@ def reranked(found: DataFrame, chunks: DataFrame, queries: DataFrame, settings:
     found = found.withColumn("dense", F.coalesce("dense", F.lit(0.0)))
     asked = queries.select("qid", score.query_trigrams(F.col("query")).alias("_asked"))
     w = settings.rerank_weight
-    out = found.join(chunks.select(*KEY, "content"), KEY).join(F.broadcast(asked), "qid")
+    out = found.join(chunks.select(*KEY, "content"), KEY).join(asked, "qid")
     out = out.withColumn("combined", w * F.col("dense") + (1 - w) * F.col("sparse"))
     out = out.withColumn("finance", score.finance_boost(F.col("content"), settings.financial_boost, terms)).withColumn("overlap", score.trigram_overlap(F.col("content"), F.col("_asked")))
     return out.withColumn("score", F.col("combined") + F.col("finance") + F.col("overlap")).drop("_asked", "content")

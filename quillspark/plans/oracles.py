@@ -201,9 +201,9 @@ _ROLL = """seconds AS (SELECT n.doc_id, n.node_id, n.level, n.parent_id, coalesc
 lower AS (SELECT doc_id, node_id, level, parent_id, content FROM nodes WHERE level = 0 UNION ALL SELECT * FROM seconds),
 rolled AS (SELECT * FROM lower UNION ALL SELECT n.doc_id, n.node_id, n.level, n.parent_id, coalesce((SELECT string_agg(c.content, ' ' ORDER BY c.node_id) FROM lower c WHERE c.doc_id = n.doc_id AND c.parent_id = n.node_id AND c.content <> ''), '') FROM nodes n WHERE n.level = 1)"""
 
-_TRUTH = """t AS (SELECT trim(value) AS v FROM """ + _values([(x,) for x in fixtures.TRUTH], "value") + """),
+_TRUTH = """lines AS (SELECT trim(value) AS v FROM """ + _values([(x,) for x in fixtures.TRUTH], "value") + """),
 truth AS (SELECT regexp_extract(v, '^([0-9]+)', 1)::INT AS qid, trim(regexp_replace(substr(v, 1, strpos(v, '->') - 1), '^[0-9.]+', '')) AS query,
-    list_filter([lower(trim(x)) FOR x IN string_split(substr(v, strpos(v, '->') + 2), ',')], lambda x: x <> '') AS keywords FROM t WHERE strpos(v, '->') > 0)"""
+    list_filter([lower(trim(x)) FOR x IN string_split(substr(v, strpos(v, '->') + 2), ',')], lambda x: x <> '') AS keywords FROM lines WHERE strpos(v, '->') > 0)"""
 _HITS = f"""{_found(10, f'{_TRUTH}, asked AS (SELECT qid, query FROM truth)')},
 blob AS (SELECT qid, lower(string_agg(snippet || ' ' || expanded, ' ' ORDER BY rank)) AS b FROM results GROUP BY qid),
 hits AS (SELECT qid, len(list_filter(keywords, lambda x: contains(coalesce(b, ''), x))) > 0 AS hit FROM truth LEFT JOIN blob USING (qid))"""
@@ -267,7 +267,7 @@ def oracle_sql() -> dict[str, str]:
         "a_candidates": f"{_AC} SELECT qid, rank, doc_id, chunk_no, round(sparse, 6) AS sparse FROM cand",
         "a_combined": f"{_AR} SELECT qid, doc_id, chunk_no, round(combined, 6) AS combined, finance, round(score, 6) AS score FROM scored",
         "fin_boost": f"SELECT doc_id, {_boost('text', fixtures.TERMS)} AS boost, regexp_matches(lower(text), '{'|'.join(FINANCE_TERMS)}') AS has_term FROM documents",
-        "a_trigram_overlap": f"WITH {_ASKED}, {_overlap('documents', 'doc_id', 'text')} SELECT qid, d.doc_id, round(coalesce(2.0 * hit / (m + tot), 0), 6) AS overlap FROM asked, documents d LEFT JOIN overlap o USING (qid, doc_id)",
+        "a_trigram_overlap": f"WITH {_ASKED}, {_overlap('documents', 'doc_id', 'text')} SELECT qid, d.doc_id, round(coalesce(2.0 * hit / (m + tot), 0), 6) AS overlap FROM (SELECT qid, doc_id FROM asked, documents) d LEFT JOIN overlap o USING (qid, doc_id)",
         "a_search": f"""{_AR}, nexts AS (SELECT doc_id, chunk_no, lead(content) OVER (PARTITION BY doc_id ORDER BY chunk_no) AS next FROM chunks),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, round(sparse, 9) DESC, doc_id, chunk_no)::INT AS rank FROM scored)
 SELECT qid, rank, doc_id, chunk_no, round(score, 6) AS score, doc_id::VARCHAR AS source, heading, md5(substr(content, 1, 600)) AS snippet_md5, md5(substr({expanded}, 1, 2000)) AS expanded_md5

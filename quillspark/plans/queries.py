@@ -330,8 +330,8 @@ def fin_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def a_trigram_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grams = asked(spark).select("qid", score.query_trigrams(F.col("query")).alias("g"))
-    both = docs(spark, sf_dir).select("doc_id", "text").join(F.broadcast(grams))
+    each = F.array(*[F.struct(F.lit(i).alias("qid"), score.query_trigrams(F.lit(q)).alias("g")) for i, q in fixtures.QUERIES])
+    both = docs(spark, sf_dir).select("doc_id", "text", F.inline(each))
     return both.select("qid", "doc_id", F.round(score.trigram_overlap(F.col("text"), F.col("g")), 6).alias("overlap"))
 
 
@@ -347,8 +347,8 @@ def a_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def d_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = docs(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    first = vectors.where(F.col("vec_id") == 0).select(F.col("embedding").alias("q"))
-    scored = vectors.join(F.broadcast(first)).select("vec_id", F.round(score.cosine(F.col("embedding"), F.col("q")), 9).alias("s"))
+    first = vectors.where(F.col("vec_id") == 0).first()["embedding"]
+    scored = vectors.select("vec_id", F.round(score.cosine(F.col("embedding"), F.lit(first)), 9).alias("s"))
     return scored.orderBy(F.desc("s"), "vec_id").limit(10).select("vec_id", F.round("s", 6).alias("cosine"))
 
 
