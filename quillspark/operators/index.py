@@ -63,15 +63,18 @@ class ChunkIndex:
         cls(found.drop("lex", "tri"), postings(found, "w").unionByName(postings(found, "t")), lengths(found)).save(root)
         return cls.load(spark, root)
 
-    def save(self, path: str, mode: str = "errorifexists") -> None:
-        """Parquet; postings are parted by field and laid out by term, so that a query reads few row groups."""
-        self.chunks.write.mode(mode).parquet(f"{path}/chunks")
-        self.posted.repartition("field", "term").sortWithinPartitions("field", "term").write.mode(mode).partitionBy("field").parquet(f"{path}/posted")
-        self.lens.write.mode(mode).parquet(f"{path}/lens")
+    def save(self, path: str, mode: str = "errorifexists", part: str = "") -> None:
+        """Parquet; postings are parted by field and laid out by term, so that a query reads few row groups. part is a folder within each table."""
+        self.chunks.write.mode(mode).parquet(f"{path}/chunks/{part}")
+        self.posted.repartition("field", "term").sortWithinPartitions("field", "term").write.mode(mode).partitionBy("field").parquet(f"{path}/posted/{part}")
+        self.lens.write.mode(mode).parquet(f"{path}/lens/{part}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> ChunkIndex:
-        return cls(*[spark.read.parquet(f"{path}/{t}") for t in cls.TABLES])
+        chunks, lens = (spark.read.parquet(f"{path}/{t}") for t in ("chunks", "lens"))
+        # the postings of an index without any have no file to take a schema from
+        schema = f"term string, doc_id {chunks.schema['doc_id'].dataType.simpleString()}, chunk_no int, tf int, field string"
+        return cls(chunks, spark.read.schema(schema).parquet(f"{path}/posted").select("field", "term", *KEY, "tf"), lens)
 
     def add(self, docs: DataFrame, sizes: Chunking = SMALL_CHUNKS, page: int = 0, id_col: str = "doc_id", text_col: str = "text") -> ChunkIndex:
         """This index and further documents; statistics follow from the tables."""

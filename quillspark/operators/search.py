@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -51,6 +52,7 @@ class CosineIndex:
     chunks: DataFrame
     vocab: DataFrame
     vectors: DataFrame
+    TABLES: ClassVar[tuple[str, ...]] = ("chunks", "vocab", "vectors")
 
     @classmethod
     def build(cls, docs: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text", idf_unit: str = "file", path: str | None = None) -> CosineIndex:
@@ -65,9 +67,18 @@ class CosineIndex:
         sparse_vectors(chunks, KEY, "content", vocab).write.parquet(f"{root}/vectors")
         return cls(chunks, vocab, spark.read.parquet(f"{root}/vectors"))
 
+    def save(self, path: str) -> None:
+        for t in self.TABLES:
+            getattr(self, t).write.parquet(f"{path}/{t}")
+
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> CosineIndex:
-        return cls(*[spark.read.parquet(f"{path}/{t}") for t in ("chunks", "vocab", "vectors")])
+        return cls(*[spark.read.parquet(f"{path}/{t}") for t in cls.TABLES])
+
+    def stats(self) -> DataFrame:
+        """chunks and word_terms."""
+        both = self.chunks.agg(F.count("*").alias("chunks")).unionByName(self.vocab.agg(F.count("*").alias("word_terms")), allowMissingColumns=True)
+        return both.agg(F.max("chunks").alias("chunks"), F.max("word_terms").alias("word_terms"))
 
 
 def query_vectors(queries: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -117,4 +128,3 @@ def as_json(results: DataFrame) -> DataFrame:
     """qid and a JSON array of the results in rank order, scores with four decimals."""
     row = F.struct("rank", "doc_id", "chunk_no", F.round("score", 4).alias("score"), "page", "source", "heading", "snippet", "expanded")
     return results.groupBy("qid").agg(F.to_json(F.array_sort(F.collect_list(row))).alias("results"))
-
