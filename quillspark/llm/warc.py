@@ -9,7 +9,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringContains, StringEndsWith, StringStartsWith
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringContains, StringEndsWith, StringStartsWith
+
 from ..shipping import ship
 
 _PAGE = "urn:quillspark:page:"
@@ -129,7 +130,7 @@ class WarcReader(DataSourceReader):
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
-            if isinstance(f, (EqualTo, In, StringStartsWith, StringEndsWith, StringContains)) and len(f.attribute) == 1 and f.attribute[0] in HEADER_COLUMNS:
+            if isinstance(f, (EqualTo, In, IsNotNull, StringStartsWith, StringEndsWith, StringContains)) and len(f.attribute) == 1 and f.attribute[0] in HEADER_COLUMNS:
                 self.filters.append(f)
             else:
                 yield f
@@ -160,6 +161,8 @@ class WarcReader(DataSourceReader):
                 good = value in f.value
             elif isinstance(f, EqualTo):
                 good = value == f.value
+            elif isinstance(f, IsNotNull):
+                good = True
             elif isinstance(f, StringStartsWith):
                 good = value.startswith(f.value)
             elif isinstance(f, StringEndsWith):
