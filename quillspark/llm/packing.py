@@ -5,7 +5,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -18,6 +17,7 @@ _COLUMNS = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "id
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Rows of the first pass also hold the run they came from and, where a window stayed open, their ids.
 _SCHEMA = f"{_PIECE}, run long, ids binary"
+_KINDS = _COLUMNS | {"run": pa.int64(), "ids": pa.binary()}
 
 
 class Packer:
@@ -84,20 +84,27 @@ class Packer:
         return [(d, s, len(ids) // 4, zlib.crc32(ids), total, ids) for _, pieces in self.open for d, s, ids, total in pieces]
 
 
+def _table(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(_KINDS)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS.values(), strict=True)], names=list(_KINDS))
+
+
+def _rows(done: list[tuple], rest: list[tuple], run: int) -> pa.RecordBatch:
+    return _table([(*r, run, None) for r in done] + [(*r[:5], None, None, run, r[5]) for r in rest])
+
+
 def _merger(window: int, open_windows: int, base: int, final: bool):
     """Packs what a group of runs left; the last group of all closes its windows."""
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        group = int(pdf["group"].iloc[0])
+    def merge(table: pa.Table) -> pa.Table:
+        group = table["group"][0].as_py()
         packer = Packer(window, open_windows, base + (group << 32))
-        pdf = pdf.sort_values(["run", "doc_id", "start", "ids_crc32"], na_position="first", kind="stable")
-        for doc_id, start, ids, total in zip(pdf["doc_id"], pdf["start"], pdf["ids"], pdf["doc_tokens"], strict=True):
-            packer.add(None if pd.isna(doc_id) else int(doc_id), int(start), bytes(ids), int(total))
+        pieces = zip(*(table[c].to_pylist() for c in ("run", "doc_id", "start", "ids_crc32", "ids", "doc_tokens")), strict=True)
+        for _, doc_id, start, _, ids, total in sorted(pieces, key=lambda x: (x[0], x[1] is not None, x[1] or 0, x[2], x[3])):
+            packer.add(doc_id, start, ids, total)
         if final:
             packer.close()
-        rows = [(*r, group, None) for r in packer.take()] + [(*r[:5], None, None, group, r[5]) for r in packer.leftovers()]
-        found = pd.DataFrame(rows, columns=[*_COLUMNS, "run", "ids"])
-        return found.astype({k: "Int64" for k in (*_COLUMNS, "run")})
+        return pa.Table.from_batches([_rows(packer.take(), packer.leftovers(), group)])
 
     return merge
 
@@ -120,18 +127,12 @@ def pack(docs: DataFrame, path: str, pattern: str, window: int = 1024, open_wind
         bpe, run = tokenizer(path, pattern), TaskContext.get().partitionId()
         packer = Packer(window, open_windows, run << 32)
 
-        def batch_of(rows: list[tuple], rest: list[tuple] = ()) -> pa.RecordBatch:
-            rows = [(*r, run, None) for r in rows] + [(*r[:5], None, None, run, r[5]) for r in rest]
-            columns = list(zip(*rows, strict=True)) or [()] * 9
-            kinds = [*_COLUMNS.values(), pa.int64(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[*_COLUMNS, "run", "ids"])
-
         for batch in batches:
             for part in slices(batch, "text"):
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), bpe.encode_ranked(whole_texts(part.column("text"))), strict=True):
                     packer.add(doc_id, 0, ids + end, len(ids) // 4 + 1)
-                yield batch_of(packer.take())
-        yield batch_of(packer.take(), packer.leftovers())
+                yield _rows(packer.take(), [], run)
+        yield _rows(packer.take(), packer.leftovers(), run)
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     passed = materialize(source.mapInArrow(first, _SCHEMA), "packed")
@@ -143,7 +144,7 @@ def pack(docs: DataFrame, path: str, pattern: str, window: int = 1024, open_wind
         level, last = level + 1, last // fan_in
         merge = _merger(window, open_windows, level << 56, last == 0)
         grouped = rest.withColumn("group", F.floor(F.col("run") / fan_in)).groupBy("group")
-        merged = materialize(grouped.applyInPandas(merge, _SCHEMA), "merged")
+        merged = materialize(grouped.applyInArrow(merge, _SCHEMA), "merged")
         out = out.unionByName(merged.where(F.col("ids").isNull()).drop("run", "ids"))
         rest = merged.where(F.col("ids").isNotNull())
         if last == 0:
