@@ -9,6 +9,8 @@ from quillspark.llm import langid, line_dedup, near_dedup, packing, toxicity
 from quillspark.llm.common import prepare, read_table, scratch_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Probability of the likeliest language below which a document goes.
+LEAST_CERTAIN = 0.5
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +20,9 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the network has learned; those without a letter go."""
-    return langid.predict(docs, langid.fit(docs), keep=COLUMNS).where(F.col("lang_pred") != langid.UNKNOWN).select(*COLUMNS)
+    """Documents in a language that the network has learned: those without a letter go, and those for which no language is likelier than all others together."""
+    found = langid.predict(docs, langid.fit(docs), keep=COLUMNS)
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_CERTAIN)).select(*COLUMNS)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
