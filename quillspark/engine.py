@@ -56,7 +56,7 @@ class SearchEngine:
             raise RuntimeError("a cosine index is built as a whole")
         docs = self.spark.createDataFrame([(source, text)], "source string, text string")
         more = ChunkIndex.build(docs, page=page, id_col="source")
-        self.index = more if self.index is None else ChunkIndex(*[getattr(self.index, t).unionByName(getattr(more, t)) for t in ChunkIndex.TABLES])
+        self.index = more if self.index is None else self.index.union(more)
         return more.chunks.count()
 
     def save(self, path: str) -> None:

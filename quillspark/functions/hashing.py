@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import spread
 from ..shipping import ship
 
 SEED, PRIME, MASK = 0xCBF29CE484222325, 0x100000001B3, (1 << 64) - 1
@@ -35,6 +36,7 @@ def word_dims(word: str, dim: int) -> tuple[int, ...]:
 def histogram(df: DataFrame, keys: list[str], text_col: str, dim: int) -> DataFrame:
     """The keys, dim and n: how often each dimension is hit by the text's words. Rows without hits are absent."""
     ship(df.sparkSession)
+    df = spread(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,7 +1,8 @@
-"""Normalisation, sentences and overlapping chunks of whole documents, over Arrow batches.
+"""Normalisation, sentences, overlapping chunks and posting lists of whole documents, over Arrow batches.
 
 The fold over sentences depends on what it has emitted before, and Unicode normal forms have
-no built-in, so this is the one step of indexing that runs in Python: one pass per document.
+no built-in, so this step of indexing runs in Python: one pass per document, which also counts
+the terms of the chunks while it holds them. That spares a shuffle of every token.
 """
 
 from __future__ import annotations
@@ -10,15 +11,23 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import Chunking
+from ..config import STOPWORDS, Chunking
+from ..scratch import spread
 from ..shipping import ship
 
 _MARKS = re.compile("[ً-ْٰ]")
 _WHITE = re.compile("[\\s\x1c-\x1f]+")
+_TOKEN = regex.compile(r"[0-9]{1,3}+(?:\.[0-9]{3})++(?:,[0-9]++)?+(?![\p{Alphabetic}\p{N}])|[\p{Alphabetic}\p{N}]++")
+_STOP = frozenset(STOPWORDS)
+#: Terms that one pass gathers before it hands their postings on.
+HELD_TERMS = 2_000_000
 _SENTENCE = re.compile("[^.!?。！？]*[.!?。！？]|[^.!?。！？]+$")
 
 
@@ -77,15 +86,16 @@ def chunk(text: str, sizes: Chunking) -> list[tuple[str, str]]:
     return out
 
 
-def _bounded(df: DataFrame) -> None:
+def _bounded(df: DataFrame) -> DataFrame:
     ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    return spread(df)
 
 
 def chunks(docs: DataFrame, sizes: Chunking, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, chunk_no, heading and content; documents and chunks below the least size give none."""
-    _bounded(docs)
+    docs = _bounded(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,7 +114,7 @@ def chunks(docs: DataFrame, sizes: Chunking, id_col: str = "doc_id", text_col: s
 
 def normalized(docs: DataFrame, form: str = "NFKC", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and text: normalize() for NFKC, the bare Unicode form otherwise."""
-    _bounded(docs)
+    docs = _bounded(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,7 +127,7 @@ def normalized(docs: DataFrame, form: str = "NFKC", id_col: str = "doc_id", text
 
 def pieces(docs: DataFrame, sizes: Chunking | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, no and sentence of the normalised text; with sizes, over-long ones are split."""
-    _bounded(docs)
+    docs = _bounded(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,3 +142,91 @@ def pieces(docs: DataFrame, sizes: Chunking | None = None, id_col: str = "doc_id
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, no int, sentence string")
+
+
+def analyse(content: str) -> tuple[list[str], list[str]]:
+    """lex (words without stopwords, then bigrams) and tri (padded trigrams); as the column expressions say it."""
+    found = _TOKEN.findall(content.lower())
+    base = [w for w in found if w not in _STOP]
+    size = [len(w) > 2 or len(w.encode()) > 2 for w in base]
+    lex = base + [f"{a}_{b}" for a, b, x, y in zip(base, base[1:], size, size[1:], strict=False) if x and y]
+    tri = []
+    for w in found:
+        if len(w) >= 4 and "." not in w:  # only a grouped numeral has a point
+            p = f"#{w}#"
+            tri += [p[i : i + 3] for i in range(len(w))]
+    return lex, tri
+
+
+class _Postings:
+    """Rows of chunks, and for each term of a field the chunks that hold it, as Arrow."""
+
+    def __init__(self, kind: pa.DataType):
+        self.kind = kind
+        self.names = ["doc_id", "chunk_no", "heading", "content", "w_len", "t_len", "field", "term", "block", "postings"]
+        posting = pa.struct([("doc_id", kind), ("chunk_no", pa.int32()), ("tf", pa.int32()), ("len", pa.int32())])
+        self.kinds = [kind, pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.list_(posting)]
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows: list[tuple] = []
+        self.terms: tuple[list[str], list[str]] = [], []
+        self.held = 0
+
+    def add(self, doc_id: object, no: int, heading: str, content: str) -> None:
+        lists = analyse(content)
+        if not any(lists):
+            return
+        self.rows.append((doc_id, no, heading, content, *map(len, lists)))
+        for terms, found in zip(self.terms, lists, strict=True):
+            terms += found
+            self.held += len(found)
+
+    def batch(self, columns: dict[str, pa.Array], n: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(n, k)) for c, k in zip(self.names, self.kinds, strict=True)], names=self.names)
+
+    def take(self, block: int) -> Iterator[pa.RecordBatch]:
+        if not self.rows:
+            return
+        chunks = {c: pa.array(v, k) for c, k, v in zip(self.names, self.kinds, zip(*self.rows, strict=True), strict=False)}
+        yield self.batch(chunks, len(self.rows))
+        for field, terms, length in zip("wt", self.terms, ("w_len", "t_len"), strict=True):
+            coded = pa.array(terms, pa.string()).dictionary_encode()
+            rows, n = len(self.rows), len(coded.dictionary)
+            owner = np.repeat(np.arange(rows), chunks[length].to_numpy())
+            both, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * rows + owner, return_counts=True)
+            code, at = both // rows, pa.array(both % rows)
+            items = pa.StructArray.from_arrays([chunks["doc_id"].take(at), chunks["chunk_no"].take(at), pa.array(tf.astype(np.int32)), chunks[length].take(at)], fields=list(self.kinds[-1].value_type))
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(code, np.arange(n + 1)).astype(np.int32)), items)
+            yield self.batch({"field": pa.array([field] * n, pa.string()), "term": coded.dictionary, "block": pa.array([block] * n, pa.int64()), "postings": lists.cast(self.kinds[-1])}, n)
+        self.clear()
+
+
+def indexed(docs: DataFrame, sizes: Chunking, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of two kinds: chunks (doc_id to t_len) and, with a field and a term, lists of postings (doc_id, chunk_no, tf, len).
+
+    A term has a list in each block of documents; block tells them apart. Chunks without any
+    term are absent.
+    """
+    docs = _bounded(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, block = None, TaskContext.get().partitionId() << 32
+        for batch in batches:
+            held = held or _Postings(batch.schema.field(0).type)
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                whole = normalize(text)
+                if len(whole) * 4 < sizes.least or len(whole.encode("utf-8", "surrogatepass")) < sizes.least:
+                    continue
+                for no, (heading, content) in enumerate(chunk(whole, sizes)):
+                    held.add(doc_id, no, heading, content)
+                if held.held >= HELD_TERMS:
+                    yield from held.take(block)
+                    block += 1
+        if held:
+            yield from held.take(block)
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    posting = f"array<struct<doc_id:{kind},chunk_no:int,tf:int,len:int>>"
+    schema = f"doc_id {kind}, chunk_no int, heading string, content string, w_len int, t_len int, field string, term string, block long, postings {posting}"
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

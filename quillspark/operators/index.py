@@ -24,72 +24,83 @@ def analysed(chunks: DataFrame) -> DataFrame:
     return chunks.select("*", F.inline(F.array(both))).where((F.size("lex") > 0) | (F.size("tri") > 0))
 
 
-def lengths(found: DataFrame) -> DataFrame:
-    """doc_id, chunk_no, w_len and t_len of analysed chunks."""
-    return found.select(*KEY, F.size("lex").alias("w_len"), F.size("tri").alias("t_len"))
-
-
-def postings(found: DataFrame, field: str) -> DataFrame:
-    """field, term, doc_id, chunk_no and tf of analysed chunks; field w for words, t for trigrams."""
-    column = {"w": "lex", "t": "tri"}[field]
-    return found.select(*KEY, F.explode(column).alias("term")).groupBy(*KEY, "term").agg(F.count("*").cast("int").alias("tf")).withColumn("field", F.lit(field)).select("field", "term", *KEY, "tf")
-
-
 def bm25_idf(df: Column, n: Column) -> Column:
     return F.log((n - df + 0.5) / (df + 0.5) + 1)
 
 
-def term_stats(posted: DataFrame, n: int) -> DataFrame:
-    """field, term, df and idf over n chunks."""
-    return posted.groupBy("field", "term").agg(F.count("*").alias("df")).withColumn("idf", bm25_idf(F.col("df"), F.lit(float(n))))
-
-
 @dataclass
 class ChunkIndex:
-    """The BM25 index: three tables, from which statistics are taken anew whenever they are read."""
+    """The BM25 index.
+
+    chunks: doc_id, chunk_no, heading, content, page, w_len, t_len; posted: field, term, postings
+    (doc_id, chunk_no, tf, len); terms: field, term, df; totals: n, w_sum, t_sum. Additions
+    append rows to all four, so df and totals are summed when they are read.
+    """
 
     chunks: DataFrame
     posted: DataFrame
-    lens: DataFrame
-    TABLES: ClassVar[tuple[str, ...]] = ("chunks", "posted", "lens")
+    terms: DataFrame
+    totals: DataFrame
+    TABLES: ClassVar[tuple[str, ...]] = ("chunks", "posted", "terms", "totals")
 
     @classmethod
     def build(cls, docs: DataFrame, sizes: Chunking = SMALL_CHUNKS, page: int = 0, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> ChunkIndex:
-        """Chunks and analyses documents once; the tables are written under path, or to the shared folder."""
+        """Chunks and analyses documents in one pass; the tables are written under path, or to the shared folder."""
         spark = docs.sparkSession
         root = path or scratch_path(spark, "chunk-index")
-        found = analysed(segment.chunks(docs, sizes, id_col, text_col)).withColumn("page", F.lit(page))
-        found = materialize(found, "analysed")
-        cls(found.drop("lex", "tri"), postings(found, "w").unionByName(postings(found, "t")), lengths(found)).save(root)
+        found = materialize(segment.indexed(docs, sizes, id_col, text_col), "indexed")
+        chunks = found.where(F.col("term").isNull()).select(*KEY, "heading", "content", F.lit(page).alias("page"), "w_len", "t_len")
+        posted = found.where(F.col("term").isNotNull()).select("field", "term", "block", "postings")
+        terms = posted.groupBy("field", "term").agg(F.sum(F.size("postings")).alias("df"))
+        totals = chunks.agg(F.count("*").alias("n"), F.coalesce(F.sum("w_len"), F.lit(0)).alias("w_sum"), F.coalesce(F.sum("t_len"), F.lit(0)).alias("t_sum"))
+        cls(chunks, posted, terms, totals).save(root)
         return cls.load(spark, root)
 
     def save(self, path: str, mode: str = "errorifexists", part: str = "") -> None:
-        """Parquet; postings are parted by field and laid out by term, so that a query reads few row groups. part is a folder within each table."""
-        self.chunks.write.mode(mode).parquet(f"{path}/chunks/{part}")
-        self.posted.repartition("field", "term").sortWithinPartitions("field", "term").write.mode(mode).partitionBy("field").parquet(f"{path}/posted/{part}")
-        self.lens.write.mode(mode).parquet(f"{path}/lens/{part}")
+        """Parquet, laid out for lookups: chunks by document, postings and terms by term, so that a search reads few row groups.
+
+        A term of very many postings spreads over several files, as its blocks are dealt apart.
+        part is a folder within each table.
+        """
+        by_term = ["field", "term", *(c for c in self.posted.columns if c == "block")]
+        tables = {
+            "chunks": self.chunks.repartitionByRange(*KEY).sortWithinPartitions(*KEY),
+            "posted": self.posted.repartitionByRange(*by_term).sortWithinPartitions(*by_term),
+            "terms": self.terms.sortWithinPartitions("field", "term"),
+            "totals": self.totals,
+        }
+        for name, table in tables.items():
+            table.write.mode(mode).parquet(f"{path}/{name}/{part}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> ChunkIndex:
-        chunks, lens = (spark.read.parquet(f"{path}/{t}") for t in ("chunks", "lens"))
-        # the postings of an index without any have no file to take a schema from
-        schema = f"term string, doc_id {chunks.schema['doc_id'].dataType.simpleString()}, chunk_no int, tf int, field string"
-        return cls(chunks, spark.read.schema(schema).parquet(f"{path}/posted").select("field", "term", *KEY, "tf"), lens)
+        return cls(*[spark.read.parquet(f"{path}/{t}") for t in cls.TABLES])
 
     def add(self, docs: DataFrame, sizes: Chunking = SMALL_CHUNKS, page: int = 0, id_col: str = "doc_id", text_col: str = "text") -> ChunkIndex:
-        """This index and further documents; statistics follow from the tables."""
-        more = ChunkIndex.build(docs, sizes, page, id_col, text_col)
-        return ChunkIndex(*[getattr(self, t).unionByName(getattr(more, t)) for t in self.TABLES])
+        """This index and further documents."""
+        return self.union(ChunkIndex.build(docs, sizes, page, id_col, text_col))
+
+    def union(self, other: ChunkIndex) -> ChunkIndex:
+        return ChunkIndex(*[getattr(self, t).unionByName(getattr(other, t), allowMissingColumns=True) for t in self.TABLES])
 
     def field_stats(self) -> tuple[int, float, float]:
         """Chunks, and the mean lengths of both fields (1 at least)."""
-        n, w, t = self.lens.agg(F.count("*"), F.avg("w_len"), F.avg("t_len")).first()
-        return n, max(w or 0.0, 1.0), max(t or 0.0, 1.0)
+        rows = self.totals.select("n", "w_sum", "t_sum").collect()  # one for each addition
+        n, w, t = (sum(r[i] for r in rows) for i in range(3))
+        return n, max(w / max(n, 1), 1.0), max(t / max(n, 1), 1.0)
+
+    def document_frequency(self) -> DataFrame:
+        """field, term and df."""
+        return self.terms.groupBy("field", "term").agg(F.sum("df").alias("df"))
+
+    def postings(self) -> DataFrame:
+        """field, term, doc_id, chunk_no, tf and len (the chunk's length in the field), a row for each posting."""
+        return self.posted.select("field", "term", F.inline("postings"))
 
     def stats(self) -> DataFrame:
         """chunks, word_terms and tri_terms."""
-        terms = self.posted.groupBy("field", "term").agg(F.lit(1).alias("one")).agg(F.count_if(F.col("field") == "w").alias("word_terms"), F.count_if(F.col("field") == "t").alias("tri_terms"))
-        both = self.lens.agg(F.count("*").alias("chunks")).unionByName(terms, allowMissingColumns=True)
+        counts = self.document_frequency().agg(F.count_if(F.col("field") == "w").alias("word_terms"), F.count_if(F.col("field") == "t").alias("tri_terms"))
+        both = self.totals.agg(F.sum("n").alias("chunks")).unionByName(counts, allowMissingColumns=True)
         return both.agg(*[F.max(c).alias(c) for c in ("chunks", "word_terms", "tri_terms")])
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,32 +15,54 @@ from ..functions import text
 from .index import KEY, ChunkIndex, bm25_idf
 
 
-def query_frame(spark: SparkSession, queries: Sequence[tuple[int, str]]) -> DataFrame:
-    """qid and query; blank ones go, as they find nothing."""
-    return spark.createDataFrame(list(queries), "qid int, query string").where(F.trim("query") != "")
+#: Up to so many values are pushed into a scan as a list.
+LISTED = 1000
 
 
-def query_terms(queries: DataFrame, field: str) -> DataFrame:
-    """qid, term, qf (occurrences in the query) and nq (distinct terms of it, unknown ones too)."""
-    words = text.tokens(text.collapse(F.col("query")))
-    base = text.without_stopwords(F.col("_words"))
-    terms = F.concat(base, text.bigrams(base)) if field == "w" else text.trigrams(F.col("_words"))
-    found = queries.withColumn("_words", words).select("qid", F.explode(terms).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qf"))
-    return found.withColumn("nq", F.count("*").over(Window.partitionBy("qid")))
+def query_frame(spark: SparkSession, queries: Sequence[tuple[int, str]]) -> DataFrame:
+    """qid and query; blank ones go, as they find nothing. A local relation, whose size the planner knows."""
+    rows = [(i, q) for i, q in queries if q.strip(" ")]
+    columns = {"qid": pa.array([i for i, _ in rows], pa.int32()), "query": pa.array([q for _, q in rows], pa.string())}
+    return spark.createDataFrame(pa.table(columns))
 
 
-def bm25(index: ChunkIndex, queries: DataFrame, field: str) -> DataFrame:
-    """qid, doc_id, chunk_no, raw (sum of contributions), matched (distinct query terms) and nq."""
+def query_terms(queries: DataFrame) -> DataFrame:
+    """qid, field, term, qf (occurrences in the query) and nq (distinct terms of it in the field, unknown ones too)."""
+    base = text.without_stopwords(F.col("_words"))
+    fields = F.array(F.struct(F.lit("w").alias("field"), F.concat(base, text.bigrams(base)).alias("terms")), F.struct(F.lit("t").alias("field"), text.trigrams(F.col("_words")).alias("terms")))
+    found = queries.select("qid", text.tokens(text.collapse(F.col("query"))).alias("_words")).select("qid", F.inline(fields))
+    count = lambda t: F.struct(t.alias("term"), F.size(F.filter("terms", lambda x: x == t)).alias("qf"))  # noqa: E731  queries are short
+    return found.select("qid", "field", F.size(F.array_distinct("terms")).alias("nq"), F.inline(F.transform(F.array_distinct("terms"), count)))
+
+
+def _weighed(index: ChunkIndex, terms: DataFrame, n: int) -> tuple[DataFrame, Column]:
+    """query_terms() with a positive idf, and a condition on terms for scans.
+
+    The terms of a few queries are looked up by a pushed list, and the planner is given the
+    few rows that come of it; those of many are joined.
+    """
+    spark = terms.sparkSession
+    few = terms.limit(LISTED + 1).toArrow()
+    if few.num_rows > LISTED:
+        joined = terms.join(index.document_frequency(), ["field", "term"]).withColumn("idf", bm25_idf(F.col("df"), F.lit(float(n))))
+        return joined.where(F.col("idf") > 0), F.lit(True)
+    listed = F.col("term").isin(sorted(set(few["term"].to_pylist())))
+    df: Counter = Counter()
+    for r in index.terms.where(listed).collect():
+        df[r["field"], r["term"]] += r["df"]
+    rows = [r | {"idf": idf} for r in few.to_pylist() if (k := df[r["field"], r["term"]]) and (idf := math.log((n - k + 0.5) / (k + 0.5) + 1)) > 0]
+    return spark.createDataFrame(pa.Table.from_pylist(rows, schema=few.schema.append(pa.field("idf", pa.float64())))), listed
+
+
+def bm25(index: ChunkIndex, queries: DataFrame, fields: Sequence[str] = ("w", "t")) -> DataFrame:
+    """qid, field, doc_id, chunk_no, raw (sum of contributions), matched (distinct query terms) and nq."""
     n, w_avg, t_avg = index.field_stats()
-    length, avg = ("w_len", w_avg) if field == "w" else ("t_len", t_avg)
-    terms = query_terms(queries, field)
-    hits = index.posted.where(F.col("field") == field).join(terms, "term")
-    df = hits.select("term", *KEY).distinct().groupBy("term").agg(F.count("*").alias("df"))
-    hits = hits.join(df.withColumn("idf", bm25_idf(F.col("df"), F.lit(float(n)))), "term").where(F.col("idf") > 0)
-    hits = hits.join(index.lens.select(*KEY, length), KEY)
-    norm = 1 - BM25_B + BM25_B * F.col(length) / avg
+    asked = F.col("field").isin(*fields)
+    terms, listed = _weighed(index, query_terms(queries).where(asked), n)
+    hits = index.posted.where(listed & asked).join(terms, ["field", "term"]).select("qid", "field", "qf", "nq", "idf", F.inline("postings"))
+    norm = 1 - BM25_B + BM25_B * F.col("len") / F.when(F.col("field") == "w", w_avg).otherwise(t_avg)
     gain = F.col("idf") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * norm) * (1 + 0.1 * (F.col("qf") - 1))
-    return hits.groupBy("qid", *KEY).agg(F.sum(gain).alias("raw"), F.count("*").alias("matched"), F.first("nq").alias("nq"))
+    return hits.groupBy("qid", "field", *KEY).agg(F.sum(gain).alias("raw"), F.count("*").alias("matched"), F.first("nq").alias("nq"))
 
 
 def covered(scored: DataFrame) -> DataFrame:
@@ -46,28 +71,37 @@ def covered(scored: DataFrame) -> DataFrame:
     return scored.withColumn("score", F.col("raw") * (0.4 + 0.6 * F.col("matched") / F.col("nq") + full))
 
 
-def best(scored: DataFrame, k: int, *order: Column) -> DataFrame:
+def best(scored: DataFrame, k: int, *order: Column, by: Sequence[str] = ("qid",)) -> DataFrame:
     """The first k of each query with their rank from 1; ties go to the earlier chunk."""
-    window = Window.partitionBy("qid").orderBy(*order, *KEY)
+    window = Window.partitionBy(*by).orderBy(*order, *KEY)
     return scored.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
 
-def by_score(scored: DataFrame, k: int) -> DataFrame:
-    return best(scored, k, F.desc(F.round("score", 9)))
+def by_score(scored: DataFrame, k: int, by: Sequence[str] = ("qid",)) -> DataFrame:
+    return best(scored, k, F.desc(F.round("score", 9)), by=by)
+
+
+def fused(ranked: DataFrame) -> DataFrame:
+    """qid, doc_id, chunk_no and score: the weighted reciprocal ranks in the lists of both fields."""
+    weight = F.when(F.col("field") == "w", WORD_WEIGHT).otherwise(TRIGRAM_WEIGHT)
+    together = ranked.repartition("qid")  # the sums and the ranks that follow need no further exchange
+    return together.groupBy("qid", *KEY).agg(F.sum(weight / (FUSION_K + F.col("rank"))).alias("score"))
 
 
-def fused(words: DataFrame, trigrams: DataFrame) -> DataFrame:
-    """qid, doc_id, chunk_no and score: weighted reciprocal ranks of both lists."""
-    part = lambda x, w: x.select("qid", *KEY, (F.lit(w) / (FUSION_K + F.col("rank"))).alias("score"))
-    return part(words, WORD_WEIGHT).unionByName(part(trigrams, TRIGRAM_WEIGHT)).groupBy("qid", *KEY).agg(F.sum("score").alias("score"))
+def query_numbers(queries: DataFrame) -> DataFrame:
+    """qid and its grouped numerals, for queries that have any."""
+    numbers = F.filter(text.tokens(text.collapse(F.col("query"))), text.is_thousands)
+    return queries.select("qid", numbers.alias("_numbers")).where(F.size("_numbers") > 0)
 
 
 def numeric_boost(scored: DataFrame, contents: DataFrame, queries: DataFrame) -> DataFrame:
-    """Adds boosted: score, and NUMERIC_BOOST once if the content holds a grouped numeral of the query."""
-    numbers = queries.select("qid", F.filter(text.tokens(text.collapse(F.col("query"))), text.is_thousands).alias("_numbers"))
-    found = scored.join(contents.select(*KEY, "content"), KEY).join(numbers, "qid")
-    hit = F.exists("_numbers", lambda x: F.contains("content", x))
-    return found.withColumn("boosted", F.col("score") + F.when(hit, NUMERIC_BOOST).otherwise(0.0)).drop("_numbers")
+    """Adds boosted: score, and NUMERIC_BOOST once if the content holds a grouped numeral of the query. Contents are read for queries with numerals only."""
+    numbers = query_numbers(queries)
+    if numbers.isEmpty():
+        return scored.withColumn("boosted", F.col("score"))
+    asked = scored.join(numbers, "qid").join(contents.select(*KEY, "content"), KEY)
+    hit = asked.where(F.exists("_numbers", lambda x: F.contains("content", x))).select("qid", *KEY, F.lit(NUMERIC_BOOST).alias("_boost"))
+    return scored.join(hit, ["qid", *KEY], "left").withColumn("boosted", F.col("score") + F.coalesce("_boost", F.lit(0.0))).drop("_boost")
 
 
 def sparse_scores(vectors: DataFrame, query_vectors: DataFrame, keys: list[str] = KEY) -> DataFrame:

@@ -27,20 +27,26 @@ def expanded(content: Column, following: Column, most: int) -> Column:
 
 
 def _results(ranked: DataFrame, chunks: DataFrame, snippet: int, most: int, flat: bool) -> DataFrame:
-    """qid, rank, doc_id, chunk_no, score, page, source, heading, snippet and expanded; payload joins the ranked few only."""
-    need = ranked.select("doc_id").distinct()
-    known = with_next(chunks.join(need, "doc_id", "left_semi"))
+    """qid, rank, doc_id, chunk_no, score, page, source, heading, snippet and expanded.
+
+    The ranked few are found first; where they are few indeed, their documents are looked up
+    by a pushed list.
+    """
+    spark = ranked.sparkSession
+    table = ranked.select("qid", "rank", *KEY, "score").toArrow()
+    found, listed = spark.createDataFrame(table), table["doc_id"].unique().to_pylist()
+    known = chunks.where(F.col("doc_id").isin(listed)) if len(listed) <= score.LISTED else chunks.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
     cut = text.snippet(F.col("content"), snippet) if flat else F.left("content", F.lit(snippet))
     wide = expanded(F.col("content"), F.col("next"), most)
     wide = F.regexp_replace(wide, text.WHITE, " ") if flat else wide
     page = F.col("page") if "page" in chunks.columns else F.lit(0)
-    return ranked.join(known, KEY).select("qid", "rank", *KEY, "score", page.alias("page"), F.col("doc_id").cast("string").alias("source"), "heading", cut.alias("snippet"), wide.alias("expanded"))
+    return found.join(with_next(known), KEY).select("qid", "rank", *KEY, "score", page.alias("page"), F.col("doc_id").cast("string").alias("source"), "heading", cut.alias("snippet"), wide.alias("expanded"))
 
 
 def bm25_search(index: ChunkIndex, queries: DataFrame, k: int = 10) -> DataFrame:
     """Words and trigrams by BM25, 200 each, fused by reciprocal rank, boosted for grouped numerals; the best k (1 at least)."""
-    lists = [score.by_score(score.covered(score.bm25(index, queries, f)), FIELD_CANDIDATES) for f in ("w", "t")]
-    boosted = score.numeric_boost(score.fused(*lists), index.chunks, queries).withColumn("score", F.col("boosted"))
+    lists = score.by_score(score.covered(score.bm25(index, queries)), FIELD_CANDIDATES, by=("qid", "field"))
+    boosted = score.numeric_boost(score.fused(lists), index.chunks, queries).withColumn("score", F.col("boosted"))
     ranked = score.by_score(boosted.select("qid", *KEY, "score"), max(k, 1))
     return _results(ranked, index.chunks, 300, 900, flat=True)
 

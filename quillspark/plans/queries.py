@@ -168,7 +168,7 @@ def built(spark: SparkSession, sf_dir: str) -> index.ChunkIndex:
 
 
 def _postings(spark: SparkSession, sf_dir: str, field: str) -> DataFrame:
-    posted = index.postings(index.analysed(small_chunks(spark, sf_dir)), field)
+    posted = built(spark, sf_dir).postings().where(F.col("field") == field)
     return posted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"), F.max("tf").cast("long").alias("most"))
 
 
@@ -184,21 +184,19 @@ def b_postings_tri(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def b_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = index.analysed(small_chunks(spark, sf_dir))
-    part = lambda c, f: found.select(F.explode(F.array_distinct(c)).alias("term")).groupBy("term").agg(F.count("*").alias("df")).withColumn("field", F.lit(f))
-    return part("lex", "w").unionByName(part("tri", "t")).where(F.col("df") >= 5).select("field", "term", "df")
+    return built(spark, sf_dir).document_frequency().where(F.col("df") >= 5)
 
 
 @query
 def b_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    built_index = built(spark, sf_dir)
-    n = built_index.field_stats()[0]
-    return rounded(index.term_stats(built_index.posted, n).where(F.col("df") >= 5), "idf").select("field", "term", "idf")
+    found = built(spark, sf_dir)
+    idf = index.bm25_idf(F.col("df"), F.lit(float(found.field_stats()[0])))
+    return found.document_frequency().where(F.col("df") >= 5).select("field", "term", F.round(idf, 6).alias("idf"))
 
 
 @query
 def b_doc_len(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(index.lengths(index.analysed(small_chunks(spark, sf_dir))).agg(F.count("*").alias("n"), F.avg("w_len").alias("w_avg"), F.avg("t_len").alias("t_avg")), "w_avg", "t_avg")
+    return rounded(built(spark, sf_dir).chunks.agg(F.count("*").alias("n"), F.avg("w_len").alias("w_avg"), F.avg("t_len").alias("t_avg")), "w_avg", "t_avg")
 
 
 @query
@@ -211,7 +209,7 @@ def b_add_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, then conversations, added to the index; each addition gives its chunks."""
     turns = docs(spark, sf_dir, "conversations").select((-1 - F.col("conv_id") * 1000 - F.col("turn")).alias("doc_id"), "text")
     both = built(spark, sf_dir).add(turns)
-    return both.lens.groupBy(F.when(F.col("doc_id") < 0, "conversations").otherwise("documents").alias("added")).agg(F.count("*").alias("chunks"))
+    return both.chunks.groupBy(F.when(F.col("doc_id") < 0, "conversations").otherwise("documents").alias("added")).agg(F.count("*").alias("chunks"))
 
 
 @query
@@ -224,7 +222,7 @@ def b_roundtrip_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bm25(spark: SparkSession, sf_dir: str, field: str) -> DataFrame:
-    return rounded(score.bm25(built(spark, sf_dir), asked(spark), field), "raw").select("qid", *KEY, "raw", "matched", "nq")
+    return rounded(score.bm25(built(spark, sf_dir), asked(spark), [field]), "raw").select("qid", *KEY, "raw", "matched", "nq")
 
 
 @query
@@ -234,21 +232,20 @@ def b_bm25_word(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def b_bm25_tri(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = score.covered(score.bm25(built(spark, sf_dir), asked(spark), "t"))
+    found = score.covered(score.bm25(built(spark, sf_dir), asked(spark), ["t"]))
     return rounded(score.by_score(found, 50), "score").select("qid", "rank", *KEY, "score")
 
 
 @query
 def b_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = score.covered(score.bm25(built(spark, sf_dir), asked(spark), "w"))
+    found = score.covered(score.bm25(built(spark, sf_dir), asked(spark), ["w"]))
     return rounded(score.by_score(found, 200), "score").select("qid", "rank", *KEY, "score")
 
 
 @query
 def b_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, terms = built(spark, sf_dir), asked(spark)
-    lists = [score.by_score(score.covered(score.bm25(found, terms, f)), 200) for f in ("w", "t")]
-    return rounded(score.fused(*lists), "score").select("qid", *KEY, "score")
+    found = score.covered(score.bm25(built(spark, sf_dir), asked(spark)))
+    return rounded(score.fused(score.by_score(found, 200, by=("qid", "field"))), "score").select("qid", *KEY, "score")
 
 
 @query

@@ -29,3 +29,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     df.write.parquet(path := scratch_path(spark, name))
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: A table below this size mostly stands in one row group, which one task scans.
+SMALL_BYTES = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores if it is too small for its scan to be split; larger tables stay as they are scanned, without a shuffle."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else df
