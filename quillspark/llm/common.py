@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import materialize, scratch_path, spread
 from ..shipping import ship
 
+__all__ = ["materialize", "scratch_path", "spread"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: Words of the contracts: runs of anything but the ASCII white space.
@@ -27,32 +28,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where the cluster names one.
-
-    Only a local session without that setting (tests) gets a temporary folder.
-    """
-    for conf in (spark.conf, spark.sparkContext.getConf()):
-        if found := conf.get("spark.checkpoint.dir", None):
-            return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="quillspark-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: cuts the lineage and fixes what later branches see."""
-    spark = df.sparkSession
-    df.write.parquet(path := scratch_path(spark, name))
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def prepare(spark: SparkSession) -> None:
     """Sends the package to the workers and keeps the Arrow batches small enough for very long texts."""
     ship(spark)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, crc_mod, slices, stratified, to_batch, whole_texts
+from .common import crc_mod, prepare, slices, spread, stratified, to_batch, whole_texts
 
 _LETTER = re.compile(r"[^\W\d_]")
 WINDOW = 256
@@ -167,7 +167,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 yield to_batch(out | {f"_k{i}": (part.column(f"_k{i}"), None) for i in range(len(kept))})
 
     key = F.col(id_col).cast("long")
-    source = docs.select(key.alias("_id"), (crc_mod(key, 4) == 2).alias("_held"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)])
+    source = spread(docs).select(key.alias("_id"), (crc_mod(key, 4) == 2).alias("_held"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)])
     schema = "doc_id long, held_out boolean, lang_pred string, score double" + "".join(f", _k{i} {f.dataType.simpleString()}" for i, f in enumerate(kept))
     found = source.mapInArrow(run, schema)
     return found.select(*([] if keep else ["doc_id"]), *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "held_out", "lang_pred", "score")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import tokenizer
-from .common import prepare, materialize, slices, whole_texts
+from .common import materialize, prepare, slices, spread, whole_texts
 
 _COLUMNS = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64()}
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -134,7 +134,7 @@ def pack(docs: DataFrame, path: str, pattern: str, window: int = 1024, open_wind
                 yield _rows(packer.take(), [], run)
         yield _rows(packer.take(), packer.leftovers(), run)
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    source = spread(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     passed = materialize(source.mapInArrow(first, _SCHEMA), "packed")
     done = passed.where(F.col("ids").isNull())
     rest = passed.where(F.col("ids").isNotNull())
