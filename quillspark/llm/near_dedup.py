@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare, slices, to_batch, whole_texts, words
+from .common import materialize, prepare, slices, spread, to_batch, whole_texts, words
 
 #: 32 bands of 4 coordinates: two sets of similarity 0.8 share no band with probability 5e-8.
 BANDS, ROWS = 32, 4
@@ -292,7 +292,7 @@ def near_dedup(docs: DataFrame, shingle: int = 4, percent: int = 80, id_col: str
     ignored.
     """
     prepare(docs.sparkSession)
-    signed = materialize(_signed(docs, shingle, id_col, text_col), "signed")
+    signed = materialize(_signed(spread(docs), shingle, id_col, text_col), "signed")
     first = F.first(F.struct("n_shingles", "bands", "sketch")).alias("x")
     nodes = materialize(signed.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("rep"), first).select("digest", "rep", "x.*"), "nodes")
 
@@ -322,7 +322,7 @@ def near_dedup(docs: DataFrame, shingle: int = 4, percent: int = 80, id_col: str
     split = share.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "s", "label")).alias("most")).where(F.col("n") > F.col("most.n"))
     chunks = lambda n, s: F.greatest(F.ceil(n / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("long")
     split = split.select("bucket", F.col("most.label").alias("most"), chunks(F.col("n") - F.col("most.n"), F.col("s") - F.col("most.s")).alias("lefts"), chunks(F.col("n"), F.col("s")).alias("rights"))
-    cut = held.join(split, "bucket")
+    cut = held.join(materialize(split, "split"), "bucket")  # beside a written table, a large bucket of held may be split
     at = lambda n: F.pmod(F.xxhash64("digest", "bucket"), F.col(n))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     asked = cut.where(F.col("label") != F.col("most")).withColumn("left", at("lefts")).withColumn("right", each("rights")).withColumn("asked", F.lit(True))
