@@ -17,14 +17,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialize, prepare, slices, to_batch, whole_texts, words
+from .common import crc_mod, materialize, prepare, slices, spread, to_batch, whole_texts, words
 
 #: The end of a text is counted as this token; no word holds white space.
 END = b"\n"
 #: Words that the network tells apart, in classes of so many; all others share one class more.
 CLASS_WORDS, CLASSES = 32, 32
 VOCABULARY = CLASS_WORDS * CLASSES
-#: The commonest words, whose counts every worker has; those of all others are joined.
+#: At most so many of the commonest words have counts that every worker has; those of all others are joined.
 COMMON = 1 << 17
 HIDDEN = 16
 #: Network training reads blocks of so many tokens, one of SHARE of every text, with state carried over windows of WINDOW.
@@ -275,6 +275,24 @@ class Scorer:
         return out / math.log(10)
 
 
+def _common(counts: DataFrame) -> list[tuple[bytes, int]]:
+    """The end, then at most COMMON words with their counts, the commonest first.
+
+    Counts fall into levels, 16 to a doubling; the highest levels are taken as long as their
+    words are not too many in all. Only numbers of words by level and the words taken reach
+    the driver, however many partitions there are.
+    """
+    known = counts.where(F.octet_length("word") <= 256).withColumn("level", F.floor(16 * F.log2("c")))
+    sizes, least, total = known.groupBy("level").agg(F.count("*").alias("n")).collect(), None, 0
+    for level, n in sorted(map(tuple, sizes), reverse=True):
+        if (total := total + n) > COMMON:
+            break
+        least = level
+    found = {} if least is None else {bytes(r["word"]): r["c"] for r in known.where(F.col("level") >= least).collect()}
+    end = (END, found.pop(END, 0))
+    return [end, *sorted(found.items(), key=lambda x: (-x[1], x[0]))]
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each whole text.
 
@@ -294,15 +312,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     prepare(docs.sparkSession)
     spark = docs.sparkSession
     key = F.col(id_col).cast("long")
-    source = docs.select(key.alias("doc_id"), (crc_mod(key, 7) == 2).alias("held_out"), F.col(text_col).alias("text"))
+    source = spread(docs).select(key.alias("doc_id"), (crc_mod(key, 7) == 2).alias("held_out"), F.col(text_col).alias("text"))
 
     gathered = materialize(source.where(~F.col("held_out")).select("text").mapInArrow(_gather, "word binary, n long, block binary"), "gathered")
     counts = materialize(gathered.where(F.col("block").isNull()).groupBy("word").agg(F.sum("n").alias("c")), "counts")
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    common = [(bytes(r["word"]), r["c"]) for r in counts.where(F.octet_length("word") <= 256).orderBy(F.desc("c"), "word").limit(COMMON).collect()]
-    if not any(w == END for w, _ in common):
-        common.insert(0, (END, 0))
-    common.sort(key=lambda x: x[0] != END)  # the end is word 0 of the vocabulary
+    common = _common(counts)
     vocabulary = common[:VOCABULARY]
     inside = sum(c for _, c in vocabulary)
     ids = {w: i for i, (w, _) in enumerate(vocabulary)}
