@@ -23,24 +23,23 @@ def _lines(text: Column) -> Column:
 
 
 def _trimmed(line: Column) -> Column:
-    return F.regexp_replace(line, r"^[ \t\r]+|[ \t\r]+$", "")
+    return F.btrim(line, F.lit(" \t\r"))
 
 
-def repeated_lines(docs: DataFrame, min_sites: int, id_col: str, text_col: str, site_col: str) -> tuple[DataFrame, DataFrame]:
-    """All lines (doc_id, text_hash, pos, line) and, of those on ``min_sites`` distinct sites or more, line and home: the first occurrence."""
+def repeated_lines(docs: DataFrame, min_sites: int, id_col: str, text_col: str, site_col: str) -> DataFrame:
+    """doc_id, text_hash, pos and home (the first occurrence) of every line that stands on ``min_sites`` distinct sites or more."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(site_col).cast("string").alias("site"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    hashed = F.transform(_lines(F.col("text")), lambda x: F.when(_trimmed(x) != "", _line_hash(_trimmed(x))))
+    hashed = F.transform(F.transform(_lines(F.col("text")), _trimmed), lambda x: F.when(x != "", _line_hash(x)))
     lines = source.select("doc_id", "site", F.xxhash64("text").alias("text_hash"), F.posexplode(hashed).alias("pos", "line")).where(F.col("line").isNotNull())
     lines = materialize(lines, "lines")
     spread = lines.groupBy("line").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.min(F.struct("doc_id", "text_hash", "pos")).alias("home"))
     spread = spread.withColumn("sites", F.hll_sketch_estimate("sketch")).drop("sketch").where(F.col("sites") >= min_sites / NEAR)
-    spread = materialize(spread, "spread")
-    far = spread.where(F.col("sites") > min_sites * NEAR).select("line", "home")
-    near = spread.where(F.col("sites") <= min_sites * NEAR).select("line", "home")
-    sites = lines.groupBy("line", "site").agg(F.lit(1).alias("one"))  # first, so that a line of many rows shrinks before it moves
-    exact = sites.join(near.select("line"), "line", "left_semi").groupBy("line").agg(F.count("site").alias("sites"))
-    near = near.join(exact.where(F.col("sites") >= min_sites).select("line"), "line", "left_semi")
-    return lines, far.unionByName(near)
+    found = lines.join(materialize(spread, "spread"), "line")
+    near = found.where(F.col("sites") <= min_sites * NEAR)
+    exact = near.groupBy("line", "site").agg(F.lit(1).alias("one"))  # first, so that a line of many rows shrinks before it moves
+    exact = exact.groupBy("line").agg(F.count("site").alias("sites")).where(F.col("sites") >= min_sites)
+    both = found.where(F.col("sites") > min_sites * NEAR).unionByName(near.join(exact.select("line"), "line", "left_semi"))
+    return both.select("doc_id", "text_hash", "pos", "home")
 
 
 def line_dedup(docs: DataFrame, min_sites: int = 3, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
@@ -55,11 +54,9 @@ def line_dedup(docs: DataFrame, min_sites: int = 3, id_col: str = "doc_id", text
     one (blank) line, and stays null. Rows that repeat both id and text are one document
     here: all keep or lose the same lines. An empty table gives no rows.
     """
-    lines, repeated = repeated_lines(docs, min_sites, id_col, text_col, site_col)
     at = F.struct("doc_id", "text_hash", "pos")
     removed = (
-        lines.select("line", "doc_id", "text_hash", "pos")
-        .join(repeated, "line")
+        repeated_lines(docs, min_sites, id_col, text_col, site_col)
         .where(~at.eqNullSafe(F.col("home")))
         .groupBy("doc_id", "text_hash")
         .agg(F.collect_set("pos").alias("_line_dedup_gone"))
@@ -70,6 +67,6 @@ def line_dedup(docs: DataFrame, min_sites: int = 3, id_col: str = "doc_id", text
     kept = F.array_join(F.filter(_lines(F.col(text_col)), lambda _, i: ~F.array_contains(gone, i)), "\n")
     return joined.select(
         *[F.when(gone.isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")],
-        F.size(_lines(F.col(text_col))).cast("long").alias("n_lines"),
+        (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"))) + 1).cast("long").alias("n_lines"),
         F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"),
     )
