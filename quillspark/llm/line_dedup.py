@@ -34,11 +34,12 @@ def repeated_lines(docs: DataFrame, min_sites: int, id_col: str, text_col: str,
     lines = materialize(lines, "lines")
     spread = lines.groupBy("line").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.min(F.struct("doc_id", "text_hash", "pos")).alias("home"))
     spread = spread.withColumn("sites", F.hll_sketch_estimate("sketch")).drop("sketch").where(F.col("sites") >= min_sites / NEAR)
-    found = lines.join(materialize(spread, "spread"), "line")
+    found = materialize(lines.join(materialize(spread, "spread"), "line"), "shared-lines")
     near = found.where(F.col("sites") <= min_sites * NEAR)
     exact = near.groupBy("line", "site").agg(F.lit(1).alias("one"))  # first, so that a line of many rows shrinks before it moves
     exact = exact.groupBy("line").agg(F.count("site").alias("sites")).where(F.col("sites") >= min_sites)
-    both = found.where(F.col("sites") > min_sites * NEAR).unionByName(near.join(exact.select("line"), "line", "left_semi"))
+    near = near.join(materialize(exact.select("line"), "exact-lines"), "line", "left_semi")
+    both = found.where(F.col("sites") > min_sites * NEAR).unionByName(near)
     return both.select("doc_id", "text_hash", "pos", "home")
 
 
