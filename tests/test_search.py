@@ -66,6 +66,37 @@ def test_fused_search(spark, corpus):
         assert [r["score"] for r in got] == pytest.approx([ranks[k] for k in want])
 
 
+def test_many_blocks_and_many_terms(spark, corpus, monkeypatch):
+    """The same results from lists that come in many blocks, by joins in place of pushed lists, and after an addition."""
+    rows, index = corpus
+    asked = score.query_frame(spark, [(1, "gold revenue in the harbour"), (2, "vessel vessel market")])
+    want = sorted(map(tuple, search.bm25_search(index, asked, 10).collect()))
+    monkeypatch.setattr(segment, "HELD_TERMS", 50)
+    blocks = ChunkIndex.build(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2))
+    assert blocks.posted.select("block").distinct().count() > 1
+    halves = ChunkIndex.build(spark.createDataFrame(rows[:11], "doc_id long, text string")).add(spark.createDataFrame(rows[11:], "doc_id long, text string"))
+    for limit in (score.LISTED, 1):
+        monkeypatch.setattr(score, "LISTED", limit)
+        for found in (index, blocks, halves):
+            got = sorted(map(tuple, search.bm25_search(found, asked, 10).collect()))
+            assert [(*r[:4], round(r[4], 9), *r[5:]) for r in got] == [(*r[:4], round(r[4], 9), *r[5:]) for r in want]
+
+
+def test_a_search_reads_the_lists_of_its_terms(spark, corpus):
+    found = score.bm25(corpus[1], score.query_frame(spark, [(1, "gold nickel")]))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "In(term" in plan and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_small_tables_are_spread(spark, sf_dir):
+    from quillspark.scratch import spread
+
+    small = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert "RoundRobin" in spread(small)._jdf.queryExecution().toString()
+    large = spark.range(10_000_000)
+    assert spread(large) is large
+
+
 def test_least_one_result(spark, corpus):
     assert search.bm25_search(corpus[1], score.query_frame(spark, [(1, "gold")]), 0).count() == 1
 

@@ -75,6 +75,15 @@ def test_tokens_of_documents(spark, sf_dir):
         assert r["w"] == scan(r["text"])
 
 
+def test_one_pass_says_what_the_columns_say(spark, sf_dir):
+    rows = [(t,) for t in CASES] + [(r["text"],) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").limit(40).collect()]
+    words = text.tokens(F.col("t"))
+    base = text.without_stopwords(words)
+    df = spark.createDataFrame(rows, "t string").select("t", F.concat(base, text.bigrams(base)).alias("lex"), text.trigrams(words).alias("tri"))
+    for r in df.collect():
+        assert segment.analyse(r["t"]) == (r["lex"], r["tri"])
+
+
 def test_bigrams_and_trigrams(spark):
     words = ["the", "cat", "at", "home", "again"]
     df = spark.createDataFrame([(words,), ([],), (["solo"],)], "w array<string>")
