@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import ClassVar
 
@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..config import FIELD_CANDIDATES, FINANCE_TERMS, Settings
 from ..functions import segment, text
-from ..scratch import scratch_path
-from . import score
+from ..scratch import materialize, scratch_path
+from . import embed, score
 from .index import KEY, ChunkIndex, sparse_vectors, vocabulary
 
 
@@ -122,10 +122,18 @@ def reranked(found: DataFrame, chunks: DataFrame, queries: DataFrame, settings:
     return out.withColumn("score", F.col("combined") + F.col("finance") + F.col("overlap")).drop("_asked", "content")
 
 
-def cosine_search(index: CosineIndex, queries: DataFrame, k: int = 10, settings: Settings | None = None, terms: Sequence[str] = FINANCE_TERMS, dense: DataFrame | None = None) -> DataFrame:
-    """Candidates by sparse cosine, reranked with dense similarity and boosts; the best k."""
+def cosine_search(index: CosineIndex, queries: DataFrame, k: int = 10, settings: Settings | None = None, terms: Sequence[str] = FINANCE_TERMS, dense: DataFrame | None = None, load: Callable[[], embed.Encoder] | None = None, hashed: bool = False) -> DataFrame:
+    """Candidates by sparse cosine, reranked with dense similarity and boosts; the best k.
+
+    Dense similarity is 0 unless it is given (qid, doc_id, chunk_no, dense), or computed for
+    the candidates by an encoder (load) or from hashed n-grams.
+    """
     settings = settings or Settings()
-    scored = reranked(candidates(index, queries, settings), index.chunks, queries, settings, terms, dense)
+    found = candidates(index, queries, settings)
+    if dense is None and (load is not None or hashed):
+        found = materialize(found, "candidates")
+        dense = embed.dense(found, index.chunks, queries, settings.embedding_dim, load)
+    scored = reranked(found, index.chunks, queries, settings, terms, dense)
     ranked = score.best(scored.drop("rank"), k, F.desc(F.round("score", 9)), F.desc(F.round("sparse", 9))).select("qid", "rank", *KEY, "score")
     return _results(ranked, index.chunks, 600, 2000, flat=False)
 

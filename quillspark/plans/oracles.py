@@ -223,6 +223,12 @@ def oracle_sql() -> dict[str, str]:
     cjk = _values([(w,) for w in fixtures.CJK_WORDS], "word")
     hashed = "(SELECT doc_id, dim, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS weight FROM hist)"
     asked_fnv = _FNV.format(keys="qid", column="query", rows="asked").replace("words", "qwords").replace("codes", "qcodes").replace("grams", "qgrams").replace("dims AS", "qdims AS").replace("JOIN dims", "JOIN qdims").replace("hist", "qhist")
+    top_nodes = f"""{outline}{_nodes()}, {_ROLL}, {_VOCAB}, {_ASKED}, {_vectors('rolled', 'doc_id, node_id', 'content', 'vec')}, {_vectors('asked', 'qid', 'query', 'qvec')},
+s AS (SELECT qid, doc_id, node_id, sum(v.weight * q.weight) AS sparse FROM vec v JOIN qvec q USING (term) GROUP BY ALL HAVING sum(v.weight * q.weight) > 0),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(sparse, 9) DESC, doc_id, node_id) AS k FROM s) WHERE k <= 50)"""
+    node_value = "0.6 * sparse + CASE WHEN regexp_matches(lower(content), 'revenue|pendapatan') THEN 0.3 ELSE 0 END"
+    chunk_fnv = _FNV.format(keys="doc_id * 100000 + chunk_no", column="content", rows="(SELECT doc_id, chunk_no, content FROM chunks JOIN (SELECT DISTINCT doc_id, chunk_no FROM cand) USING (doc_id, chunk_no))")
+    node_fnv = _FNV.format(keys="doc_id * 100000 + node_id", column="content", rows="rolled")
     return {
         "normalize_docs": f"WITH {_SOURCE}, {_NORM} SELECT doc_id, strlen(n)::INT AS n_bytes, md5(n) AS text_md5 FROM norm",
         "tokenize_words": _listed("words", "words_md5"),
@@ -272,6 +278,13 @@ def oracle_sql() -> dict[str, str]:
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, round(sparse, 9) DESC, doc_id, chunk_no)::INT AS rank FROM scored)
 SELECT qid, rank, doc_id, chunk_no, round(score, 6) AS score, doc_id::VARCHAR AS source, heading, md5(substr(content, 1, 600)) AS snippet_md5, md5(substr({expanded}, 1, 2000)) AS expanded_md5
 FROM r JOIN nexts USING (doc_id, chunk_no) WHERE rank <= 10""",
+        "a_search_dense": f"""{_AR}, {chunk_fnv}, {asked_fnv},
+hn AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM hist GROUP BY doc_id), qn AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM qhist GROUP BY doc_id),
+near AS (SELECT q.doc_id AS qid, h.doc_id AS node, sum(h.n * q.n) / (any_value(hn.norm) * any_value(qn.norm)) AS dense
+    FROM hist h JOIN qhist q USING (dim) JOIN hn ON hn.doc_id = h.doc_id JOIN qn ON qn.doc_id = q.doc_id GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(total, 9) DESC, round(sparse, 9) DESC, doc_id, chunk_no)::INT AS rank FROM (
+    SELECT s.*, s.score + 0.6 * coalesce(dense, 0) AS total FROM scored s LEFT JOIN near n ON n.qid = s.qid AND n.node = s.doc_id * 100000 + s.chunk_no))
+SELECT qid, rank, doc_id, chunk_no, round(total, 6) AS score FROM r WHERE rank <= 10""",
         "d_cosine_topk": "SELECT vec_id, round(s, 6) AS cosine FROM (SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS s FROM embeddings a, embeddings b WHERE b.vec_id = 0) ORDER BY s DESC, vec_id LIMIT 10",
         "d_dim_df": "SELECT (dim - 1)::INT AS dim, count(*) AS df FROM (SELECT unnest(embedding) AS v, generate_subscripts(embedding, 1) AS dim FROM embeddings) WHERE v > 0 GROUP BY dim",
         "fnv_gram_hist": f"WITH {_DOC_FNV} SELECT dim, sum(n)::BIGINT AS n, count(*) AS df FROM hist GROUP BY dim",
@@ -284,12 +297,19 @@ SELECT qid, dim, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY qid)), 6) AS
         "tree_parents": f"{outline}{_nodes()} SELECT doc_id, node_id, level, parent_id FROM nodes",
         "tree_nodes": f"{outline}{_nodes()} SELECT doc_id, node_id, level, heading, md5(content) AS content_md5 FROM nodes",
         "tree_rollup": f"{outline}{_nodes()}, {_ROLL} SELECT doc_id, node_id, strlen(content)::INT AS n_bytes, md5(content) AS content_md5 FROM rolled",
-        "tree_search": f"""{outline}{_nodes()}, {_ROLL}, {_VOCAB}, {_ASKED}, {_vectors('rolled', 'doc_id, node_id', 'content', 'vec')}, {_vectors('asked', 'qid', 'query', 'qvec')},
-s AS (SELECT qid, doc_id, node_id, sum(v.weight * q.weight) AS sparse FROM vec v JOIN qvec q USING (term) GROUP BY ALL HAVING sum(v.weight * q.weight) > 0),
-top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(sparse, 9) DESC, doc_id, node_id) AS k FROM s) WHERE k <= 50),
+        "tree_search": f"""{top_nodes},
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id, node_id)::INT AS rank FROM (
-    SELECT qid, doc_id, node_id, content, 0.6 * sparse + CASE WHEN regexp_matches(lower(content), 'revenue|pendapatan') THEN 0.3 ELSE 0 END AS score FROM top JOIN rolled USING (doc_id, node_id)))
+    SELECT qid, doc_id, node_id, content, {node_value} AS score FROM top JOIN rolled USING (doc_id, node_id)))
 SELECT qid, rank, doc_id, node_id, round(score, 6) AS score, md5(substr(content, 1, 300)) AS snippet_md5 FROM r WHERE rank <= 10""",
+        "tree_search_dense": f"""{top_nodes}, {node_fnv}, {asked_fnv}, ddf AS (SELECT dim, count(*) AS df FROM hist GROUP BY dim),
+x AS (SELECT doc_id AS qid, dim, n * ln((k - df + 0.5) / (df + 0.5) + 1) AS raw FROM qhist JOIN ddf USING (dim), (SELECT count(*) AS k FROM rolled)),
+y AS (SELECT qid, dim, raw / sqrt(sum(raw * raw) OVER (PARTITION BY qid)) AS w FROM x),
+h AS (SELECT doc_id AS node, dim, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS w FROM hist),
+near AS (SELECT qid, node, sum(h.w * y.w) AS dense FROM h JOIN y USING (dim) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id, node_id)::INT AS rank FROM (
+    SELECT t.qid, t.doc_id, t.node_id, 0.4 * coalesce(dense, 0) + {node_value} AS score
+    FROM top t JOIN rolled USING (doc_id, node_id) LEFT JOIN near n ON n.qid = t.qid AND n.node = t.doc_id * 100000 + t.node_id))
+SELECT qid, rank, doc_id, node_id, round(score, 6) AS score FROM r WHERE rank <= 10""",
         "tree_flat": f"""WITH RECURSIVE {_SOURCE}, {_nodes(1500)}, {_chunks(SMALL_CHUNKS)}
 SELECT doc_id, chunk_no AS node_id, md5(content) AS content_md5 FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM nodes)""",
         "gt_parse": f"WITH {_TRUTH} SELECT qid, query, array_to_string(keywords, '|') AS keywords FROM truth",

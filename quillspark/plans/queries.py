@@ -338,6 +338,13 @@ def a_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found, "score").select("qid", "rank", *KEY, "score", "source", "heading", F.md5("snippet").alias("snippet_md5"), F.md5("expanded").alias("expanded_md5"))
 
 
+@query
+def a_search_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With hashed n-grams of the candidates as the dense half."""
+    found = search.cosine_search(cosine(spark, sf_dir), asked(spark), 10, SETTINGS, fixtures.TERMS, hashed=True)
+    return rounded(found, "score").select("qid", "rank", *KEY, "score")
+
+
 # --- dense vectors
 
 
@@ -419,7 +426,7 @@ def tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def tree_search_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With hashed n-grams as the dense half; held against a plain restatement in the tests."""
+    """With hashed n-grams as the dense half."""
     nodes = materialize(tree.rolled_up(outline_nodes(spark, sf_dir)), "nodes")
     found = tree.search(nodes, index.vocabulary(docs(spark, sf_dir)), asked(spark), 10, dim=SETTINGS.embedding_dim)
     return rounded(found, "score").select("qid", "rank", "doc_id", "node_id", "score")

@@ -16,8 +16,7 @@ def test_matches_sql(name, spark, sf_dir, same):
 
 
 def test_every_counterpart_has_a_query():
-    assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"tree_search_dense"}
+    assert set(SQL) == set(QUERIES)
     assert set(QUERIES) <= set(__spark_entry__.queries())
     assert set(SQL) <= set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 

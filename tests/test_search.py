@@ -6,6 +6,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -237,3 +238,39 @@ def test_ranking(spark):
     ideal = sum(1 / math.log2(i + 1) for i in (1, 2, 3))
     assert got[1] == pytest.approx((2 / 3, 0.5, (1 / math.log2(3) + 1 / math.log2(4)) / ideal), abs=1e-6)
     assert got[2] == (0, 0, 0)
+
+
+def test_encoders(spark):
+    """A pluggable encoder, cut and padded; one that fails leaves the work to hashed n-grams."""
+    from quillspark.operators import embed
+
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["gold gold silver", "", None, "silver"])], "k int, t string")
+
+    def load():
+        return lambda texts: np.array([[t.count("gold"), t.count("silver")] for t in texts])
+
+    def broken():
+        raise OSError("no model")
+
+    def failing():
+        def encode(texts):
+            raise ValueError("out of memory")
+
+        return encode
+
+    def vectors(how, dim):
+        return {r["k"]: r["embedding"] for r in embed.embedded(rows, ["k"], "t", dim, how).collect()}
+
+    got = vectors(load, 4)
+    assert got[0] == pytest.approx([2 / math.sqrt(5), 1 / math.sqrt(5), 0, 0]) and got[1] == got[2] == [0] * 4 and got[3] == [0, 1, 0, 0]
+    assert vectors(load, 1)[0] == [1.0]
+    plain = vectors(None, 64)
+    assert vectors(broken, 64) == vectors(failing, 64) == plain
+    assert sum(x * x for x in plain[0]) == pytest.approx(1) and plain[1] == [0] * 64
+    hidden, mask = np.arange(12.0).reshape(1, 3, 4), np.array([[1, 1, 0]])
+    assert embed.pooled(hidden, mask).tolist() == [[2, 3, 4, 5]]
+    asked = score.query_frame(spark, [(1, "silver")])
+    chunks = spark.createDataFrame([(7, 0, "gold silver"), (8, 0, "gold")], "doc_id long, chunk_no int, content string")
+    found = chunks.withColumn("qid", F.lit(1))
+    got = {r["doc_id"]: r["dense"] for r in embed.dense(found, chunks, asked, 2, load).collect()}
+    assert got == {7: pytest.approx(1 / math.sqrt(2)), 8: 0.0}
