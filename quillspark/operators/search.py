@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import ClassVar
@@ -13,7 +14,11 @@ from ..config import FIELD_CANDIDATES, FINANCE_TERMS, Settings
 from ..functions import segment, text
 from ..scratch import materialize, scratch_path
 from . import embed, score
-from .index import KEY, ChunkIndex, sparse_vectors, vocabulary
+from .index import KEY, ChunkIndex, lookup_terms, sparse_vectors, vocabulary
+
+
+#: So many chunk keys may be sorted out on their own to find those that a query does not hit.
+FILL = 100_000
 
 
 def with_next(chunks: DataFrame) -> DataFrame:
@@ -65,12 +70,14 @@ class CosineIndex:
         """idf_unit: whether idf counts files (as on a fresh index) or chunks (as after reading one back)."""
         settings, spark = settings or Settings(), docs.sparkSession
         root = path or scratch_path(spark, "cosine-index")
-        segment.chunks(docs, settings.chunking, id_col, text_col).write.parquet(f"{root}/chunks")
+        chunks = materialize(segment.chunks(docs, settings.chunking, id_col, text_col), "chunks")
+        chunks.repartitionByRange(*KEY).sortWithinPartitions(*KEY).write.parquet(f"{root}/chunks")
         chunks = spark.read.parquet(f"{root}/chunks")
         vocab = vocabulary(docs, text_col) if idf_unit == "file" else vocabulary(chunks, "content")
-        vocab.write.parquet(f"{root}/vocab")
+        vocab.sortWithinPartitions("term").write.parquet(f"{root}/vocab")
         vocab = spark.read.parquet(f"{root}/vocab")
-        sparse_vectors(chunks, KEY, "content", vocab).write.parquet(f"{root}/vectors")
+        vectors = materialize(sparse_vectors(chunks, KEY, "content", vocab), "vectors")
+        vectors.repartitionByRange("term", *KEY).sortWithinPartitions("term", *KEY).write.parquet(f"{root}/vectors")  # a search reads its terms only
         return cls(chunks, vocab, spark.read.parquet(f"{root}/vectors"))
 
     def save(self, path: str) -> None:
@@ -87,27 +94,39 @@ class CosineIndex:
         return both.agg(F.max("chunks").alias("chunks"), F.max("word_terms").alias("word_terms"))
 
 
-def query_vectors(queries: DataFrame, vocab: DataFrame) -> DataFrame:
-    return sparse_vectors(queries, ["qid"], "query", vocab)
+def query_vectors(queries: DataFrame, vocab: DataFrame) -> tuple[DataFrame, Column]:
+    """qid, term and weight, and a condition on terms for scans. Terms of a few queries are looked up by a pushed list."""
+    terms = queries.select(F.explode(lookup_terms(F.col("query"))).alias("term")).distinct().limit(score.LISTED + 1).toArrow()["term"].to_pylist()
+    if len(terms) > score.LISTED:
+        return sparse_vectors(queries, ["qid"], "query", vocab), F.lit(True)
+    listed = F.col("term").isin(terms)
+    found = sparse_vectors(queries, ["qid"], "query", vocab.where(listed))
+    return queries.sparkSession.createDataFrame(found.toArrow()), listed
 
 
 def candidates(index: CosineIndex, queries: DataFrame, settings: Settings) -> DataFrame:
-    """qid, doc_id, chunk_no and sparse of the best chunks; those that share no term follow the positive ones with 0.
+    """qid, doc_id, chunk_no, sparse and rank of the best chunks; those that share no term follow the positive ones with 0.
 
     Queries with enough positive chunks need no others. For the rest, chunks are taken in key
     order, as many as the candidates wanted and the chunks that such a query hits at most.
     """
-    most = settings.top_k_candidates
-    hits = score.sparse_scores(index.vectors, query_vectors(queries, index.vocab))
-    counts = queries.select("qid").join(hits.groupBy("qid").agg(F.count("*").alias("n"), F.count_if(F.col("sparse") > 0).alias("up")), "qid", "left")
-    short = counts.where(F.coalesce("up", F.lit(0)) < most)
-    need = short.agg(F.max(F.coalesce("n", F.lit(0)))).first()[0]
-    both = hits.select("qid", *KEY, "sparse")
-    if need is not None:
-        first = index.chunks.select(*KEY).orderBy(*KEY).limit(need + most)
-        filler = first.withColumn("qid", F.explode(F.array(*[F.lit(r["qid"]) for r in short.select("qid").collect()])))
-        both = both.unionByName(filler.join(hits.select("qid", *KEY), ["qid", *KEY], "left_anti").withColumn("sparse", F.lit(0.0)))
-    return score.best(both, most, F.desc(F.round("sparse", 9)))
+    spark, most, order = queries.sparkSession, settings.top_k_candidates, F.desc(F.round("sparse", 9))
+    asked, listed = query_vectors(queries, index.vocab)
+    hits = score.sparse_scores(index.vectors.where(listed), asked).select("qid", *KEY, "sparse")
+    top = score.best(hits.where(F.round("sparse", 9) > 0), most, order).toArrow()  # at most so many a query
+    counts = Counter(top["qid"].to_pylist())
+    short = [q for q in queries.select("qid").toArrow()["qid"].to_pylist() if counts[q] < most]
+    found = spark.createDataFrame(top)
+    if not short:
+        return found
+    few = hits.where(F.col("qid").isin(short))
+    need = few.groupBy("qid").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    first = index.chunks.select(*KEY)
+    if need + most <= FILL:  # else every chunk is looked at, and the ranks keep few of each task
+        first = first.orderBy(*KEY).limit(need + most)
+    filler = first.withColumn("qid", F.explode(F.array(*[F.lit(q) for q in short])))
+    both = few.unionByName(filler.join(few.select("qid", *KEY), ["qid", *KEY], "left_anti").withColumn("sparse", F.lit(0.0)))
+    return found.where(~F.col("qid").isin(short)).unionByName(score.best(both, most, order))
 
 
 def reranked(found: DataFrame, chunks: DataFrame, queries: DataFrame, settings: Settings, terms: Sequence[str] = FINANCE_TERMS, dense: DataFrame | None = None) -> DataFrame:

@@ -305,7 +305,8 @@ def a_sparse_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def a_sparse_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cosine(spark, sf_dir)
-    return rounded(score.sparse_scores(found.vectors, search.query_vectors(asked(spark), found.vocab)), "sparse").select("qid", *KEY, "sparse")
+    vectors, listed = search.query_vectors(asked(spark), found.vocab)
+    return rounded(score.sparse_scores(found.vectors.where(listed), vectors), "sparse").select("qid", *KEY, "sparse")
 
 
 @query

@@ -143,7 +143,9 @@ def test_trigram_overlap(spark, sf_dir):
         assert [r["x"] for r in got] == pytest.approx([overlap(r["text"], query) for r in got])
 
 
-def test_candidates_are_filled_with_unmatched_chunks(spark, corpus):
+@pytest.mark.parametrize("fill", [search.FILL, 0])
+def test_candidates_are_filled_with_unmatched_chunks(spark, corpus, monkeypatch, fill):
+    monkeypatch.setattr(search, "FILL", fill)
     rows, _ = corpus
     index = search.CosineIndex.build(spark.createDataFrame(rows, "doc_id long, text string"), Settings(top_k_candidates=12))
     asked = score.query_frame(spark, [(1, "gold"), (2, "nothingatall")])
