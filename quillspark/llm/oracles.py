@@ -27,6 +27,19 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
 FROM m GROUP BY doc_id
 """
 
+OP6 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+      ELSE [array_to_string(ws[i:i + 3], ' ') FOR i IN range(1, len(ws) - 2)] END) AS g FROM w),
+n AS (SELECT doc_id, len(g)::BIGINT AS n_shingles FROM s),
+e AS (SELECT doc_id, unnest(g) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n_shingles + y.n_shingles - shared)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id AS node, doc_id AS goal FROM n UNION SELECT node, edge.b FROM reach JOIN edge ON edge.a = reach.goal)
+SELECT doc_id, n_shingles, min(goal) AS component_id, doc_id = min(goal) AS kept FROM n JOIN reach ON node = doc_id GROUP BY doc_id, n_shingles
+"""
+
 OP9 = """
 WITH v AS (
   SELECT vec_id, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS q FROM embeddings
@@ -47,4 +60,4 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1, "op2_line_dedup": OP2, "op9_topk_search": OP9, "op10_exact_dedup": OP10}
+    return {"op1_warc": OP1, "op2_line_dedup": OP2, "op6_near_dedup": OP6, "op9_topk_search": OP9, "op10_exact_dedup": OP10}
