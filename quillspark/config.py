@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, fields
 
+# Fixed values, on which results depend: words left out of the lexical field, and terms of the finance boosts.
 STOPWORDS = tuple(
     "berapa siapa apa bagaimana kapan mengapa mana tolong jelaskan sebutkan tunjukkan berikan what how who whom whose which when where why is are do does did the a an "
     "ne kadar kim hangi nedir nasil kac quoi quel quelle est sont qing shenme".split()
@@ -28,7 +29,7 @@ class Chunking:
 
 @dataclass(frozen=True)
 class Settings:
-    """Chunk sizes and weights of the cosine engine; the field names are those of its JSON file."""
+    """Chunk sizes and weights of the cosine engine (fixed values unless a file gives others); the field names are those of its JSON file."""
 
     chunk_chars: int = 4800
     chunk_overlap: int = 400
@@ -60,7 +61,7 @@ class Settings:
         return json.dumps(asdict(self))
 
 
-#: Chunk sizes of the BM25 engine, and its constants.
+# Fixed values, on which results depend: chunk sizes of the BM25 engine, and its constants.
 SMALL_CHUNKS = Chunking(600, 140, 100, 900)
 BM25_K1, BM25_B = 1.2, 0.75
 WORD_WEIGHT, TRIGRAM_WEIGHT, FUSION_K = 0.72, 0.28, 60.0
