@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +13,8 @@ from .common import materialize, prepare
 
 #: Scaled components beyond this could overflow a long score and are held unrepresentable.
 LARGEST = 1 << 26
+#: Queries of a block whose dense score arrays are held at once.
+AT_ONCE = 256
 
 
 def quantised(vectors: DataFrame, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -44,6 +47,21 @@ def _dense(rows: list, dims: int) -> np.ndarray:
     return out
 
 
+def _scores(postings: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Inner products of some queries (weights, a row each) with all rows: each term's posting list meets the queries that have the term."""
+    scores = np.zeros((len(weights), postings.shape[1]), np.int64)
+    for term in range(len(postings)):
+        docs, asked = np.nonzero(postings[term])[0], np.nonzero(weights[:, term])[0]
+        if len(docs) == postings.shape[1]:
+            for a in asked:
+                scores[a] += weights[a, term] * postings[term]
+        elif len(docs):
+            listed = postings[term, docs]
+            for a in asked:
+                scores[a, docs] += weights[a, term] * listed
+    return scores
+
+
 def _search(k: int):
     def search(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or rows.empty:
@@ -52,27 +70,19 @@ def _search(k: int):
         ids, q_ids = rows["vec_id"].to_numpy(np.int64), queries["vec_id"].to_numpy(np.int64)
         dims = max(map(len, [*rows["q"], *queries["q"]]))
         postings, weights = np.ascontiguousarray(_dense(list(rows["q"]), dims).T), _dense(list(queries["q"]), dims)
-        scores = np.zeros((len(q_ids), len(ids)), np.int64)
-        for term in range(dims):  # a term's posting list meets all queries that have the term
-            docs, asked = np.nonzero(postings[term])[0], np.nonzero(weights[:, term])[0]
-            if len(docs) == len(ids):
-                for a in asked:
-                    scores[a] += weights[a, term] * postings[term]
-            elif len(docs):
-                listed = postings[term, docs]
-                for a in asked:
-                    scores[a, docs] += weights[a, term] * listed
         found = []
-        for i, query in enumerate(q_ids):
-            others = ids != query
-            at = _top(scores[i][others], ids[others], k)
-            found.append(pd.DataFrame({"query_id": query, "vec_id": ids[others][at], "score": scores[i][others][at]}))
+        for begin in range(0, len(q_ids), AT_ONCE):
+            scores = _scores(postings, weights[begin : begin + AT_ONCE])
+            for query, own in zip(q_ids[begin : begin + AT_ONCE], scores, strict=True):
+                others = ids != query
+                at = _top(own[others], ids[others], k)
+                found.append(pd.DataFrame({"query_id": query, "vec_id": ids[others][at], "score": own[others][at]}))
         return pd.concat(found)
 
     return search
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = 1024, row_block: int = 8192) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = 8192, row_block: int = 8192) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k highest integer inner products of each query.
 
     Queries are the rows that meet ``is_query``; candidates are all rows but those with the

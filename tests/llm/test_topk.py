@@ -37,6 +37,14 @@ def test_blocks(spark, sparse, blocks):
     assert run(spark, rows, **blocks) == plain(rows, 10)
 
 
+def test_queries_in_slices(spark, monkeypatch):
+    rows = vectors(120, 5, 8, 0.3)
+    monkeypatch.setattr(topk, "AT_ONCE", 3)
+    pairs = topk._search(4)(*(topk.pd.DataFrame({"vec_id": [i for i, _ in x], "q": [[math.floor(1024 * c) for c in v] for _, v in x]}) for x in (rows[::10], rows)))
+    want = [(q, v, s) for q, _, v, s in plain(rows, 4)]
+    assert sorted(map(tuple, pairs.to_numpy().tolist())) == sorted(want)
+
+
 def test_ties_go_to_the_smaller_id(spark):
     rows = [(i, [1.0, 0.5]) for i in range(40)]
     assert run(spark, rows, 5, query_block=2, row_block=6) == plain(rows, 5)
