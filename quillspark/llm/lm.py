@@ -5,7 +5,6 @@ from __future__ import annotations
 import heapq
 import math
 import pickle
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,35 +26,27 @@ VOCABULARY = CLASS_WORDS * CLASSES
 #: At most so many of the commonest words have counts that every worker has; those of all others are joined.
 COMMON = 1 << 17
 HIDDEN = 16
-#: Network training reads blocks of so many tokens, one of SHARE of every text, with state carried over windows of WINDOW.
-BLOCK, WINDOW, SHARE = 64, 32, 16
+#: Network training reads whole texts, TOGETHER side by side, with state carried over windows of so many tokens.
+WINDOW, TOGETHER = 32, 256
 #: Texts scored side by side, and tokens gathered before they are.
 STREAMS, HELD_TOKENS = 512, 4_000_000
 FLUSH_WORDS = 400_000
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words, and the blocks that the network learns from, each after the word before it."""
+    """Counts of words."""
     counted: Counter[bytes] = Counter()
-    blocks: list[bytes] = []
 
     def flush() -> pa.RecordBatch:
-        keys, values, n = list(counted), list(counted.values()), len(blocks)
-        out = to_batch({"word": ([*keys, *[b""] * n], pa.binary()), "n": ([*values, *[0] * n], pa.int64()), "block": ([*[None] * len(keys), *blocks], pa.binary())})
+        out = to_batch({"word": (list(counted), pa.binary()), "n": (list(counted.values()), pa.int64())})
         counted.clear()
-        blocks.clear()
         return out
 
     for batch in batches:
         for part in slices(batch, "text"):
             for text in whole_texts(part.column("text")):
-                found = words(text)
-                found.append(END)
-                counted.update(found)
-                for i in range(0, len(found), BLOCK):
-                    block = b" ".join(found[i : i + BLOCK])
-                    if zlib.crc32(block) % SHARE == 0:
-                        blocks.append((found[i - 1] if i else END) + b" " + block)
+                counted.update(words(text))
+                counted[END] += 1
             if len(counted) > FLUSH_WORDS:
                 yield flush()
     yield flush()
@@ -97,59 +88,74 @@ def fresh(counts: np.ndarray, rest: int, seed: int = 5) -> Network:
     )
 
 
-def _softmax_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp(x - max) and the logarithm of the sum of exp(x)."""
-    top = x.max(1, keepdims=True)
-    e = np.exp(x - top)
-    return e, top[:, 0] + np.log(e.sum(1))
+def _softmax_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """exp(x - max) in place of x, its sums and the logarithms of the sums of exp(x), over the first axis."""
+    top = x.max(0)
+    x -= top
+    np.exp(x, out=x)
+    total = x.sum(0)
+    return x, total, top + np.log(total)
 
 
 def log_probabilities(net: Network, h: np.ndarray, target: np.ndarray, grad: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural logarithm of each target's probability; with grad also adds its gradients there and gives that of h."""
-    rows, kind = np.arange(len(h)), target // CLASS_WORDS
-    x = h @ net.p["c"] + net.p["cb"]
-    e, total = _softmax_of(x)
-    out = x[rows, kind] - total
-    dh = None
-    if grad is not None:
-        d = e / e.sum(1, keepdims=True)
-        d[rows, kind] -= 1
-        grad["c"] += h.T @ d
-        grad["cb"] += d.sum(0)
-        dh = d @ net.p["c"].T
+    kind = (target // CLASS_WORDS).astype(np.int16)
     order = np.argsort(kind, kind="stable")
-    bounds = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+    kind, target, columns = kind[order], target[order], np.arange(len(h))
+    bounds = np.searchsorted(kind, np.arange(CLASSES + 1))
+    h = np.ascontiguousarray(h[order].T)  # a column each, by class: sums over the short axis are then sums of rows
+    x = net.p["c"].T @ h
+    x += net.p["cb"][:, None]
+    given = x[kind, columns]
+    e, total, log = _softmax_of(x)
+    found, dh = given - log, None
+    if grad is not None:
+        e /= total
+        e[kind, columns] -= 1
+        grad["c"] += h @ e.T
+        grad["cb"] += e.sum(1)
+        dh = net.p["c"] @ e
     for k in range(CLASSES):
-        at = order[bounds[k] : bounds[k + 1]]
-        if not len(at):
+        at = slice(bounds[k], bounds[k + 1])
+        if at.start == at.stop:
             continue
-        hk, within = h[at], target[at] - k * CLASS_WORDS
-        x = hk @ net.p["o"][k] + net.p["ob"][k]
-        e, total = _softmax_of(x)
-        out[at] += x[np.arange(len(at)), within] - total
+        hk, within = h[:, at], target[at] - k * CLASS_WORDS
+        own = columns[: len(within)]
+        x = net.p["o"][k].T @ hk
+        x += net.p["ob"][k][:, None]
+        given = x[within, own]
+        e, total, log = _softmax_of(x)
+        found[at] += given - log
         if grad is not None:
-            d = e / e.sum(1, keepdims=True)
-            d[np.arange(len(at)), within] -= 1
-            grad["o"][k] += hk.T @ d
-            grad["ob"][k] += d.sum(0)
-            dh[at] += d @ net.p["o"][k].T
+            e /= total
+            e[within, own] -= 1
+            grad["o"][k] += hk @ e.T
+            grad["ob"][k] += e.sum(1)
+            dh[:, at] += net.p["o"][k] @ e
+    out = np.empty_like(found)
+    out[order] = found
+    if dh is not None:
+        back = np.empty((len(order), len(dh)), dh.dtype)
+        back[order] = dh.T
+        dh = back
     return out, dh
 
 
 def train_blocks(net: Network, blocks: list[np.ndarray], batch: int = 64, rate: float = 0.05, memory: dict[str, np.ndarray] | None = None) -> int:
-    """AdaGrad over blocks of ids (the first is the input before the block); gives the tokens trained on."""
+    """AdaGrad over blocks of ids, however long (the first is the input before the block); gives the tokens trained on."""
     memory = {k: np.full_like(v, 1e-3) for k, v in net.p.items()} if memory is None else memory
     n, trained = HIDDEN, 0
     for at in range(0, len(blocks), batch):
         some = sorted(blocks[at : at + batch], key=len, reverse=True)
-        length = len(some[0]) - 1
-        ids = np.full((length + 1, len(some)), -1, np.int64)
-        for i, b in enumerate(some):
-            ids[: len(b), i] = b
+        length, sizes = len(some[0]) - 1, np.array([len(b) for b in some])
         h = np.zeros((len(some), n), np.float32)
         for begin in range(0, length, WINDOW):  # truncated: gradients end at the window, the state goes on
-            steps = [t for t in range(begin, min(begin + WINDOW, length))]
-            kept, live = [], [int((ids[t + 1] >= 0).sum()) for t in steps]
+            steps = range(min(WINDOW, length - begin))
+            kept, live = [], [int((sizes > begin + t + 1).sum()) for t in steps]
+            ids = np.full((len(steps) + 1, live[0]), -1, np.int64)
+            for i, b in enumerate(some[: live[0]]):
+                own = b[begin : begin + len(steps) + 1]
+                ids[: len(own), i] = own
             for t, m in zip(steps, live, strict=True):
                 h = h[:m]
                 kept.append((h, *net.step(net.p["w"][ids[t, :m]], h)))
@@ -158,20 +164,24 @@ def train_blocks(net: Network, blocks: list[np.ndarray], batch: int = 64, rate:
             target = np.concatenate([ids[t + 1, :m] for t, m in zip(steps, live, strict=True)])
             _, dh_all = log_probabilities(net, np.concatenate([x[1] for x in kept]), target, grad)
             ends = np.cumsum(live)
-            gates, carry = [None] * len(steps), np.zeros((0, n), np.float32)
+            before, _, z, r, c, un = (np.concatenate(x) for x in zip(*kept, strict=True))
+            of_c, of_z, of_r = (1 - z) * (1 - c * c), (before - c) * z * (1 - z), un * r * (1 - r)
+            dg, du, carry = np.empty((len(z), 3 * n), z.dtype), np.empty((len(z), 3 * n), z.dtype), np.zeros((0, n), z.dtype)
             for i in range(len(steps) - 1, -1, -1):
-                before, _, z, r, c, un = kept[i]
-                d = dh_all[ends[i] - live[i] : ends[i]].copy()
+                at_step = slice(ends[i] - live[i], ends[i])
+                d = dh_all[at_step]
                 d[: len(carry)] += carry
-                dc = d * (1 - z) * (1 - c * c)
-                dz = d * (before - c) * z * (1 - z)
-                dr = dc * un * r * (1 - r)
-                gates[i] = np.concatenate([dz, dr, dc], 1)
-                du = np.concatenate([dz, dr, dc * r], 1)
-                grad["u"] += before.T @ du
-                carry = d * z + du @ net.p["u"].T
-            flat, dg = np.concatenate([ids[t, :m] for t, m in zip(steps, live, strict=True)]), np.concatenate(gates)
-            order = np.argsort(flat, kind="stable")
+                dc = d * of_c[at_step]
+                own = du[at_step]
+                own[:, :n] = d * of_z[at_step]
+                own[:, n : 2 * n] = dc * of_r[at_step]
+                own[:, 2 * n :] = dc * r[at_step]
+                dg[at_step, 2 * n :] = dc
+                carry = d * z[at_step] + own @ net.p["u"].T
+            dg[:, : 2 * n] = du[:, : 2 * n]
+            grad["u"] += before.T @ du
+            flat = np.concatenate([ids[t, :m] for t, m in zip(steps, live, strict=True)])
+            order = np.argsort(flat.astype(np.int16), kind="stable")
             used, starts = np.unique(flat[order], return_index=True)
             dw = np.add.reduceat(dg[order], starts) / len(some)
             memory["w"][used] += dw * dw
@@ -193,24 +203,52 @@ def _average(nets: list[tuple[bytes, int]]) -> tuple[bytes, int]:
     return pickle.dumps(out), sum(n for _, n in nets)
 
 
-def train_network(blocks: DataFrame, net: Network, ids: dict[bytes, int], rounds: int = 2, fan_in: int = 32) -> Network:
-    """Every partition trains a copy on its blocks; copies are averaged by tokens, ``fan_in`` at a time, and go into the next round."""
-    context = blocks.sparkSession.sparkContext
-    known = context.broadcast(ids)
+def _encoded(texts: DataFrame, ids: dict[bytes, int]) -> DataFrame:
+    """Each text's ids, 16 bits each, after the end that it begins from."""
+    known = texts.sparkSession.sparkContext.broadcast(ids)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = known.value.get
+        for batch in batches:
+            for part in slices(batch, "text"):
+                found = [[END, *words(text), END] for text in whole_texts(part.column("text"))]
+                coded = [np.fromiter((get(w, VOCABULARY) for w in x), np.uint16, len(x)).tobytes() for x in found]
+                yield to_batch({"ids": (coded, pa.binary())})
+
+    return texts.select("text").mapInArrow(encode, "ids binary")
+
+
+def train_texts(net: Network, texts: Iterator[np.ndarray], rate: float, held_tokens: int = HELD_TOKENS) -> int:
+    """Trains on every token of the texts; gives their number. Texts of like length go side by side, such batches in a mixed order."""
+    memory = {k: np.full_like(v, 1e-3) for k, v in net.p.items()}
+    rng, held, waiting, trained = np.random.default_rng(7), [], 0, 0
+
+    def flush() -> int:
+        held.sort(key=len)
+        n = sum(train_blocks(net, held[at : at + TOGETHER], TOGETHER, rate, memory) for at in TOGETHER * rng.permutation(-(-len(held) // TOGETHER)))
+        held.clear()
+        return n
+
+    for text in texts:
+        held.append(text)
+        waiting += len(text)
+        if waiting >= held_tokens:
+            trained, waiting = trained + flush(), 0
+    return trained + flush()
+
+
+def train_network(texts: DataFrame, net: Network, rounds: int = 2, fan_in: int = 32) -> Network:
+    """Every partition trains a copy on all its texts; copies are averaged by tokens, ``fan_in`` at a time, and go into the next round."""
+    context = texts.sparkSession.sparkContext
     for turn in range(rounds):
         sent = context.broadcast(pickle.dumps(net.p))
 
         def learn(batches: Iterator[pa.RecordBatch], sent=sent, rate=0.05 / (1 + turn)) -> Iterator[pa.RecordBatch]:
-            own, get = Network(pickle.loads(sent.value)), known.value.get
-            trained = 0
-            memory = {k: np.full_like(v, 1e-3) for k, v in own.p.items()}
-            for batch in batches:
-                found = [np.array([get(w, VOCABULARY) for w in b.split(b" ")]) for b in batch.column("block").to_pylist()]
-                trained += train_blocks(own, found, memory=memory, rate=rate)
-            if trained:
+            own = Network(pickle.loads(sent.value))
+            if trained := train_texts(own, (np.frombuffer(x, np.uint16) for batch in batches for x in batch.column("ids").to_pylist()), rate):
                 yield to_batch({"part": ([TaskContext.get().partitionId()], pa.int64()), "net": ([pickle.dumps(own.p)], pa.binary()), "n": ([trained], pa.int64())})
 
-        nets = materialize(blocks.select("block").mapInArrow(learn, "part long, net binary, n long"), "networks")
+        nets = materialize(texts.select("ids").mapInArrow(learn, "part long, net binary, n long"), "networks")
         parts = (nets.agg(F.max("part")).first()[0] or 0) + 1
 
         def average(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -302,8 +340,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     softmax of the state, which starts at zero with a text and is carried to its end. Words
     outside the vocabulary share a class; within it a word has (c + 1) / (tokens + words + 1)
     of all counts there, so every text has a positive probability. The network learns by
-    truncated backpropagation from one of SHARE blocks of every training text, each partition
-    for itself, and the copies are averaged.
+    truncated backpropagation from every token of every training text, its state carried over
+    the text's windows, each partition for itself, and the copies are averaged.
 
     Null text counts as empty (an end alone). Without training texts all counts are 0. A null
     id counts as an empty one for the split. Repeated rows are scored each; other columns are
@@ -314,15 +352,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     key = F.col(id_col).cast("long")
     source = spread(docs).select(key.alias("doc_id"), (crc_mod(key, 7) == 2).alias("held_out"), F.col(text_col).alias("text"))
 
-    gathered = materialize(source.where(~F.col("held_out")).select("text").mapInArrow(_gather, "word binary, n long, block binary"), "gathered")
-    counts = materialize(gathered.where(F.col("block").isNull()).groupBy("word").agg(F.sum("n").alias("c")), "counts")
+    training = source.where(~F.col("held_out")).select("text")
+    counts = materialize(training.mapInArrow(_gather, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")), "counts")
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     common = _common(counts)
     vocabulary = common[:VOCABULARY]
     inside = sum(c for _, c in vocabulary)
     ids = {w: i for i, (w, _) in enumerate(vocabulary)}
     net = fresh(np.array([c for _, c in vocabulary], float), tokens - inside)
-    net = train_network(gathered.where(F.col("block").isNotNull()), net, ids)
+    net = train_network(materialize(_encoded(training, ids), "encoded"), net)
 
     table = {w: (i, c) for i, (w, c) in enumerate(common)}
     sent = spark.sparkContext.broadcast((pickle.dumps(net.p), table))

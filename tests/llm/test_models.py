@@ -251,3 +251,18 @@ def test_averages_weigh_tokens():
     assert n == 3 and pickle.loads(raw)["a"][0] == pytest.approx(3.0)
 
 
+
+
+def test_network_learns_from_every_training_text(spark):
+    """One short text that the hash of an earlier sample left out, in every row: it must be learned all the same."""
+    text = next(t for k in range(99) if zlib.crc32((t := " ".join(f"w{k}x{j % 20}" for j in range(60))).encode() + b" \n") % 16)
+    got = lm.score(frame(spark, [(i, text, None) for i in range(2000)])).where("held_out").first()
+    assert got["score"] > 0.9 * got["base_score"]
+
+
+def test_training_counts_every_token():
+    """Texts of one token and of many windows, held in several parts."""
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(0, lm.VOCABULARY + 1, n + 1).astype(np.uint16) for n in (1, 700, 3, 64, 65, 2000, 9, 1)]
+    for held in (50, 4000):
+        assert lm.train_texts(lm.fresh(np.full(lm.VOCABULARY, 5.0), 9), iter(texts), 0.05, held) == sum(len(t) - 1 for t in texts)
