@@ -327,8 +327,9 @@ def _common(counts: DataFrame) -> list[tuple[bytes, int]]:
             break
         least = level
     found = {} if least is None else {bytes(r["word"]): r["c"] for r in known.where(F.col("level") >= least).collect()}
-    end = (END, found.pop(END, 0))
-    return [end, *sorted(found.items(), key=lambda x: (-x[1], x[0]))]
+    found.pop(END, None)  # it may be of a level that is not taken, but is in the table whatever its count
+    end = counts.where(F.col("word") == F.lit(END)).first()
+    return [(END, end["c"] if end else 0), *sorted(found.items(), key=lambda x: (-x[1], x[0]))]
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -266,3 +266,12 @@ def test_training_counts_every_token():
     texts = [rng.integers(0, lm.VOCABULARY + 1, n + 1).astype(np.uint16) for n in (1, 700, 3, 64, 65, 2000, 9, 1)]
     for held in (50, 4000):
         assert lm.train_texts(lm.fresh(np.full(lm.VOCABULARY, 5.0), 9), iter(texts), 0.05, held) == sum(len(t) - 1 for t in texts)
+
+
+def test_count_of_the_end_beside_many_words_of_its_level(spark, monkeypatch):
+    """One long training text: its words and its end have one occurrence each, too many for the common ones."""
+    monkeypatch.setattr(lm, "COMMON", 20)
+    train = next(i for i in range(100) if remainder(i, 7) != 2)
+    held = next(i for i in range(100) if remainder(i, 7) == 2)
+    rows = [(train, " ".join(f"w{j}" for j in range(100))), (held, "w1 w2 elsewhere")]
+    compare(lm.score(frame(spark, [(*r, None) for r in rows])).collect(), rows)
