@@ -253,6 +253,8 @@ top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY ro
         "b_postings_tri": posted("tri"),
         "b_df": f"{_BT}, {df} SELECT field, term, df FROM df WHERE df >= 5",
         "b_idf": f"{_BT}, {df} SELECT field, term, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM df, (SELECT count(*) AS n FROM tok) WHERE df >= 5",
+        "b_df_all": f"{_BT}, {df} SELECT field, term, df FROM df",
+        "b_idf_all": f"{_BT}, {df} SELECT field, term, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM df, (SELECT count(*) AS n FROM tok)",
         "b_doc_len": f"{_BT} SELECT count(*) AS n, round(avg(len(lex)), 6) AS w_avg, round(avg(len(tri)), 6) AS t_avg FROM tok",
         "b_stats": stats,
         "b_add_counts": f"WITH RECURSIVE {added}, {_chunks(SMALL_CHUNKS)}, {_TOK} SELECT CASE WHEN doc_id < 0 THEN 'conversations' ELSE 'documents' END AS added, count(*) AS chunks FROM tok GROUP BY 1",

@@ -194,6 +194,20 @@ def b_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.document_frequency().where(F.col("df") >= 5).select("field", "term", F.round(idf, 6).alias("idf"))
 
 
+@query
+def b_df_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As b_df, with the terms of 1 to 4 chunks."""
+    return built(spark, sf_dir).document_frequency()
+
+
+@query
+def b_idf_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As b_idf, with the terms of 1 to 4 chunks."""
+    found = built(spark, sf_dir)
+    idf = index.bm25_idf(F.col("df"), F.lit(float(found.field_stats()[0])))
+    return found.document_frequency().select("field", "term", F.round(idf, 6).alias("idf"))
+
+
 @query
 def b_doc_len(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(built(spark, sf_dir).chunks.agg(F.count("*").alias("n"), F.avg("w_len").alias("w_avg"), F.avg("t_len").alias("t_avg")), "w_avg", "t_avg")

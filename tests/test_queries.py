@@ -25,3 +25,11 @@ def test_entry(spark):
     found = __spark_entry__.entry(spark)
     assert found.columns == ["qid", "rank", "doc_id", "chunk_no", "score", "source", "heading", "snippet", "expanded"]
     assert found.count() == 40
+
+
+def test_rare_terms_have_rows(spark, sf_dir):
+    """Document frequencies of every term: those of fewer chunks than b_df begins with, and all of b_df's."""
+    every, common = QUERIES["b_df_all"](spark, sf_dir).cache(), QUERIES["b_df"](spark, sf_dir)
+    assert {r["df"] for r in every.where("df < 5").select("df").distinct().collect()} == {1, 2, 3, 4}
+    assert every.where("df >= 5").exceptAll(common).count() == 0
+    print("rows", every.count(), common.count())
