@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, prepare
 
-#: Scaled components beyond this could overflow a long score and are held unrepresentable.
-LARGEST = 1 << 26
+#: Scaled components and scores are longs, below this in absolute value.
+LIMIT = 1 << 63
 #: Queries of a block whose dense score arrays are held at once.
 AT_ONCE = 256
 
@@ -20,11 +20,11 @@ AT_ONCE = 256
 def quantised(vectors: DataFrame, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id and q (array of long): floor(scale * x) of each component as double.
 
-    Vectors that are null, or hold null, NaN, infinite or unrepresentably large components
-    (beyond LARGEST once scaled), and rows with a null id take no part.
+    Vectors that are null, or hold null, NaN or infinite components, and rows with a null id
+    take no part. A finite component that is no long once scaled is an error.
     """
-    fits = lambda x: F.coalesce(F.abs(x.cast("double") * scale) <= LARGEST, F.lit(False))  # noqa: E731  NaN sorts above all
-    floor = lambda x: F.floor(x.cast("double") * scale)
+    fits = lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False))  # noqa: E731  NaN sorts above all
+    floor = lambda x: F.when(F.abs(x.cast("double") * scale) < float(LIMIT), F.floor(x.cast("double") * scale)).otherwise(F.raise_error(F.lit("a scaled component exceeds 64 bits")).cast("long"))
     good = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.forall(F.col(vector_col), fits))
     return good.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(F.col(vector_col), floor).alias("q"))
 
@@ -62,6 +62,16 @@ def _scores(postings: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return scores
 
 
+def _check_overflow(postings: np.ndarray, weights: np.ndarray, other: np.ndarray) -> None:
+    """Raises if a score of a pair in ``other`` (a row for each query) exceeds a long. Sums wrap around, so a score that fits is right whatever its terms are."""
+    sizes, asked = np.abs(postings.astype(float)), np.abs(weights.astype(float))
+    if sizes.max(initial=0) * asked.max(initial=0) * len(sizes) < LIMIT / 2:
+        return
+    for a, doc in np.argwhere((asked @ sizes >= LIMIT / 2) & other):
+        if not -LIMIT <= sum(int(x) * int(y) for x, y in zip(weights[a], postings[:, doc], strict=True)) < LIMIT:
+            raise OverflowError("an inner product exceeds 64 bits")
+
+
 def _search(k: int):
     def search(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or rows.empty:
@@ -73,6 +83,7 @@ def _search(k: int):
         found = []
         for begin in range(0, len(q_ids), AT_ONCE):
             scores = _scores(postings, weights[begin : begin + AT_ONCE])
+            _check_overflow(postings, weights[begin : begin + AT_ONCE], ids != q_ids[begin : begin + AT_ONCE, None])
             for query, own in zip(q_ids[begin : begin + AT_ONCE], scores, strict=True):
                 others = ids != query
                 at = _top(own[others], ids[others], k)

@@ -64,3 +64,12 @@ def test_few_candidates(spark):
 def test_repeated_ids(spark):
     rows = [(0, [1.0]), (0, [1.0]), (5, [2.0]), (5, [3.0])]
     assert [(q, r, v) for q, r, v, _ in run(spark, rows)] == [(0, 1, 5), (0, 2, 5)]
+
+
+def test_large_components(spark):
+    """Scores that fit 64 bits count, even if a product or a partial sum doesn't; others are errors."""
+    rows = [(0, [300000.0, -2.0]), (10, [1.0, 70000.0]), (1, [200000.5, 1.0]), (2, [-370000.0, 4.0]), (3, [5.0, 9.0]), (20, [4e6, 4e6]), (4, [4e6, -4e6])]
+    assert run(spark, rows) == plain(rows, 10)
+    for beyond in ([(0, [4e6]), (1, [4e6])], [(0, [1e17]), (1, [0.0])]):
+        with pytest.raises(Exception, match="64 bits"):
+            run(spark, beyond)
