@@ -1,20 +1,31 @@
-"""WARC archives: a writer on Spark's text sink and a Python data source that reads headers first."""
+"""WARC archives as a Python data source: a writer of one gzip member per record, and a reader that reads headers first."""
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
+import io
+import uuid
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringContains, StringEndsWith, StringStartsWith
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage
+from pyspark.sql.types import StructType
 
-from ..shipping import ship
+from .common import materialize, prepare
 
 _PAGE = "urn:quillspark:page:"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_BLANKS = dict.fromkeys([*range(0x21), 0x7F], "%20")
+#: Bytes of the head of a gzip member with one extra field of two lengths.
+_HEAD = 24
+#: Archives are read and inflated by pieces of so many bytes.
+_PIECE, _INFLATED = 1 << 14, 1 << 18
+_SHORT = "a record ends before its Content-Length"
 #: Columns that come from headers alone, with the header of each.
 HEADER_COLUMNS = {"warc_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "warc_date": "warc-date", "content_type": "content-type", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
 _SCHEMA = ", ".join(f"{c} string" for c in HEADER_COLUMNS) + ", content_length long, headers map<string,string>, payload_bytes long, payload_sha1 string, payload binary"
@@ -30,56 +41,128 @@ def base32_of_hex(digest: Column) -> Column:
 
 
 def deduplicated(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload, payload_bytes, payload_digest, record_type and refers_to of each page.
+    """page_id, url, payload (null for revisits), payload_bytes, payload_digest, record_type and refers_to of each page.
 
     Of pages with equal payloads (by SHA-256 and length) of at least ``min_bytes`` bytes the
     largest id is the response and the others revisit it; smaller payloads are all responses.
+
+    Digests of the rows are written once, with the scan partition (run) of each. A digest that
+    fills a third of the table is one row per run before it moves, and the response's id goes
+    back to the runs, so no task holds more of one digest than a run has. Payloads move once,
+    dealt by digest and id, to be held against the responses' ids: copies of one payload
+    under many ids never meet.
     """
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
-    key = [F.sha2("payload", 256).alias("key"), F.octet_length("payload").cast("long").alias("payload_bytes")]
-    keyed = source.select("*", *key, base32_of_hex(F.sha1("payload")).alias("payload_digest"))
-    first = source.select("page_id", *key).groupBy("key", "payload_bytes").agg(F.max("page_id").alias("first_id"))
-    revisit = (F.col("payload_bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return keyed.join(first, ["key", "payload_bytes"]).select(
-        "page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to")
+    key, same = ["key", "payload_bytes"], [F.unhex(F.sha2("payload", 256)).alias("key"), F.octet_length("payload").cast("long").alias("payload_bytes")]
+    digest = base32_of_hex(F.sha1("payload")).alias("payload_digest")
+    runs = materialize(source.select("page_id", "url", *same, digest, F.spark_partition_id().alias("run")), "page-digests")
+    leaves = runs.groupBy(*key, "run").agg(F.max("page_id").alias("first_id"))
+    winners = leaves.groupBy(*key).agg(F.max("first_id").alias("first_id"))
+
+    typed = runs.join(leaves.select(*key, "run").join(winners, key), [*key, "run"])
+    revisits = typed.where((F.col("payload_bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_id")))
+    keyed = source.select("*", *same)
+    first = winners.select(F.col("key").alias("k"), F.col("payload_bytes").alias("b"), "first_id")
+    responses = keyed.join(first, (F.col("key") == F.col("k")) & (F.col("payload_bytes") == F.col("b")) & F.col("page_id").eqNullSafe(F.col("first_id")), "left_semi")
+    if min_bytes > 0:
+        responses = responses.where(F.col("payload_bytes") >= min_bytes).unionByName(keyed.where(F.col("payload_bytes") < min_bytes))
+    return responses.select("page_id", "url", "payload", "payload_bytes", digest, F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to")).unionByName(
+        revisits.select("page_id", "url", F.lit(None).cast("string").alias("payload"), "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), F.col("first_id").alias("refers_to"))
     )
 
 
-def write_archives(records: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z") -> None:
-    """Writes the rows of deduplicated() as WARC 1.1 records, gzipped, one archive per partition.
+def gzip_member(data: bytes, level: int = 6) -> bytes:
+    """data as a gzip member that tells its own compressed and plain length in the extra field ``sl``, so that readers can pass over it."""
+    packer = zlib.compressobj(level, zlib.DEFLATED, -15)
+    body = packer.compress(data) + packer.flush()
+    whole = _HEAD + len(body) + 8
+    if max(whole, len(data)) >> 32:
+        raise ValueError("a record exceeds 4 GB")
+    lengths = whole.to_bytes(4, "little") + len(data).to_bytes(4, "little")
+    return b"".join((b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x0c\0sl\x08\0", lengths, body, zlib.crc32(data).to_bytes(4, "little"), len(data).to_bytes(4, "little")))
+
+
+def _record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, kind: str, refers_to: int | None, date: str) -> bytes:
+    """A WARC 1.1 record. White space and control characters in a URL are written as %20; a null URL has no header."""
+    urn = lambda x: f"<{_PAGE}{'' if x is None else x}>"
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {urn(page_id)}", f"WARC-Date: {date}"]
+    if url is not None:
+        head.append("WARC-Target-URI: " + url.translate(_BLANKS))
+    head.append(f"WARC-Payload-Digest: sha1:{digest}")
+    if kind == "revisit":
+        head += [f"WARC-Refers-To: {urn(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+    head += [f"Payload-Length: {size}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + len(payload)}", "\r\n"]
+    return b"".join(("\r\n".join(head).encode("utf-8", "surrogatepass"), http, payload, b"\r\n\r\n"))
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    names: list[str]
 
-    A record is a row of Spark's text sink whose line separator is the end of a record, so
-    it goes to any file system that Spark can write to, and tasks commit or vanish whole.
-    White space and control characters in a URL are written as %20; a null URL has no header.
+
+class WarcWriter(DataSourceArrowWriter):
+    """Every task writes archives of its own under _temporary; those of the tasks that count are moved at the end, the rest vanish."""
+
+    def __init__(self, options: dict):
+        self.path, self.date = options["path"], options.get("date", "1970-01-01T00:00:00Z")
+        self.most, self.level = int(options.get("archivebytes", 1 << 30)), int(options.get("level", 6))
+        self.job = f"_temporary-{uuid.uuid4().hex}"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        system, root = _file_system(self.path)
+        system.create_dir(f"{root}/{self.job}", recursive=True)
+        names, out, size = [], None, 0
+        try:
+            for batch in iterator:
+                payloads = batch.column("payload").cast(pa.large_binary())
+                heads = zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to")), strict=True)
+                for i, (page_id, url, n, digest, kind, refers_to) in enumerate(heads):
+                    member = gzip_member(_record(page_id, url, payloads[i].as_py() or b"", n, digest, kind, refers_to, self.date), self.level)
+                    if out is not None and size + len(member) > self.most:
+                        out.close()
+                        out = None
+                    if out is None:
+                        names.append(f"{uuid.uuid4().hex}.warc.gz")
+                        out, size = system.open_output_stream(f"{root}/{self.job}/{names[-1]}", compression=None), 0
+                    out.write(member)
+                    size += len(member)
+        finally:
+            if out is not None:
+                out.close()
+        return Written(names)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        system, root = _file_system(self.path)
+        for name in (n for m in messages if m for n in m.names):
+            system.move(f"{root}/{self.job}/{name}", f"{root}/{name}")
+        self.abort(messages)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        from pyarrow import fs
+
+        system, root = _file_system(self.path)
+        if system.get_file_info(f"{root}/{self.job}").type == fs.FileType.Directory:
+            system.delete_dir(f"{root}/{self.job}")
+
+
+def write_archives(records: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", archive_bytes: int = 1 << 30, level: int = 6) -> None:
+    """Adds the rows of deduplicated() to path as WARC 1.1 records, a gzip member each, in archives of ``archive_bytes`` at most (of one record at least).
+
+    A task that is run again writes new files; only files of tasks that count are kept.
     """
-    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-    urn = lambda c: F.concat(F.lit(f"<{_PAGE}"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
-    url = F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")
-    revisit = F.col("record_type") == "revisit"
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit("\r\n\r\n"))
-    block_bytes = F.octet_length(http) + F.when(revisit, 0).otherwise(F.col("payload_bytes"))
-    head = [
-        F.lit("WARC/1.1\r\n"),
-        line("WARC-Type", F.col("record_type")),
-        line("WARC-Record-ID", urn(F.col("page_id"))),
-        line("WARC-Date", F.lit(date)),
-        F.coalesce(line("WARC-Target-URI", url), F.lit("")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
-        F.when(revisit, F.concat(line("WARC-Refers-To", urn(F.col("refers_to"))), line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))).otherwise(""),
-        line("Payload-Length", F.col("payload_bytes").cast("string")),
-        line("Content-Type", F.lit("application/http; msgtype=response")),
-        line("Content-Length", block_bytes.cast("string")),
-        F.lit("\r\n"),
-        http,
-        F.when(revisit, "").otherwise(F.col("payload")),
-    ]
-    records.select(F.concat(*head).alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    spark = records.sparkSession
+    prepare(spark)
+    spark.dataSource.register(WarcDataSource)
+    records.write.format("warc").mode("append").option("date", date).option("archiveBytes", str(archive_bytes)).option("level", str(level)).save(path)
 
 
 class Files(InputPartition):
-    def __init__(self, paths: list[str]):
-        super().__init__(paths)
+    """Archives by (path, begin, end, size): a reader takes the members that begin in that range; end is None for all."""
+
+    def __init__(self, ranges: list[tuple[str, int, int | None, int]]):
+        super().__init__(ranges)
 
 
 def _file_system(path: str):
@@ -88,11 +171,117 @@ def _file_system(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
 
 
-def _exactly(stream, n: int) -> bytes:
-    data = stream.read(n)
-    if len(data) != n:
-        raise ValueError("a record ends before its Content-Length")
-    return data
+class _Plain:
+    """The bytes of a plain archive."""
+
+    def __init__(self, raw):
+        self.stream = io.BufferedReader(raw, 1 << 20)
+        self.readline = self.stream.readline
+
+    def read(self, n: int) -> bytes:
+        return self.stream.read(n)
+
+    def skip(self, n: int) -> None:
+        self.stream.seek(n, 1)
+
+
+def _lengths(raw, at: int) -> tuple[int, int] | None:
+    """Compressed and plain length of the gzip member at this place, if its extra field ``sl`` tells them."""
+    raw.seek(at)
+    head = raw.read(_HEAD)
+    if len(head) < _HEAD or head[:3] != b"\x1f\x8b\x08" or not head[3] & 4:
+        return None
+    n = int.from_bytes(head[10:12], "little")
+    extra = head[12 : 12 + n] + (raw.read(n - _HEAD + 12) if n > _HEAD - 12 else b"")
+    while len(extra) >= 4:
+        size = int.from_bytes(extra[2:4], "little")
+        if extra[:2] == b"sl" and size == 8 and len(extra) >= 12:
+            found = int.from_bytes(extra[4:8], "little"), int.from_bytes(extra[8:12], "little")
+            return found if found[0] >= _HEAD else None
+        extra = extra[4 + size :]
+    return None
+
+
+def _between(raw, size: int, begin: int, end: int) -> tuple[int, int] | None:
+    """The first member that begins in a range, and the first beyond it, by the members' own lengths; None unless these lead from the archive's start to its end."""
+    at, first, stop = 0, size, size
+    while at < size:
+        if at >= begin:
+            first = min(first, at)
+        if at >= end:
+            stop = min(stop, at)
+        if (found := _lengths(raw, at)) is None:
+            return None
+        at += found[0]
+    return (first, stop) if at == size else None
+
+
+class _Gzip:
+    """The plain bytes of gzip members from one place to another, inflated piece by piece; members that tell their length are passed over without that."""
+
+    def __init__(self, raw, at: int, end: int):
+        self.raw, self.at, self.end = raw, at, end  # at: where the next member begins, once one is over
+        self.buffer, self.place = b"", 0
+        self.unpacker, self.rest, self.left, self.next = None, b"", None, at
+
+    def _fill(self) -> bool:
+        """More plain bytes; False at the end."""
+        while True:
+            if self.unpacker is None:
+                if self.at >= self.end:
+                    return False
+                lengths = _lengths(self.raw, self.at)
+                self.left, self.next = (lengths[1], self.at + lengths[0]) if lengths else (None, None)
+                self.raw.seek(self.at)
+                self.unpacker, self.rest = zlib.decompressobj(31), b""
+            packed = self.rest or self.raw.read(_PIECE)
+            if not packed:
+                raise ValueError("a gzip member ends before its end")
+            more = self.unpacker.decompress(packed, _INFLATED)
+            self.rest = self.unpacker.unconsumed_tail
+            if self.unpacker.eof:
+                self.at = self.raw.tell() - len(self.unpacker.unused_data)
+                self.unpacker = None
+            if self.left is not None:
+                self.left -= len(more)
+            if more:
+                self.buffer, self.place = self.buffer[self.place :] + more, 0
+                return True
+
+    def read(self, n: int) -> bytes:
+        """n bytes, fewer at the end."""
+        out, wanted = [], n
+        while wanted and (self.place < len(self.buffer) or self._fill()):
+            out.append(self.buffer[self.place : self.place + wanted])
+            self.place += len(out[-1])
+            wanted -= len(out[-1])
+        return b"".join(out)
+
+    def readline(self) -> bytes:
+        scanned = self.place
+        while (at := self.buffer.find(b"\n", scanned)) < 0:
+            unread = len(self.buffer) - self.place
+            if not self._fill():
+                at = len(self.buffer) - 1
+                break
+            scanned = unread
+        line = self.buffer[self.place : at + 1]
+        self.place = at + 1
+        return line
+
+    def skip(self, n: int) -> None:
+        while n > 0:
+            here = len(self.buffer) - self.place
+            if here >= n:
+                self.place += n
+                return
+            n -= here
+            self.buffer, self.place = b"", 0
+            if self.unpacker is not None and self.left is not None and self.left - n <= 4:  # what else it has is the end of the record
+                n -= min(n, self.left)
+                self.at, self.unpacker = self.next, None
+            elif not self._fill():
+                raise ValueError(_SHORT)
 
 
 def _headers(stream) -> dict[str, str] | None:
@@ -118,7 +307,7 @@ def _headers(stream) -> dict[str, str] | None:
 
 
 class WarcReader(DataSourceReader):
-    """Plans archives into partitions by size; skips the block of each record whose headers don't meet the filters."""
+    """Plans archives into partitions by size; passes over the block of each record whose headers don't meet the filters."""
 
     def __init__(self, options: dict):
         self.path = options["path"]
@@ -142,13 +331,16 @@ class WarcReader(DataSourceReader):
         info = system.get_file_info(root)
         found = [info] if info.is_file else system.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
         files = sorted((x for x in found if x.is_file and x.size and x.base_name[0] not in "._"), key=lambda x: (-x.size, x.path))
-        out: list[list[str]] = []
-        held = 0
+        out: list[list[tuple]] = []
+        held = self.most + 1
         for x in files:
-            if not out or held + x.size > self.most:
+            if x.size > self.most and x.base_name.endswith(".gz"):
+                out += [[(x.path, at, at + self.most, x.size)] for at in range(0, x.size, self.most)]
+                continue
+            if held + x.size > self.most:
                 out.append([])
                 held = 0
-            out[-1].append(x.path)
+            out[-1].append((x.path, 0, None, x.size))
             held += x.size
         return [Files(x) for x in out] or [Files([])]
 
@@ -173,51 +365,70 @@ class WarcReader(DataSourceReader):
                 return False
         return True
 
+    def _digest(self, stream, length: int, http: bool) -> tuple[int, str]:
+        """Length and SHA-1 of a payload, which is never held as a whole."""
+        found, size, head = hashlib.sha1(), 0, b""
+        while length:
+            piece = stream.read(min(length, _INFLATED))
+            if not piece:
+                raise ValueError(_SHORT)
+            length -= len(piece)
+            if http:
+                head += piece
+                if (at := head.find(b"\r\n\r\n")) < 0:
+                    continue
+                piece, head, http = head[at + 4 :], b"", False
+            found.update(piece)
+            size += len(piece)
+        return size, base64.b32encode(found.digest()).decode()
+
     def _records(self, stream) -> Iterator[tuple]:
         while (headers := _headers(stream)) is not None:
             length = int(headers["content-length"])
             row = {c: headers.get(h) for c, h in HEADER_COLUMNS.items()}
             if not self._wanted(row):
-                stream.seek(length, 1)
+                stream.skip(length)
                 continue
             payload = digest = size = None
+            http = (row["content_type"] or "").startswith("application/http")
             if self.payload == "none" or row["warc_type"] == "revisit":
-                stream.seek(length, 1)
+                stream.skip(length)
+            elif self.payload == "digest":
+                size, digest = self._digest(stream, length, http)
             else:
-                payload = _exactly(stream, length)
-                if (row["content_type"] or "").startswith("application/http"):
+                payload = stream.read(length)
+                if len(payload) != length:
+                    raise ValueError(_SHORT)
+                if http:
                     payload = payload.partition(b"\r\n\r\n")[2]
                 size, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
-            yield (*row.values(), length, headers, size, digest, payload if self.payload == "bytes" else None)
+            yield (*row.values(), length, headers, size, digest, payload)
 
     def read(self, partition: Files) -> Iterator[tuple]:
-        for path in partition.value:
+        for path, begin, end, size in partition.value:
             with _file_system(self.path)[0].open_input_file(path) as raw:
                 packed = raw.read(2) == b"\x1f\x8b"
                 raw.seek(0)
-                if packed:
-                    with gzip.GzipFile(fileobj=raw) as stream:
-                        yield from self._records(stream)
-                else:
-                    yield from self._records(_Lines(raw))
-
-
-class _Lines:
-    """readline() over a seekable file that has none of its own with buffering."""
-
-    def __init__(self, raw):
-        import io
-
-        self.stream = io.BufferedReader(raw, 1 << 20)
-        self.read, self.readline, self.seek = self.stream.read, self.stream.readline, self.stream.seek
+                if not packed:
+                    if begin == 0:
+                        yield from self._records(_Plain(raw))
+                    continue
+                own = None if end is None else _between(raw, size, begin, end)
+                if own is None and begin == 0:  # one that can't be cut is read by the task of its beginning
+                    own = 0, size
+                if own is not None:
+                    yield from self._records(_Gzip(raw, *own))
 
 
 class WarcDataSource(DataSource):
     """spark.read.format("warc"): options path, payload (bytes, digest or none) and maxPartitionBytes.
 
     Filters on the columns of HEADER_COLUMNS are pushed down; records that fail them are
-    passed over without decoding. payload=digest hands on length and SHA-1 only, payload=none
-    reads headers alone. Archives may be plain or gzipped, in one or many members.
+    passed over without decoding: by their Content-Length in plain archives, and by the
+    compressed length that a gzip member tells of itself; without one, they are inflated.
+    payload=digest hands on length and SHA-1 only, payload=none reads headers alone. Archives
+    may be plain or gzipped, in one or many members. Gzipped ones beyond maxPartitionBytes
+    are shared by several tasks if all their members tell their lengths.
     """
 
     @classmethod
@@ -227,15 +438,21 @@ class WarcDataSource(DataSource):
     def schema(self) -> str:
         return _SCHEMA
 
-    def reader(self, schema) -> WarcReader:
+    def reader(self, schema: StructType) -> WarcReader:
         return WarcReader({k.lower(): v for k, v in self.options.items()})
 
+    def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
+        if overwrite:
+            raise ValueError("archives are only added")
+        return WarcWriter({k.lower(): v for k, v in self.options.items()})
+
 
 def read_archives(spark: SparkSession, path: str, payload: str = "bytes") -> DataFrame:
-    ship(spark)
+    prepare(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
-    return spark.read.format("warc").option("payload", payload).load(path)
+    most = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return spark.read.format("warc").option("payload", payload).option("maxPartitionBytes", str(most)).load(path)
 
 
 def page_id(urn: Column) -> Column:

@@ -116,7 +116,8 @@ def test_foreign_archives(spark, tmp_path):
     assert sorted((r["warc_type"], bytes(r["payload"])) for r in got) == [("response", b"body")] * 2 + [("warcinfo", b"info")] * 2
     assert {r["headers"]["x-folded"] for r in got} == {"one two"}
     small = warc.WarcReader({"path": str(tmp_path), "maxpartitionbytes": "1"})
-    assert [len(p.value) for p in small.partitions()] == [1, 1]
+    assert sorted(p.value[0][0].rpartition("/")[2] for p in small.partitions() if p.value[0][1] == 0) == ["members.warc.gz", "plain.warc"]
+    assert sorted(r[0] for p in small.partitions() for r in small.read(p)) == ["response", "response", "warcinfo", "warcinfo"]  # no member tells its length, so one task reads all
 
 
 def test_broken_archives(tmp_path):
@@ -127,3 +128,80 @@ def test_broken_archives(tmp_path):
         reader = warc.WarcReader({"path": str(path)})
         with pytest.raises(ValueError, match=said):
             list(reader.read(reader.partitions()[0]))
+
+
+def test_members_tell_their_length(spark, archive):
+    """Records that filters or the payload mode pass over are not inflated, and large archives are shared by member."""
+    for x in archive_files(archive):
+        raw = x.read_bytes()
+        assert gzip.decompress(raw).startswith(b"WARC/1.1")
+        at = 0
+        with x.open("rb") as f:
+            while at < len(raw):
+                packed, plain = warc._lengths(f, at)
+                assert len(gzip.decompress(raw[at : at + packed])) == plain
+                at += packed
+        assert at == len(raw)
+    want = sorted(rows_of(warc.WarcReader({"path": archive})), key=str)
+    assert len(want) == len(ROWS)
+    for most in (1, 24, 300, 5000):
+        reader = warc.WarcReader({"path": archive, "maxpartitionbytes": str(most)})
+        assert sorted(rows_of(reader), key=str) == want
+    assert max(len(warc.WarcReader({"path": archive, "maxpartitionbytes": "300"}).partitions()), 0) > len(archive_files(archive))
+
+
+def archive_files(path):
+    from pathlib import Path
+
+    return sorted(Path(path).glob("*.warc.gz"))
+
+
+def rows_of(reader):
+    return [r for p in reader.partitions() for r in reader.read(p)]
+
+
+def test_skipped_payloads_are_not_inflated(tmp_path, monkeypatch):
+    import os
+
+    payload = os.urandom(3 << 20).hex().encode()
+    records = [warc._record(i, "u", payload, len(payload), "x", "response", None, "d") for i in range(3)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(warc.gzip_member, records)))
+    inflated = []
+    fill = warc._Gzip._fill
+
+    def counting(self):
+        found = fill(self)
+        inflated.append(len(self.buffer) - self.place if found else 0)
+        return found
+
+    monkeypatch.setattr(warc._Gzip, "_fill", counting)
+    assert len(rows_of(warc.WarcReader({"path": str(tmp_path), "payload": "none"}))) == 3
+    assert sum(inflated) < 3 * len(payload) / 10
+    whole = rows_of(warc.WarcReader({"path": str(tmp_path), "payload": "digest"}))
+    assert {(r[-3], r[-2]) for r in whole} == {(len(payload), digest(payload))}
+
+
+def test_an_archive_within_a_payload(tmp_path):
+    """A member that holds an archive, stored as it is, doesn't mislead the cut."""
+    inner = b"".join(warc.gzip_member(warc._record(i, "inner", b"x" * 50, 50, "x", "response", None, "d")) for i in range(20))
+    outer = [warc._record(i, "outer", p, len(p), "x", "response", None, "d") for i, p in enumerate((b"a", inner, b"c"))]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(warc.gzip_member(x, 0) for x in outer))
+    for most in (100, 700):
+        assert [r[2] for r in rows_of(warc.WarcReader({"path": str(tmp_path), "maxpartitionbytes": str(most)}))] == ["outer"] * 3
+
+
+def test_archives_are_added_and_of_bounded_size(spark, tmp_path):
+    path = str(tmp_path / "w")
+    warc.write_archives(warc.deduplicated(table(spark, ROWS).coalesce(1)), path, archive_bytes=2000)
+    first = archive_files(path)
+    assert len(first) > 1 and not [x for x in (tmp_path / "w").iterdir() if x.is_dir()]
+    warc.write_archives(warc.deduplicated(table(spark, ROWS[:1])), path)
+    assert len(archive_files(path)) == len(first) + 1
+    assert warc.read_archives(spark, path).count() == len(ROWS) + 1
+
+
+def test_payloads_of_one_digest_never_meet(spark):
+    """Only rows with the same id join a payload's digest, and no exchange of the digests holds payloads."""
+    plan = warc.deduplicated(table(spark, ROWS))._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.split("\n") if "LeftSemi" in x]
+    assert len(joins) == 1 and "page_id" in joins[0] and "first_id" in joins[0]
