@@ -63,11 +63,15 @@ def line_dedup(docs: DataFrame, min_sites: int = 3, id_col: str = "doc_id", text
         .agg(F.collect_set("pos").alias("_line_dedup_gone"))
         .select(F.col("doc_id").alias("_line_dedup_id"), F.col("text_hash").alias("_line_dedup_hash"), "_line_dedup_gone")
     )
-    text, gone = F.coalesce(F.col(text_col), F.lit("")), F.col("_line_dedup_gone")
-    joined = docs.join(removed, F.col(id_col).cast("long").eqNullSafe(F.col("_line_dedup_id")) & (F.xxhash64(text) == F.col("_line_dedup_hash")), "left")
-    kept = F.array_join(F.filter(_lines(F.col(text_col)), lambda _, i: ~F.array_contains(gone, i)), "\n")
+    rest = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    text, lines, gone = F.coalesce(F.col(text_col), F.lit("")), F.col("_line_dedup_lines"), F.col("_line_dedup_gone")
+    # Cut into lines before the join: an array of its output is read by position, where one built above it would be built anew for each.
+    cut = docs.select(*[c for c in rest if c != text_col], F.split(F.col(text_col), "\n", -1).alias("_line_dedup_lines"), F.xxhash64(text).alias("_line_dedup_text"))
+    joined = cut.join(removed, F.col(id_col).cast("long").eqNullSafe(F.col("_line_dedup_id")) & (F.col("_line_dedup_text") == F.col("_line_dedup_hash")), "left")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)  # by hash, so in proportion to the lines
+    kept = F.array_join(F.when(gone.isNull(), lines).otherwise(F.transform(stay, lambda i: F.get(lines, i))), "\n")
     return joined.select(
-        *[F.when(gone.isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")],
-        (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"))) + 1).cast("long").alias("n_lines"),
+        *[kept.alias(c) if c == text_col else F.col(c) for c in rest],
+        F.coalesce(F.size(lines), F.lit(1)).cast("long").alias("n_lines"),
         F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"),
     )
