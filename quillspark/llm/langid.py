@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -13,12 +12,16 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, prepare, slices, spread, stratified, to_batch, whole_texts
 
-_LETTER = re.compile(r"[^\W\d_]")
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 UNKNOWN = "und"
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of the text is of Unicode's letters; digits, numerals and fractions are none."""
+    return any(map(str.isalpha, text))
+
+
 def windows(raw: bytes) -> np.ndarray:
     """The whole text as rows of WINDOW bytes: the last one is moved back to end with the text, a short one is filled with zeros."""
     if len(raw) <= WINDOW:
@@ -66,7 +69,7 @@ class Model:
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         """Language and score of each whole text: the mean of its windows."""
-        rows = [windows(t.encode("utf-8", "surrogatepass")) if self.langs and _LETTER.search(t) else None for t in texts]
+        rows = [windows(t.encode("utf-8", "surrogatepass")) if self.langs and has_letter(t) else None for t in texts]
         known = [r for r in rows if r is not None]
         if not known:
             return [(UNKNOWN, 0.0)] * len(texts)
@@ -134,7 +137,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         for batch in batches:
             out: list[tuple] = []
             for doc_id, lang, text in zip(batch.column("_id").to_pylist(), batch.column("_lang").to_pylist(), whole_texts(batch.column("text")), strict=True):
-                if _LETTER.search(text):
+                if has_letter(text):
                     rows = windows(text.encode("utf-8", "surrogatepass"))
                     for i in sorted({(k * len(rows)) // per_text for k in range(per_text)}):
                         out.append((doc_id, i, lang, rows[i].tobytes()))
