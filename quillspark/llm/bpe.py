@@ -66,7 +66,7 @@ class ByteBpe:
         self.tokenizer = _from_ranks(path, pattern) if path.endswith(".tiktoken") else Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cache: dict[str, bytes] = {}
-        self._ranked = None
+        self._ranked = self.special = None
         back = {c: b for b, c in byte_table().items()}
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         #: The byte table reversed: the bytes of each id.
@@ -147,8 +147,34 @@ class ByteBpe:
             self._ranked = tiktoken.Encoding("ranked", pat_str=self.pattern.pattern, mergeable_ranks=ranks, special_tokens={})
         return self._ranked
 
+    def encode_library(self, texts: list[str]) -> list[bytes]:
+        """The ids that the library gives for the vocabulary file as it is: the strings of its special tokens in a text are these tokens."""
+        if self.special is None:
+            found = self.tokenizer.get_added_tokens_decoder()
+            self.special = {t.content: i.to_bytes(4, "little") for i, t in found.items()}
+            self.special_pattern = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
+        parts, owner = [], []
+        for i, text in enumerate(texts):
+            begin = 0
+            for m in self.special_pattern.finditer(text):
+                parts += [text[begin : m.start()], m[0]]
+                owner += [i, i]
+                begin = m.end()
+            parts.append(text[begin:])
+            owner.append(i)
+        if len(parts) == len(texts):
+            return self.encode_ranked(texts)
+        out: list[list[bytes]] = [[] for _ in texts]
+        for i, part, ids in zip(owner, parts, self.encode_ranked([p if p not in self.special else "" for p in parts]), strict=True):
+            out[i].append(self.special.get(part, ids))
+        return [b"".join(x) for x in out]
+
     def encode_ranked(self, texts: list[str]) -> list[bytes]:
-        """The ids of encode(), about three times as fast for texts whose words seldom repeat."""
+        """The ids of encode(), from a table of ranks, about three times as fast for texts whose words seldom repeat.
+
+        In a byte-level vocabulary an id is the rank of its merge, so that merging by lowest
+        rank, as tiktoken does, and by the list of merges, as tokenizers does, take the same steps.
+        """
         ranked, out = self._by_rank(), []
         for text in texts:
             parts, begin = [], 0

@@ -109,11 +109,14 @@ def _merger(window: int, open_windows: int, base: int, final: bool):
     return merge
 
 
-def pack(docs: DataFrame, path: str, pattern: str, window: int = 1024, open_windows: int = 8, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 64) -> DataFrame:
+def pack(docs: DataFrame, path: str, pattern: str, window: int = 1024, open_windows: int = 8, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 64, special_as_text: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is the ids of its whole text and one ``end_id``; null text counts as empty and
-    so is a single id. Every partition packs its own documents with ``open_windows`` windows;
+    so is a single id. Ids are those of the tokenizers library for the file at ``path``
+    without special tokens of its own; as there, the string of a special token in a text is
+    that token, unless ``special_as_text``. (They are taken from its ranks, which give the
+    same ids faster: ByteBpe.encode_ranked().) Every partition packs its own documents with ``open_windows`` windows;
     what then stays in open windows (a bounded number of ids per partition) is merged,
     ``fan_in`` partitions at a time, until one group is left, whose last sequence alone is
     short. The first pass is written to the shared folder: a task that runs again cannot
@@ -125,11 +128,12 @@ def pack(docs: DataFrame, path: str, pattern: str, window: int = 1024, open_wind
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, run = tokenizer(path, pattern), TaskContext.get().partitionId()
+        encode = bpe.encode_ranked if special_as_text else bpe.encode_library
         packer = Packer(window, open_windows, run << 32)
 
         for batch in batches:
             for part in slices(batch, "text"):
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), bpe.encode_ranked(whole_texts(part.column("text"))), strict=True):
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(whole_texts(part.column("text"))), strict=True):
                     packer.add(doc_id, 0, ids + end, len(ids) // 4 + 1)
                 yield _rows(packer.take(), [], run)
         yield _rows(packer.take(), packer.leftovers(), run)

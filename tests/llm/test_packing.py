@@ -22,7 +22,6 @@ def run(docs, window=1024, **more):
 def check(rows, texts, window):
     """rows: Row of pieces; texts: (doc_id, text). Holds documents against their ids; gives the number of sequences."""
     tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
     whole = defaultdict(list)
     for i, t in texts:
         whole[i].append([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0])
@@ -86,3 +85,15 @@ def test_a_long_document_spans_sequences(spark):
     rows = run(docs, 128).collect()
     check(rows, [(1, "word " * 5000), (2, "tail")], 128)
     assert len({r["sequence_id"] for r in rows if r["doc_id"] == 1}) >= 5000 // 128
+
+
+def test_ids_are_those_of_the_plain_library(spark):
+    """Strings of the special token in a text: the token, as the library has it, or text on request."""
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\n y", "<|endoftext", "no special", "<|endoftext|>é \U0001f642"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    check(run(docs).collect(), list(enumerate(texts)), 1024)
+    tokenizer = Tokenizer.from_file(JSON)
+    assert tokenizer.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    tokenizer.encode_special_tokens = True
+    want = {i: zlib.crc32(np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()) for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["ids_crc32"] for r in run(docs, special_as_text=True).collect()} == want
