@@ -9,8 +9,8 @@ from quillspark.llm import langid, line_dedup, near_dedup, packing, toxicity
 from quillspark.llm.common import prepare, read_table, scratch_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Probability of the likeliest language below which a document goes.
-LEAST_CERTAIN = 0.5
+#: A document goes if its likeliest language is less likely than so many times the mean of all (and than LEAST_CERTAIN).
+TIMES_THE_MEAN, LEAST_CERTAIN = 2.0, 0.5
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,9 +20,15 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the network has learned: those without a letter go, and those for which no language is likelier than all others together."""
-    found = langid.predict(docs, langid.fit(docs), keep=COLUMNS)
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_CERTAIN)).select(*COLUMNS)
+    """Documents in a language that the network has learned: those without a letter go, and those of which no language is twice as likely as the mean of all.
+
+    Where nothing could be learned, there is nothing to reject by, and all documents stay.
+    """
+    model = langid.fit(docs)
+    if not model.langs:
+        return docs.select(*COLUMNS)
+    found = langid.predict(docs, model, keep=COLUMNS)
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= min(LEAST_CERTAIN, TIMES_THE_MEAN / len(model.langs)))).select(*COLUMNS)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
