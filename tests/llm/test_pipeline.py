@@ -56,6 +56,17 @@ def test_language_rejects_what_it_cannot_tell(spark, stages):
     assert not left.keys() & {-1, -2} and len(left) > 390
 
 
+def test_language_with_nothing_to_learn_from(spark, stages):
+    docs = stages["language"][0].limit(50).withColumn("lang", F.lit(None).cast("string"))
+    assert rows(corpus_pipeline.keep_known_language(spark, docs, DIR)).keys() == rows(docs).keys()
+
+
+def test_language_bound_falls_with_the_number_of_languages(spark, stages):
+    """Twelve labels at random for the same texts: certainty is low for want of difference, yet few documents go."""
+    docs = stages["language"][0].withColumn("lang", F.concat(F.col("lang"), F.pmod(F.xxhash64("doc_id"), F.lit(3)).cast("string")))
+    assert len(rows(corpus_pipeline.keep_known_language(spark, docs, DIR))) > 0.98 * docs.count()
+
+
 def test_language(stages):
     before, after = stages["language"]
     model, found = langid.fit(before), rows(before)
