@@ -89,7 +89,7 @@ def _descend(docs: list[np.ndarray], labels: np.ndarray, bias: float, w: np.ndar
     return bias
 
 
-def train(docs: list[np.ndarray], labels: np.ndarray, factors: int = 4, sparse: float = 1e-2, group: float = 3e-2, epochs: int = 3, again: int = 12, seed: int = 7) -> Model:
+def train(docs: list[np.ndarray], labels: np.ndarray, factors: int = 4, sparse: float = 1e-2, group: float = 3e-2, epochs: int = 3, again: int = 12, seed: int = 7, least_documents: int = 3) -> Model:
     """Strong penalties first select the terms that tell alone or in pairs; weights and factors of these are then fitted with weak ones."""
     m = 1 << BITS
     model = Model(0.0, np.zeros(m, np.float32), np.zeros((m, factors), np.float32))
@@ -98,7 +98,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, factors: int = 4, sparse:
         return model
     rng = np.random.default_rng(seed)
     seen = np.bincount(np.concatenate(docs), minlength=m)
-    used = np.nonzero(seen >= (2 if len(docs) < 2000 else 4))[0]
+    used = np.nonzero(seen >= least_documents)[0]
     bias = float(np.log(labels.mean() / (1 - labels.mean())))
     for times, least, pair in ((max(epochs, 30_000 // len(docs)), sparse, group), (again, sparse / 20, group / 20)):
         where = np.full(m, -1)
@@ -113,8 +113,8 @@ def train(docs: list[np.ndarray], labels: np.ndarray, factors: int = 4, sparse:
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", positives: int = 4000, negatives: int = 10_000) -> Model:
-    """Learns from labelled documents outside the held-out fifth, about ``positives`` and ``negatives`` of them at most."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", positives: int = 4000, negatives: int = 10_000, least_documents: int = 3) -> Model:
+    """Learns from labelled documents outside the held-out fifth, about ``positives`` and ``negatives`` of them at most; of terms in ``least_documents`` of these or more."""
     prepare(docs.sparkSession)
     key = F.col(id_col).cast("long")
     known = labels.select(key.alias("_id"), F.col(label_col).cast("int").alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & (crc_mod(F.col("_id"), 5) != 0))
@@ -131,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     found = sample.mapInArrow(run, "id long, y int, ids array<int>").toArrow()
     order = np.argsort(found.column("id").to_numpy(), kind="stable")
     flat = [found.column("ids")[int(i)].values.to_numpy() for i in order]
-    return train(flat, found.column("y").to_numpy()[order].astype(float))
+    return train(flat, found.column("y").to_numpy()[order].astype(float), least_documents=least_documents)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
