@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import materialize, scratch_path, spread
+from ..scratch import drop, materialize, scratch_path, spread
 from ..shipping import ship
 
-__all__ = ["materialize", "scratch_path", "spread"]
+__all__ = ["drop", "materialize", "scratch_path", "spread"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
-#: Words of the contracts: runs of anything but the ASCII white space.
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: A batch that goes to Python holds at most this many rows and roughly this many bytes.
 BATCH_ROWS = 1024
@@ -68,19 +65,17 @@ def slices(batch: pa.RecordBatch, text: str, max_bytes: int = 4 << 20) -> Iterat
 
 
 def words(text: str) -> list[bytes]:
-    """Words of a whole text after lower-casing A-Z."""
-    return WORD.findall(text.encode("utf-8", "surrogatepass").translate(FOLD))
+    """Words of a whole text after lower-casing A-Z: runs of anything but bytes 0x20 and 0x09 to 0x0D, where bytes are split."""
+    return text.encode("utf-8", "surrogatepass").translate(FOLD).split()
 
 
 def to_batch(columns: dict[str, tuple[Iterable, pa.DataType]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in columns.values()], names=list(columns))
 
 
-def stratified(df: DataFrame, stratum: Column, order: Column, most: int) -> DataFrame:
-    """A repeatable sample of about ``most`` rows per value of stratum at most, by the hash of ``order``."""
+def stratified(df: DataFrame, stratum: Column, order: Column, most: int, strata: int = 256) -> DataFrame:
+    """A repeatable sample of about ``most`` rows at most of each of the ``strata`` commonest values of stratum, by the hash of ``order``."""
     keyed = df.withColumn("_stratum", stratum.cast("string")).where(F.col("_stratum").isNotNull())
-    counts = {r["_stratum"]: r["count"] for r in keyed.groupBy("_stratum").count().collect()}
-    share = F.lit(0.0)
-    for value, n in counts.items():
-        share = F.when(F.col("_stratum") == value, F.lit(min(1.0, most / n))).otherwise(share)
-    return keyed.where(F.pmod(F.xxhash64(order), F.lit(1 << 20)) < share * (1 << 20)).drop("_stratum")
+    common = keyed.groupBy("_stratum").agg(F.count("*").alias("_rows")).orderBy(F.desc("_rows"), "_stratum").limit(strata)
+    share = F.least(F.lit(1.0), most / F.col("_rows"))
+    return keyed.join(F.broadcast(common), "_stratum").where(F.pmod(F.xxhash64(order), F.lit(1 << 20)) < share * (1 << 20)).drop("_stratum", "_rows")

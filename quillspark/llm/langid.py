@@ -126,12 +126,12 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], size: int = 8, count:
     return Model(langs, p[0], p[1 : 1 + k], p[1 + k : 1 + 2 * k], p[-2], p[-1])
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1200, per_text: int = 2) -> Model:
-    """Learns from ``per_text`` windows of about ``per_language`` documents of each language at most, none of the held-out quarter."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1200, per_text: int = 2, languages: int = 256) -> Model:
+    """Learns from ``per_text`` windows of about ``per_language`` documents at most of each of the ``languages`` commonest languages, none of the held-out quarter."""
     prepare(docs.sparkSession)
     key = F.col(id_col).cast("long")
     known = docs.select(key.alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("text")).where(F.col("_lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("_id"), 4) != 2))
-    sample = stratified(known, F.col("_lang"), F.col("_id"), per_language)
+    sample = stratified(known, F.col("_lang"), F.col("_id"), per_language, languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

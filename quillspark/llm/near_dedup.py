@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare, slices, spread, to_batch, whole_texts, words
+from .common import drop, materialize, prepare, scratch_path, slices, spread, to_batch, whole_texts, words
 
 #: 32 bands of 4 coordinates: two sets of similarity 0.8 share no band with probability 5e-8.
 BANDS, ROWS = 32, 4
@@ -259,15 +259,19 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     Large-star and small-star steps in turn, each written to the shared folder, until the
     edges stop changing; they then join each node to its root.
     """
-    star = materialize(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
-    known = None
+    spark = edges.sparkSession
+    edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().write.parquet(path := scratch_path(spark, name))
+    star, known = spark.read.parquet(path), None
     while True:
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        star = materialize(small.where(F.col("u") != F.col("v")).distinct(), name)
+        before = path
+        small.where(F.col("u") != F.col("v")).distinct().write.parquet(path := scratch_path(spark, name))
+        star = spark.read.schema(star.schema).parquet(path)
+        drop(spark, before)
         now = tuple(star.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
         if now == known:
             return star.select(F.col("u").alias("node"), F.col("v").alias("root"))
