@@ -5,6 +5,8 @@ from __future__ import annotations
 from ..config import FINANCE_TERMS
 
 QUERIES = [(1, "this from with that the thing"), (2, "Und der nicht auf sich wird"), (3, "avec dans pour les des"), (4, "tion thest 62.714 revenue this")]
+#: The language of the documents that are judged for a query.
+JUDGED = [(1, "en"), (2, "de"), (3, "fr"), (4, "en")]
 #: Finance terms, and strings that the corpus has.
 TERMS = (*FINANCE_TERMS, "ention", "ungen")
 CJK_WORDS = ["黄金", "黄金价格", "né", "néon", "ab", "a漢b", "漢", "plain"]

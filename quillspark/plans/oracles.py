@@ -211,7 +211,7 @@ hits AS (SELECT qid, len(list_filter(keywords, lambda x: contains(coalesce(b, ''
 
 def oracle_sql() -> dict[str, str]:
     md5 = _MD5.format
-    posted = lambda c: f"{_BT} SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf, max(tf) AS most FROM (SELECT doc_id, chunk_no, term, count(*) AS tf FROM (SELECT doc_id, chunk_no, unnest({c}) AS term FROM tok) GROUP BY ALL) GROUP BY term"
+    posted = lambda c: f"{_BT} SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf, max(tf) AS most, sum(('0x' || substr(md5(doc_id || ':' || chunk_no || ':' || tf), 1, 8))::BIGINT)::BIGINT AS postings_sum FROM (SELECT doc_id, chunk_no, term, count(*) AS tf FROM (SELECT doc_id, chunk_no, unnest({c}) AS term FROM tok) GROUP BY ALL) GROUP BY term"
     df = f"df AS (SELECT 'w' AS field, term, count(*) AS df FROM (SELECT unnest(list_distinct(lex)) AS term FROM tok) GROUP BY term UNION ALL SELECT 't', term, count(*) FROM (SELECT unnest(list_distinct(tri)) AS term FROM tok) GROUP BY term)"
     stats = f"{_BT}, {df} SELECT (SELECT count(*) FROM tok) AS chunks, count(*) FILTER (WHERE field = 'w') AS word_terms, count(*) FILTER (WHERE field = 't') AS tri_terms FROM df"
     added = "source AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - conv_id * 1000 - turn, text FROM conversations)"
@@ -251,10 +251,8 @@ top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY ro
         "chunks_per_source": f"{_B} SELECT doc_id::VARCHAR AS source, count(*) AS n FROM chunks GROUP BY doc_id",
         "b_postings_word": posted("lex"),
         "b_postings_tri": posted("tri"),
-        "b_df": f"{_BT}, {df} SELECT field, term, df FROM df WHERE df >= 5",
-        "b_idf": f"{_BT}, {df} SELECT field, term, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM df, (SELECT count(*) AS n FROM tok) WHERE df >= 5",
-        "b_df_all": f"{_BT}, {df} SELECT field, term, df FROM df",
-        "b_idf_all": f"{_BT}, {df} SELECT field, term, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM df, (SELECT count(*) AS n FROM tok)",
+        "b_df": f"{_BT}, {df} SELECT field, term, df FROM df",
+        "b_idf": f"{_BT}, {df} SELECT field, term, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM df, (SELECT count(*) AS n FROM tok)",
         "b_doc_len": f"{_BT} SELECT count(*) AS n, round(avg(len(lex)), 6) AS w_avg, round(avg(len(tri)), 6) AS t_avg FROM tok",
         "b_stats": stats,
         "b_add_counts": f"WITH RECURSIVE {added}, {_chunks(SMALL_CHUNKS)}, {_TOK} SELECT CASE WHEN doc_id < 0 THEN 'conversations' ELSE 'documents' END AS added, count(*) AS chunks FROM tok GROUP BY 1",
@@ -318,7 +316,9 @@ SELECT doc_id, chunk_no AS node_id, md5(content) AS content_md5 FROM chunks WHER
         "eval_hits": f"{_HITS} SELECT qid, hit FROM hits",
         "eval_recall": f"{_HITS} SELECT count(*) FILTER (WHERE hit) AS hits, count(*) AS queries, round(avg(hit::INT), 6) AS recall FROM hits",
         "eval_ranking": f"""{_found(50)}, best AS (SELECT qid, doc_id, min(rank) AS rank FROM results GROUP BY ALL),
-wanted AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY gain DESC, doc_id) AS i FROM (SELECT qid, doc_id, rank, quality AS gain FROM best JOIN labels USING (doc_id)) WHERE gain > 0)
+judged AS {_values(fixtures.JUDGED, 'qid, lang')},
+wanted AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY gain DESC, doc_id) AS i FROM (
+    SELECT j.qid, d.doc_id, b.rank, l.quality AS gain FROM judged j JOIN documents d ON d.lang = j.lang JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN best b ON b.qid = j.qid AND b.doc_id = d.doc_id) WHERE gain > 0)
 SELECT qid, round(avg((rank IS NOT NULL)::INT), 6) AS recall, round(coalesce(1 / min(rank), 0), 6) AS mrr,
        round(coalesce(sum(gain / log2(rank + 1)), 0) / sum(gain / log2(i + 1)) FILTER (WHERE i <= 50), 6) AS ndcg FROM wanted GROUP BY qid""",
     }

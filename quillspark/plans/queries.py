@@ -168,8 +168,11 @@ def built(spark: SparkSession, sf_dir: str) -> index.ChunkIndex:
 
 
 def _postings(spark: SparkSession, sf_dir: str, field: str) -> DataFrame:
+    """Of each term: postings, occurrences, the highest count, and a sum over hashes of every posting's document, chunk and count."""
     posted = built(spark, sf_dir).postings().where(F.col("field") == field)
-    return posted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"), F.max("tf").cast("long").alias("most"))
+    each = F.concat_ws(":", "doc_id", "chunk_no", "tf").cast("binary")
+    hashed = F.conv(F.left(F.md5(each), F.lit(8)), 16, 10).cast("long")
+    return posted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"), F.max("tf").cast("long").alias("most"), F.sum(hashed).alias("postings_sum"))
 
 
 @query
@@ -184,25 +187,11 @@ def b_postings_tri(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def b_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return built(spark, sf_dir).document_frequency().where(F.col("df") >= 5)
-
-
-@query
-def b_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = built(spark, sf_dir)
-    idf = index.bm25_idf(F.col("df"), F.lit(float(found.field_stats()[0])))
-    return found.document_frequency().where(F.col("df") >= 5).select("field", "term", F.round(idf, 6).alias("idf"))
-
-
-@query
-def b_df_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As b_df, with the terms of 1 to 4 chunks."""
     return built(spark, sf_dir).document_frequency()
 
 
 @query
-def b_idf_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As b_idf, with the terms of 1 to 4 chunks."""
+def b_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = built(spark, sf_dir)
     idf = index.bm25_idf(F.col("df"), F.lit(float(found.field_stats()[0])))
     return found.document_frequency().select("field", "term", F.round(idf, 6).alias("idf"))
@@ -484,11 +473,11 @@ def eval_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def eval_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall, reciprocal rank and discounted gain, with the quality labels as gains."""
+    """Recall, reciprocal rank and discounted gain by judgments that don't look at the results: of the labelled documents in a query's language, with their quality as gain."""
     results = search.bm25_search(built(spark, sf_dir), asked(spark), 50).select("qid", "rank", "doc_id")
-    labels = docs(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("gain"))
-    relevant = results.select("qid", "doc_id").distinct().join(labels, "doc_id")
-    return evaluate.ranking(results, relevant, 50)
+    judged = spark.createDataFrame(fixtures.JUDGED, "qid int, lang string")
+    labelled = docs(spark, sf_dir).select("doc_id", "lang").join(docs(spark, sf_dir, "labels"), "doc_id")
+    return evaluate.ranking(results, labelled.join(judged, "lang").select("qid", "doc_id", F.col("quality").alias("gain")), 50)
 
 
 def queries() -> dict[str, Q]:

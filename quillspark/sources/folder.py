@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import subprocess
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,7 +13,7 @@ from ..shipping import ship
 
 #: Files of this size and more are read even if some bytes are no UTF-8.
 LARGE = 100 << 20
-_SKIPPED = r"(?i)^\.|enwik8|\.bin$|^config\.json$|\.ds_store$"
+_SKIPPED = r"(?i)^\.|enwik8|\.bin$|^(quillspark|config)\.json$|\.ds_store$"
 
 Extractor = Callable[[bytes], str]
 
@@ -22,17 +23,27 @@ def indexable(name: Column) -> Column:
     return ~name.rlike(_SKIPPED)
 
 
+def pdf_text(raw: bytes) -> str:
+    """Text of a PDF by the program pdftotext, where a worker has it."""
+    return subprocess.run(["pdftotext", "-", "-"], input=raw, capture_output=True, check=True).stdout.decode("utf-8", "replace")
+
+
+EXTRACTORS: dict[str, Extractor] = {"pdf": pdf_text}
+
+
 def read_folder(spark: SparkSession, path: str, extractors: dict[str, Extractor] | None = None) -> DataFrame:
     """source (file name) and text of the files right in a folder.
 
     Any file is read as UTF-8 text; small ones with invalid bytes go, large ones have these
-    replaced. ``extractors`` maps an extension without its dot, such as pdf, to a function
-    from bytes to text; a file for which it raises goes. Files without text go.
+    replaced. ``extractors`` maps an extension without its dot to a function from bytes to
+    text, in place of EXTRACTORS, which has one for pdf; a file for which it raises goes.
+    Files without text go. A file is one row, so one beyond 2 GB is an error.
     """
+    extractors = EXTRACTORS if extractors is None else extractors
     files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("source"), "length", "content")
     files = files.where(indexable(F.col("source")))
     kind = F.lower(F.regexp_extract("source", r"\.([^.]*)$", 1))
-    special = list(extractors or {})
+    special = list(extractors)
     plain = files.where(~kind.isin(*special)) if special else files
     plain = plain.where(F.is_valid_utf8(F.col("content").cast("string")) | (F.col("length") > LARGE))
     out = plain.select("source", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))

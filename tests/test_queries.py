@@ -28,8 +28,12 @@ def test_entry(spark):
 
 
 def test_rare_terms_have_rows(spark, sf_dir):
-    """Document frequencies of every term: those of fewer chunks than b_df begins with, and all of b_df's."""
-    every, common = QUERIES["b_df_all"](spark, sf_dir).cache(), QUERIES["b_df"](spark, sf_dir)
-    assert {r["df"] for r in every.where("df < 5").select("df").distinct().collect()} == {1, 2, 3, 4}
-    assert every.where("df >= 5").exceptAll(common).count() == 0
-    print("rows", every.count(), common.count())
+    """Every term has its frequency, the rarest too."""
+    found = {r["df"] for r in QUERIES["b_df"](spark, sf_dir).select("df").distinct().collect()}
+    assert {1, 2, 3, 4} < found and max(found) > 50
+
+
+def test_judgments_look_at_no_results(spark, sf_dir):
+    """Judged documents that a search misses lower its recall."""
+    found = QUERIES["eval_ranking"](spark, sf_dir).collect()
+    assert found and all(0 <= r["recall"] < 1 and 0 <= r["ndcg"] <= 1 for r in found)
