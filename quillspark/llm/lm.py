@@ -26,11 +26,14 @@ VOCABULARY = CLASS_WORDS * CLASSES
 #: At most so many of the commonest words have counts that every worker has; those of all others are joined.
 COMMON = 1 << 17
 HIDDEN = 16
-#: Network training reads whole texts, TOGETHER side by side, with state carried over windows of so many tokens.
+#: Network training reads whole texts in TOGETHER lanes, with state carried over windows of so many tokens.
 WINDOW, TOGETHER = 32, 256
-#: Texts scored side by side, and tokens gathered before they are.
-STREAMS, HELD_TOKENS = 512, 4_000_000
+#: Texts scored side by side, tokens of one span of their steps, and tokens gathered before they are scored.
+STREAMS, SPAN, HELD_TOKENS = 512, 16384, 4_000_000
 FLUSH_WORDS = 400_000
+#: Up to so many tokens, words of all classes are looked at in one step.
+FEW = 64
+_ENCODED = {"row": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "n_rest": pa.int64(), "logs": pa.float64(), "rest_logs": pa.float64(), "rare": pa.list_(pa.binary()), "ids": pa.binary()}
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,17 +57,29 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Network:
-    """Parameters; word i of the vocabulary is of class i // CLASS_WORDS, id VOCABULARY stands for all other words."""
+    """Parameters; word i of the vocabulary is of class i // CLASS_WORDS, id VOCABULARY stands for all other words.
+
+    States and gates are matrices with a column for each text.
+    """
 
     p: dict[str, np.ndarray]
 
     def step(self, gates: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The next state, the gates z and r of the step (one above the other), its candidate and what the state adds to that."""
         n = HIDDEN
-        u = h @ self.p["u"]
-        zr = 1 / (1 + np.exp(-(gates[:, : 2 * n] + u[:, : 2 * n])))
-        z, r = zr[:, :n], zr[:, n:]
-        c = np.tanh(gates[:, 2 * n :] + r * u[:, 2 * n :])
-        return c + z * (h - c), z, r, c, u[:, 2 * n :]
+        u = self.p["u"].T @ h
+        zr = gates[: 2 * n] + u[: 2 * n]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        c = zr[n:] * u[2 * n :]
+        c += gates[2 * n :]
+        np.tanh(c, out=c)
+        new = h - c
+        new *= zr[:n]
+        new += c
+        return new, zr, c, u[2 * n :]
 
 
 def fresh(counts: np.ndarray, rest: int, seed: int = 5) -> Network:
@@ -88,109 +103,196 @@ def fresh(counts: np.ndarray, rest: int, seed: int = 5) -> Network:
     )
 
 
-def _softmax_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """exp(x - max) in place of x, its sums and the logarithms of the sums of exp(x), over the first axis."""
-    top = x.max(0)
-    x -= top
+def _softmax_of(x: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """exp(x) in place of x, less its maxima if x may exceed ``bound`` of 60, its sums and the logarithms of the sums of exp(x), over the first axis."""
+    top: np.ndarray | float = 0.0
+    if bound > 60:  # else nothing can overflow, or vanish beside the rest
+        top = x.max(0)
+        x -= top
     np.exp(x, out=x)
     total = x.sum(0)
     return x, total, top + np.log(total)
 
 
 def log_probabilities(net: Network, h: np.ndarray, target: np.ndarray, grad: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Natural logarithm of each target's probability; with grad also adds its gradients there and gives that of h."""
+    """Natural logarithm of each target's probability after its state (a column of h, between -1 and 1); with grad also adds its gradients there and gives that of h."""
     kind = (target // CLASS_WORDS).astype(np.int16)
     order = np.argsort(kind, kind="stable")
-    kind, target, columns = kind[order], target[order], np.arange(len(h))
-    bounds = np.searchsorted(kind, np.arange(CLASSES + 1))
-    h = np.ascontiguousarray(h[order].T)  # a column each, by class: sums over the short axis are then sums of rows
+    target = target[order]
+    bounds = [*np.searchsorted(kind[order], np.arange(CLASSES + 1)).tolist(), len(order)]
+    ranges = [slice(a, b) for a, b in zip(bounds, bounds[1:], strict=False)]  # of each class, and of the last one for all other words
+    h = np.take(h, order, axis=1)
+    limit = np.abs(h).max(initial=0)
     x = net.p["c"].T @ h
     x += net.p["cb"][:, None]
-    given = x[kind, columns]
-    e, total, log = _softmax_of(x)
-    found, dh = given - log, None
+    found = np.empty(len(order), x.dtype)
+    for k, at in enumerate(ranges):
+        found[at] = x[k, at]
+    e, total, log = _softmax_of(x, float((limit * np.abs(net.p["c"]).sum(0) + np.abs(net.p["cb"])).max()))
+    found -= log
+    dh = None
     if grad is not None:
-        e /= total
-        e[kind, columns] -= 1
+        e *= 1 / total
+        for k, at in enumerate(ranges):
+            e[k, at] -= 1
         grad["c"] += h @ e.T
         grad["cb"] += e.sum(1)
         dh = net.p["c"] @ e
-    for k in range(CLASSES):
-        at = slice(bounds[k], bounds[k + 1])
+    most = limit * np.abs(net.p["o"]).sum(1) + np.abs(net.p["ob"])
+    if (known := bounds[CLASSES]) <= FEW:  # too few tokens to go class by class
+        at, of, within = slice(known), kind[order[:known]], target[:known] % CLASS_WORDS
+        own, hk = np.arange(known), h[:, :known]
+        x = np.matmul(hk.T[:, None], net.p["o"][of])[:, 0].T + net.p["ob"][of].T
+        given = x[within, own]
+        e, total, log = _softmax_of(x, float(most.max()))
+        found[at] += given - log
+        if grad is not None:
+            e *= 1 / total
+            e[within, own] -= 1
+            np.add.at(grad["o"], of, hk.T[:, :, None] * e.T[:, None])
+            np.add.at(grad["ob"], of, e.T)
+            dh[:, at] += np.matmul(net.p["o"][of], e.T[:, :, None])[:, :, 0].T
+        ranges = []
+    for k, at in enumerate(ranges[:CLASSES]):
         if at.start == at.stop:
             continue
         hk, within = h[:, at], target[at] - k * CLASS_WORDS
-        own = columns[: len(within)]
+        own = np.arange(len(within))
         x = net.p["o"][k].T @ hk
         x += net.p["ob"][k][:, None]
         given = x[within, own]
-        e, total, log = _softmax_of(x)
-        found[at] += given - log
+        e, total, log = _softmax_of(x, float(most[k].max()))
+        given -= log
+        found[at] += given
         if grad is not None:
-            e /= total
+            e *= 1 / total
             e[within, own] -= 1
             grad["o"][k] += hk @ e.T
             grad["ob"][k] += e.sum(1)
             dh[:, at] += net.p["o"][k] @ e
-    out = np.empty_like(found)
-    out[order] = found
-    if dh is not None:
-        back = np.empty((len(order), len(dh)), dh.dtype)
-        back[order] = dh.T
-        dh = back
-    return out, dh
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    return found[back], None if dh is None else np.take(dh, back, axis=1)
+
 
+class Lanes:
+    """Whole texts laid end to end in a number of lanes of about the same length, which are read side by side.
+
+    Beside the ids of the texts and their owners, memory is of some steps, however long a text is.
+    """
 
-def train_blocks(net: Network, blocks: list[np.ndarray], batch: int = 64, rate: float = 0.05, memory: dict[str, np.ndarray] | None = None) -> int:
-    """AdaGrad over blocks of ids, however long (the first is the input before the block); gives the tokens trained on."""
+    def __init__(self, texts: list[np.ndarray], most: int, rng: np.random.Generator | None = None):
+        heap = [(0, s) for s in range(min(most, len(texts)))]
+        lanes: list[list[int]] = [[] for _ in heap]
+        for i in sorted(range(len(texts)), key=lambda i: -len(texts[i])):  # the longest first, to the lane with least
+            used, s = heapq.heappop(heap)
+            lanes[s].append(i)
+            heapq.heappush(heap, (used + len(texts[i]), s))
+        if rng is not None:  # else lanes go from long texts to short ones all at once
+            lanes = [[x[i] for i in rng.permutation(len(x))] for x in lanes]
+        lanes.sort(key=lambda x: -sum(len(texts[i]) for i in x))
+        self.ids = [np.concatenate([texts[i] for i in x]) for x in lanes]
+        self.owner = [np.repeat(np.array(x, np.int32), [len(texts[i]) for i in x]) for x in lanes]
+        self.falling = np.array([-len(x) for x in self.ids], np.int64)
+
+    def windows(self, begin: int, steps: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]]:
+        """Inputs, targets, whether a text begins, the text's number, each with a row for a step, and the lanes that live at each step, which never grow.
+
+        Windows have ``steps`` steps, or, without, as many as hold SPAN tokens. The first input of a text is ``begin``.
+        """
+        lanes, total, t0 = len(self.ids), -int(self.falling.min(initial=0)), 0
+        last, last_owner = np.zeros(lanes, np.int32), np.full(lanes, -1, np.int32)
+        while t0 < total:
+            width = int(np.searchsorted(self.falling, -t0))
+            each = steps or max(1, SPAN // width)
+            n = min(total - t0, each * max(1, 1024 // each))  # some windows at once
+            ids, own = np.zeros((n + 1, width), np.int32), np.full((n + 1, width), -1, np.int32)
+            ids[0], own[0] = last[:width], last_owner[:width]
+            for s in range(width):
+                part = self.ids[s][t0 : t0 + n]
+                ids[1 : len(part) + 1, s], own[1 : len(part) + 1, s] = part, self.owner[s][t0 : t0 + n]
+            new = own[1:] != own[:-1]
+            source = np.where(new, np.int32(begin), ids[:-1])
+            live = np.searchsorted(self.falling, -np.arange(t0, t0 + n)).tolist()
+            for a in range(0, n, each):
+                at = slice(a, a + each), slice(live[a])
+                yield source[at], ids[1:][at], new[at], own[1:][at], live[a : a + each]
+            last, last_owner, t0 = ids[-1], own[-1], t0 + n
+
+
+def _window(net: Network, source: np.ndarray, target: np.ndarray, new: np.ndarray, live: list[int], h: np.ndarray, grad: dict[str, np.ndarray]) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Adds the gradients of a window of lanes to grad; gives the state after it, and the words of w in use with their gradients."""
+    n, (steps, width), kind = HIDDEN, source.shape, net.p["w"].dtype
+    ragged, begins = live[-1] < width, new.any(1).tolist()
+    make = np.zeros if ragged else np.empty
+    gates, table = np.empty((3 * n, width), kind), np.ascontiguousarray(net.p["w"].T)
+    before, after, cand, un = (make((steps, n, width), kind) for _ in range(4))
+    zr = make((steps, 2 * n, width), kind)
+    for t, m in enumerate(live):
+        before[t, :, :m] = h[:, :m]
+        if begins[t]:
+            before[t][:, new[t]] = 0
+        np.take(table, source[t], axis=1, out=gates, mode="clip")
+        after[t, :, :m], zr[t, :, :m], cand[t, :, :m], un[t, :, :m] = net.step(gates[:, :m], before[t, :, :m])
+        h = after[t]
+    states, target, source = after.transpose(1, 0, 2).reshape(n, -1), target.ravel(), source.ravel()
+    at = np.flatnonzero(np.arange(width)[None] < np.array(live)[:, None]) if ragged else None
+    if ragged:
+        target, source = target[at], source[at]
+        _, some = log_probabilities(net, states[:, at], target, grad)
+        back = np.zeros_like(states)
+        back[:, at] = some
+    else:
+        _, back = log_probabilities(net, states, target, grad)
+    back = back.reshape(n, steps, width)
+    z, r = zr[:, :n], zr[:, n:]
+    of_c = 1 - z
+    of_z = before - cand
+    of_z *= z
+    of_z *= of_c
+    cand *= cand
+    of_c -= of_c * cand
+    of_r = 1 - r
+    of_r *= r
+    of_r *= un
+    du, dc, carry = make((steps, 3 * n, width), kind), make((steps, n, width), kind), np.zeros((n, 0), kind)
+    for t in range(steps - 1, -1, -1):
+        m = live[t]
+        d, own, c = back[:, t, :m], du[t, :, :m], dc[t, :, :m]
+        d[:, : carry.shape[1]] += carry
+        np.multiply(d, of_c[t, :, :m], out=c)
+        np.multiply(d, of_z[t, :, :m], out=own[:n])
+        np.multiply(c, of_r[t, :, :m], out=own[n : 2 * n])
+        np.multiply(c, r[t, :, :m], out=own[2 * n :])
+        grad["u"] += before[t, :, :m] @ own.T
+        carry = net.p["u"] @ own
+        carry += d * z[t, :, :m]
+        if begins[t]:  # what came before is another text
+            carry[:, new[t, :m]] = 0
+    du[:, 2 * n :] = dc  # now of the gates
+    order = np.argsort(source.astype(np.int16), kind="stable")
+    used, starts = np.unique(source[order], return_index=True)
+    flat = du.transpose(1, 0, 2).reshape(3 * n, -1)
+    dw = np.add.reduceat(np.take(flat, order if at is None else at[order], axis=1), starts, axis=1)
+    return h[:, : live[-1]], (used, dw.T)
+
+
+def train_lanes(net: Network, texts: list[np.ndarray], rate: float = 0.05, memory: dict[str, np.ndarray] | None = None, lanes: int = TOGETHER, seed: int = 7) -> int:
+    """AdaGrad over whole texts (ids after the end that each begins from); gives the tokens trained on."""
     memory = {k: np.full_like(v, 1e-3) for k, v in net.p.items()} if memory is None else memory
-    n, trained = HIDDEN, 0
-    for at in range(0, len(blocks), batch):
-        some = sorted(blocks[at : at + batch], key=len, reverse=True)
-        length, sizes = len(some[0]) - 1, np.array([len(b) for b in some])
-        h = np.zeros((len(some), n), np.float32)
-        for begin in range(0, length, WINDOW):  # truncated: gradients end at the window, the state goes on
-            steps = range(min(WINDOW, length - begin))
-            kept, live = [], [int((sizes > begin + t + 1).sum()) for t in steps]
-            ids = np.full((len(steps) + 1, live[0]), -1, np.int64)
-            for i, b in enumerate(some[: live[0]]):
-                own = b[begin : begin + len(steps) + 1]
-                ids[: len(own), i] = own
-            for t, m in zip(steps, live, strict=True):
-                h = h[:m]
-                kept.append((h, *net.step(net.p["w"][ids[t, :m]], h)))
-                h = kept[-1][1]
-            grad = {k: np.zeros_like(v) for k, v in net.p.items() if k != "w"}
-            target = np.concatenate([ids[t + 1, :m] for t, m in zip(steps, live, strict=True)])
-            _, dh_all = log_probabilities(net, np.concatenate([x[1] for x in kept]), target, grad)
-            ends = np.cumsum(live)
-            before, _, z, r, c, un = (np.concatenate(x) for x in zip(*kept, strict=True))
-            of_c, of_z, of_r = (1 - z) * (1 - c * c), (before - c) * z * (1 - z), un * r * (1 - r)
-            dg, du, carry = np.empty((len(z), 3 * n), z.dtype), np.empty((len(z), 3 * n), z.dtype), np.zeros((0, n), z.dtype)
-            for i in range(len(steps) - 1, -1, -1):
-                at_step = slice(ends[i] - live[i], ends[i])
-                d = dh_all[at_step]
-                d[: len(carry)] += carry
-                dc = d * of_c[at_step]
-                own = du[at_step]
-                own[:, :n] = d * of_z[at_step]
-                own[:, n : 2 * n] = dc * of_r[at_step]
-                own[:, 2 * n :] = dc * r[at_step]
-                dg[at_step, 2 * n :] = dc
-                carry = d * z[at_step] + own @ net.p["u"].T
-            dg[:, : 2 * n] = du[:, : 2 * n]
-            grad["u"] += before.T @ du
-            flat = np.concatenate([ids[t, :m] for t, m in zip(steps, live, strict=True)])
-            order = np.argsort(flat.astype(np.int16), kind="stable")
-            used, starts = np.unique(flat[order], return_index=True)
-            dw = np.add.reduceat(dg[order], starts) / len(some)
-            memory["w"][used] += dw * dw
-            net.p["w"][used] -= rate * dw / np.sqrt(memory["w"][used])
-            for k, g in grad.items():
-                g /= len(some)
-                memory[k] += g * g
-                net.p[k] -= rate * g / np.sqrt(memory[k])
-            trained += len(target)
+    h, trained = np.zeros((HIDDEN, lanes), net.p["w"].dtype), 0
+    for source, target, new, _, live in Lanes(texts, lanes, np.random.default_rng(seed)).windows(0, WINDOW):  # truncated: gradients end at the window, the state goes on
+        grad = {k: np.zeros_like(v) for k, v in net.p.items() if k != "w"}
+        h, (used, dw) = _window(net, source, target, new, live, h, grad)
+        size = np.float32(live[0])
+        dw = dw / size
+        memory["w"][used] += dw * dw
+        net.p["w"][used] -= rate * dw / np.sqrt(memory["w"][used])
+        for k, g in grad.items():
+            g /= size
+            memory[k] += g * g
+            net.p[k] -= rate * g / np.sqrt(memory[k])
+        trained += sum(live)
     return trained
 
 
@@ -203,43 +305,27 @@ def _average(nets: list[tuple[bytes, int]]) -> tuple[bytes, int]:
     return pickle.dumps(out), sum(n for _, n in nets)
 
 
-def _encoded(texts: DataFrame, ids: dict[bytes, int]) -> DataFrame:
-    """Each text's ids, 16 bits each, after the end that it begins from."""
-    known = texts.sparkSession.sparkContext.broadcast(ids)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = known.value.get
-        for batch in batches:
-            for part in slices(batch, "text"):
-                found = [[END, *words(text), END] for text in whole_texts(part.column("text"))]
-                coded = [np.fromiter((get(w, VOCABULARY) for w in x), np.uint16, len(x)).tobytes() for x in found]
-                yield to_batch({"ids": (coded, pa.binary())})
-
-    return texts.select("text").mapInArrow(encode, "ids binary")
-
-
 def train_texts(net: Network, texts: Iterator[np.ndarray], rate: float, held_tokens: int = HELD_TOKENS) -> int:
-    """Trains on every token of the texts; gives their number. Texts of like length go side by side, such batches in a mixed order."""
+    """Trains on every token of the texts, some held at a time; gives their number."""
     memory = {k: np.full_like(v, 1e-3) for k, v in net.p.items()}
-    rng, held, waiting, trained = np.random.default_rng(7), [], 0, 0
-
-    def flush() -> int:
-        held.sort(key=len)
-        n = sum(train_blocks(net, held[at : at + TOGETHER], TOGETHER, rate, memory) for at in TOGETHER * rng.permutation(-(-len(held) // TOGETHER)))
-        held.clear()
-        return n
-
+    held: list[np.ndarray] = []
+    waiting = trained = 0
     for text in texts:
         held.append(text)
         waiting += len(text)
         if waiting >= held_tokens:
-            trained, waiting = trained + flush(), 0
-    return trained + flush()
+            trained += train_lanes(net, held, rate, memory, seed=trained)
+            held, waiting = [], 0
+    return trained + train_lanes(net, held, rate, memory, seed=trained)
+
 
+def train_network(texts: DataFrame, net: Network, rounds: int = 2, fan_in: int = 8) -> Network:
+    """Every partition trains a copy on all its texts; copies are averaged by tokens, ``fan_in`` at a time, and go into the next round.
 
-def train_network(texts: DataFrame, net: Network, rounds: int = 2, fan_in: int = 32) -> Network:
-    """Every partition trains a copy on all its texts; copies are averaged by tokens, ``fan_in`` at a time, and go into the next round."""
+    A round is one job: copies wait in its shuffle, and only those that are lost are trained again.
+    """
     context = texts.sparkSession.sparkContext
+    partitions = texts.rdd.getNumPartitions()
     for turn in range(rounds):
         sent = context.broadcast(pickle.dumps(net.p))
 
@@ -248,69 +334,35 @@ def train_network(texts: DataFrame, net: Network, rounds: int = 2, fan_in: int =
             if trained := train_texts(own, (np.frombuffer(x, np.uint16) for batch in batches for x in batch.column("ids").to_pylist()), rate):
                 yield to_batch({"part": ([TaskContext.get().partitionId()], pa.int64()), "net": ([pickle.dumps(own.p)], pa.binary()), "n": ([trained], pa.int64())})
 
-        nets = materialize(texts.select("ids").mapInArrow(learn, "part long, net binary, n long"), "networks")
-        parts = (nets.agg(F.max("part")).first()[0] or 0) + 1
-
         def average(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("part")
             raw, n = _average(list(zip(pdf["net"], pdf["n"].tolist(), strict=True)))
             return pd.DataFrame({"part": [int(pdf["group"].iloc[0])], "net": [raw], "n": [n]})
 
+        nets, parts = texts.select("ids").mapInArrow(learn, "part long, net binary, n long"), partitions
         while parts > 1:
             parts = -(-parts // fan_in)
             nets = nets.withColumn("group", F.floor(F.col("part") / fan_in)).groupBy("group").applyInPandas(average, "part long, net binary, n long")
-        if found := nets.first():
+        for found in nets.collect():  # one at most
             net = Network(pickle.loads(found["net"]))
     return net
 
 
-class Scorer:
-    """Scores texts side by side: a slot that has ended takes the next text, longest first, its state carried to the end."""
-
-    def __init__(self, net: Network):
-        self.net = net
-
-    def score(self, texts: list[np.ndarray], begin: int) -> np.ndarray:
-        """log10 probability of each text's ids by the network, all words outside its vocabulary as one."""
-        out = np.zeros(len(texts))
-        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-        slots = min(STREAMS, len(texts))
-        # Each slot gets whole texts, the longest first to the slot with least; a slot's ids then run on end to end.
-        heap = [(0, s) for s in range(slots)]
-        line: list[list[int]] = [[] for _ in range(slots)]
-        for i in order:
-            used, s = heapq.heappop(heap)
-            line[s].append(i)
-            heapq.heappush(heap, (used + len(texts[i]), s))
-        line.sort(key=lambda x: -sum(len(texts[i]) for i in x))
-        lengths = np.array([sum(len(texts[i]) for i in x) for x in line])
-        total = int(lengths.max()) if slots else 0
-        ids = np.zeros((total, slots), np.int32)
-        owner = np.zeros((total, slots), np.int32)
-        for s, x in enumerate(line):
-            ids[: lengths[s], s] = np.concatenate([texts[i] for i in x])
-            owner[: lengths[s], s] = np.repeat(x, [len(texts[i]) for i in x])
-        live = (lengths[None] > np.arange(total)[:, None]).sum(1)
-        w = self.net.p["w"]
-        h = np.zeros((slots, HIDDEN), np.float32)
-        span = max(1, 16384 // max(1, slots))
-        for t0 in range(0, total, span):
-            states, t1 = [], min(total, t0 + span)
-            for t in range(t0, t1):
-                m = live[t]
-                if t:
-                    new = owner[t, :m] != owner[t - 1, :m]
-                    gates, h = w[np.where(new, begin, ids[t - 1, :m])], h[:m]
-                    if new.any():
-                        h[new] = 0
-                else:
-                    gates = w[np.full(m, begin)]
-                h = self.net.step(gates, h)[0]
-                states.append(h)
-            target = np.concatenate([ids[t, : live[t]] for t in range(t0, t1)])
-            got, _ = log_probabilities(self.net, np.concatenate(states), target)
-            out += np.bincount(np.concatenate([owner[t, : live[t]] for t in range(t0, t1)]), got, len(texts))
-        return out / math.log(10)
+def log_scores(net: Network, texts: list[np.ndarray], lanes: int = STREAMS) -> np.ndarray:
+    """log10 probability of each whole text's ids by the network, all words outside its vocabulary as one; the state is carried to its end."""
+    out, h = np.zeros(len(texts)), np.zeros((HIDDEN, lanes), np.float32)
+    table = np.ascontiguousarray(net.p["w"].T)
+    for source, target, new, own, live in Lanes(texts, lanes).windows(0):
+        states, begins, gates = [], new.any(1).tolist(), np.empty((3 * HIDDEN, source.shape[1]), table.dtype)
+        for t, m in enumerate(live):
+            h = np.where(new[t, :m], 0, h[:, :m]) if begins[t] else h[:, :m]
+            np.take(table, source[t], axis=1, out=gates, mode="clip")
+            h = net.step(gates[:, :m], h)[0]
+            states.append(h)
+        at = np.arange(source.shape[1])[None] < np.array(live)[:, None]
+        got, _ = log_probabilities(net, np.concatenate(states, 1), target[at])
+        out += np.bincount(own[at], got, len(texts))
+    return out / math.log(10)
 
 
 def _common(counts: DataFrame) -> list[tuple[bytes, int]]:
@@ -332,6 +384,31 @@ def _common(counts: DataFrame) -> list[tuple[bytes, int]]:
     return [(END, end["c"] if end else 0), *sorted(found.items(), key=lambda x: (-x[1], x[0]))]
 
 
+def _encoded(source: DataFrame, common: list[tuple[bytes, int]]) -> DataFrame:
+    """Each text's row, ids of the network (16 bits each), sums over its common words and its other words (rare)."""
+    sent = source.sparkSession.sparkContext.broadcast(common)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, row = sent.value, TaskContext.get().partitionId() << 33
+        number = {w: i for i, (w, _) in enumerate(known)}.get
+        logs = np.array([math.log10(c + 1) for _, c in known] + [0.0])
+        counted = np.array([c > 0 for _, c in known] + [False])
+        for batch in batches:
+            for part in slices(batch, "text"):
+                rows: list[tuple] = []
+                for doc_id, held_out, text in zip(part.column("doc_id").to_pylist(), part.column("held_out").to_pylist(), whole_texts(part.column("text")), strict=True):
+                    found = [*words(text), END]
+                    at = np.fromiter((number(w, -1) for w in found), np.int32, len(found))
+                    rare, rest = at < 0, at >= VOCABULARY
+                    ids = np.where(rare | rest, VOCABULARY, at).astype(np.uint16)
+                    rows.append((row, doc_id, held_out, len(found), int(counted[at].sum()), int((rare | rest).sum()), float(logs[at].sum()), float(logs[at[rest]].sum()), [found[i] for i in np.nonzero(rare)[0]], ids.tobytes()))
+                    row += 1
+                columns = zip(*rows, strict=True)
+                yield to_batch({name: (values, kind) for (name, kind), values in zip(_ENCODED.items(), columns, strict=True)})
+
+    return source.mapInArrow(encode, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, n_rest long, logs double, rest_logs double, rare array<binary>, ids binary")
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each whole text.
 
@@ -359,53 +436,34 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     common = _common(counts)
     vocabulary = common[:VOCABULARY]
     inside = sum(c for _, c in vocabulary)
-    ids = {w: i for i, (w, _) in enumerate(vocabulary)}
+    encoded = materialize(_encoded(source, common), "encoded")
     net = fresh(np.array([c for _, c in vocabulary], float), tokens - inside)
-    net = train_network(materialize(_encoded(training, ids), "encoded"), net)
-
-    table = {w: (i, c) for i, (w, c) in enumerate(common)}
-    sent = spark.sparkContext.broadcast((pickle.dumps(net.p), table))
+    net = train_network(encoded.where(~F.col("held_out")).select("ids"), net)
+    sent = spark.sparkContext.broadcast(pickle.dumps(net.p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, known = sent.value
-        scorer, get, part = Scorer(Network(pickle.loads(raw))), known.get, TaskContext.get().partitionId() << 33
-        logs = np.array([math.log10(c + 1) for _, c in known.values()] + [0.0])
-        counted = np.array([c > 0 for _, c in known.values()] + [False])
-        number = {w: i for w, (i, _) in known.items()}.get
-        held: list[tuple] = []
-        rows, waiting = 0, 0
+        own, held, waiting = Network(pickle.loads(sent.value)), [], 0
 
         def flush() -> pa.RecordBatch:
-            scores = scorer.score([x[0] for x in held], 0)
-            columns = list(zip(*[x[1:] for x in held], strict=True)) or [()] * 9
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary())]
-            names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "n_rest", "logs", "rest_logs", "rare"]
-            out = to_batch({n: (v, k) for n, k, v in zip(names, kinds, columns, strict=True)} | {"net": (scores, pa.float64())})
-            held.clear()
-            return out
+            whole = pa.Table.from_batches(held)
+            found = log_scores(own, [np.frombuffer(x, np.uint16) for x in whole["ids"].to_pylist()])
+            return whole.drop_columns(["ids"]).append_column("net", pa.array(found, pa.float64())).combine_chunks().to_batches()[0]
 
         for batch in batches:
-            for piece in slices(batch, "text"):
-                for doc_id, out_of, text in zip(piece.column("doc_id").to_pylist(), piece.column("held_out").to_pylist(), whole_texts(piece.column("text")), strict=True):
-                    found = words(text)
-                    found.append(END)
-                    at = np.fromiter((number(w, -1) for w in found), np.int32, len(found))
-                    rest = at >= VOCABULARY
-                    outside = (rest | (at < 0)).sum()
-                    rare = [found[i] for i in np.nonzero(at < 0)[0]]
-                    own = np.where(rest | (at < 0), VOCABULARY, at).astype(np.int32)
-                    held.append((own, part + rows, doc_id, out_of, len(found), int(counted[at].sum()), int(outside), float(logs[at].sum()), float(logs[at[rest]].sum()), rare))
-                    rows, waiting = rows + 1, waiting + len(found)
-                if waiting >= HELD_TOKENS:
-                    yield flush()
-                    waiting = 0
-        yield flush()
-
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, n_rest long, logs double, rest_logs double, rare array<binary>, net double"
-    scored = materialize(source.mapInArrow(run, schema), "scored")
-    found = scored.select("row", F.explode("rare").alias("word")).join(counts, "word")
+            if batch.num_rows:
+                held.append(batch)
+                waiting += batch.column("ids").nbytes // 2
+            if waiting >= HELD_TOKENS:
+                yield flush()
+                held, waiting = [], 0
+        if held:
+            yield flush()
+
+    columns = ["row", "doc_id", "held_out", "n_tokens", "n_known", "n_rest", "logs", "rest_logs"]
+    scored = encoded.select(*columns, "ids").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, n_rest long, logs double, rest_logs double, net double")
+    found = encoded.select("row", F.explode("rare").alias("word")).join(counts, "word")
     found = found.groupBy("row").agg(F.sum(F.log10(F.col("c") + 1)).alias("rare_logs"), F.count("*").alias("rare_known"))
-    scored = scored.drop("rare").join(found, "row", "left").withColumn("rare_logs", F.coalesce("rare_logs", F.lit(0.0)))
+    scored = scored.join(found, "row", "left").withColumn("rare_logs", F.coalesce("rare_logs", F.lit(0.0)))
     base = math.log10(tokens + distinct + 1)
     rest = math.log10(tokens - inside + max(0, distinct - sum(c > 0 for _, c in vocabulary)) + 1)
     return scored.select(

@@ -76,6 +76,31 @@ def test_toxicity_of_odd_rows(spark, odd, none, labels):
     assert kept.columns == ["doc_id", "text", "lang", "held_out", "score", "predicted"]
 
 
+def test_scores_are_plain_pairwise_sums():
+    """Of a factorization machine, term by term and pair by pair; and gradients against differences of the loss."""
+    rng = np.random.default_rng(8)
+    w, v = rng.normal(0, 1, 30), rng.normal(0, 1, (30, 4))
+    model = toxicity.Model(0.3, w, v)
+    for n in (0, 1, 2, 9):
+        ids = rng.permutation(30)[:n]
+        x = 0.3 + sum(w[i] for i in ids) + sum(float(v[i] @ v[j]) for a, i in enumerate(ids) for j in ids[a + 1 :])
+        assert model.score(ids) == pytest.approx(1 / (1 + math.exp(-x)), rel=1e-9)
+    docs, labels = [rng.permutation(30)[:5] for _ in range(6)], np.array([0, 1, 0, 1, 1, 0.0])
+    w, v = w * 0.1, v * 0.1
+    start = toxicity.Model(0.1, w.copy(), v.copy())
+
+    def loss():
+        return -np.mean([np.log(p if y else 1 - p) for p, y in ((start.score(d), y) for d, y in zip(docs, labels, strict=True))])
+
+    toxicity._descend(docs, labels, 0.1, w, v, 1, 0.0, 0.0, np.random.default_rng(0), rate=1e-6)
+    for old, new in ((start.w, w), (start.v, v)):
+        change = new - old
+        for at in zip(*np.nonzero(change), strict=True):
+            by = slope(old, at, loss)
+            if abs(by) > 1e-4:
+                assert np.sign(change[at]) == -np.sign(by)
+
+
 # --- language
 
 
@@ -110,6 +135,42 @@ def test_language_of_odd_rows(spark, odd, none):
     assert {r["lang_pred"] for r in langid.predict(odd, one).collect()} <= {"en", "und"}
 
 
+def test_what_counts_as_a_letter(spark):
+    """Numerals and fractions are none, whatever the class of words they match."""
+    docs = frame(spark, [(i, t, "en") for i, t in enumerate(["½", "²³", "①", "Ⅷ", "٣", "a½", "ª", "漢", "é", "_"])])
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, langid.fit(docs)).collect()}
+    assert [got[i] == "und" for i in range(10)] == [True, True, True, True, True, False, False, False, False, True]
+
+
+def test_gradients_of_the_convolutions(monkeypatch):
+    """One step of Adam without momentum moves each weight against the sign of its slope, as differences of the loss give it."""
+    rng = np.random.default_rng(2)
+    x, y = rng.integers(1, 9, (6, langid.WINDOW)).astype(np.uint8), np.array([0, 1, 2, 0, 1, 2])
+    start = langid.train(x, y, ["a", "b", "c"], epochs=0)
+    moved = langid.train(x, y, ["a", "b", "c"], epochs=1, rate=1e-6)
+
+    def loss(model):
+        model._tables = None
+        p = model.probabilities(x).astype(float)
+        return -np.log(p[np.arange(6), y]).mean()
+
+    weights = lambda m: [m.embed, *m.filters, *m.biases, m.out, m.out_bias]
+    checked = 0
+    for old, new in zip(weights(start), weights(moved), strict=True):
+        flat, change = old.reshape(-1), (new - old).reshape(-1)
+        for i in np.argsort(-np.abs(flat))[:6]:
+            kept = flat[i]
+            flat[i] = kept + 2e-3
+            up = loss(start)
+            flat[i] = kept - 2e-3
+            by = (up - loss(start)) / 4e-3
+            flat[i] = kept
+            if abs(by) > 2e-3:
+                checked += 1
+                assert np.sign(change[i]) == -np.sign(by)
+    assert checked >= 10
+
+
 def test_windows_cover_the_text():
     for n in (0, 1, 255, 256, 257, 512, 1000):
         raw = bytes(i % 251 + 1 for i in range(n))
@@ -185,62 +246,109 @@ def test_probabilities_add_up_to_one():
     rng = np.random.default_rng(3)
     for k in net.p:
         net.p[k] = net.p[k] + rng.normal(0, 0.3, net.p[k].shape).astype(np.float32)
-    h = rng.normal(0, 1, (1, lm.HIDDEN)).astype(np.float32)
-    logs, _ = lm.log_probabilities(net, np.repeat(h, lm.VOCABULARY + 1, 0), np.arange(lm.VOCABULARY + 1))
+    h = rng.normal(0, 1, (lm.HIDDEN, 1)).astype(np.float32)
+    logs, _ = lm.log_probabilities(net, np.repeat(h, lm.VOCABULARY + 1, 1), np.arange(lm.VOCABULARY + 1))
     assert np.exp(logs.astype(float)).sum() == pytest.approx(1, abs=1e-4)
 
 
-def test_gradients():
-    """Of a window against differences of the loss."""
+@pytest.mark.parametrize("size,few", [(1, 0), (80, 0), (1, 9), (80, 9)])
+def test_gradients_of_the_softmax(size, few, monkeypatch):
+    """Against differences of the loss, with small and with very large logits, class by class and all at once."""
+    monkeypatch.setattr(lm, "FEW", few)
     rng = np.random.default_rng(1)
     net = lm.fresh(np.arange(lm.VOCABULARY, 0, -1).astype(float), 50)
-    h, target = rng.normal(0, 1, (5, lm.HIDDEN)), np.array([0, 40, 40, lm.VOCABULARY, 999])
+    h, target = rng.normal(0, 1, (lm.HIDDEN, 5)), np.array([0, 40, 40, lm.VOCABULARY, 999])
     net.p = {k: v.astype(float) for k, v in net.p.items()}
+    net.p["cb"] *= size
     grad = {k: np.zeros_like(v) for k, v in net.p.items()}
     _, dh = lm.log_probabilities(net, h, target, grad)
     loss = lambda: -lm.log_probabilities(net, h, target)[0].sum()
     for k, at in (("c", (3, 1)), ("cb", (0,)), ("o", (1, 4, 8)), ("ob", (1, 8))):
-        old, e = net.p[k][at], 1e-5
-        net.p[k][at] = old + e
-        up = loss()
-        net.p[k][at] = old - e
-        down = loss()
-        net.p[k][at] = old
-        assert grad[k][at] == pytest.approx((up - down) / (2 * e), abs=1e-6)
-    old = h[2, 3]
-    h[2, 3] = old + 1e-5
+        assert grad[k][at] == pytest.approx(slope(net.p[k], at, loss), abs=1e-5)
+    assert dh[3, 2] == pytest.approx(slope(h, (3, 2), loss), abs=1e-5)
+
+
+def slope(x, at, loss, e=1e-5):
+    old = x[at]
+    x[at] = old + e
     up = loss()
-    h[2, 3] = old - 1e-5
-    assert dh[2, 3] == pytest.approx((up - loss()) / 2e-5, abs=1e-6)
+    x[at] = old - e
+    down = loss()
+    x[at] = old
+    return (up - down) / (2 * e)
+
+
+def test_gradients_of_the_recurrence():
+    """Of a window of three lanes that end at different steps and hold several texts, against differences of the loss."""
+    rng = np.random.default_rng(6)
+    net = lm.fresh(np.arange(lm.VOCABULARY, 0, -1).astype(float), 50)
+    net.p = {k: v + rng.normal(0, 0.3, v.shape) for k, v in net.p.items()}
+    texts = [rng.integers(0, 40, n) for n in (6, 1, 3, 2, 4)]
+    source, target, new, own, live = next(lm.Lanes(texts, 3).windows(0, 9))
+    assert live[0] == 3 and live[-1] < 3 and new[1:].any() and sum(live) == sum(map(len, texts))
+    h = rng.normal(0, 0.5, (lm.HIDDEN, 3))
+    begun = h * ~new[0]  # a lane that begins a text forgets
+
+    def loss():
+        total = 0.0
+        for s in range(3):
+            state = begun[:, [s]]
+            for t in range(sum(m > s for m in live)):
+                state = np.zeros_like(state) if new[t, s] else state
+                state = net.step(net.p["w"][[source[t, s]]].T, state)[0]
+                total -= lm.log_probabilities(net, state, target[t, [s]])[0][0]
+        return total
+
+    grad = {k: np.zeros_like(v) for k, v in net.p.items() if k != "w"}
+    _, (used, dw) = lm._window(net, source, target, new, live, h, grad)
+    assert set(used) == {source[t, s] for t, m in enumerate(live) for s in range(m)}
+    for i in range(0, 3 * lm.HIDDEN, 5):
+        assert grad["u"][3, i] == pytest.approx(slope(net.p["u"], (3, i), loss), abs=1e-5)
+        for j in (0, len(used) - 1):
+            assert dw[j, i] == pytest.approx(slope(net.p["w"], (used[j], i), loss), abs=1e-5)
+    assert grad["o"][0, 2, 5] == pytest.approx(slope(net.p["o"], (0, 2, 5), loss), abs=1e-5)
 
 
 def test_training_learns_order():
     """A fixed cycle of words has no surprise for a network that carries its state."""
     net = lm.fresh(np.full(8, 100.0), 0)
-    blocks = [np.array([(i + j) % 8 for j in range(65)]) for i in range(8)] * 40
-    before = lm.Scorer(net).score([b[1:] for b in blocks[:8]], 0).sum()
-    memory = None
-    for _ in range(6):
-        lm.train_blocks(net, blocks, memory=memory)
-    assert lm.Scorer(net).score([b[1:] for b in blocks[:8]], 0).sum() > before / 4
+    texts = [np.array([(i + j) % 8 for j in range(64)]) for i in range(8)] * 40
+    before = lm.log_scores(net, texts[:8]).sum()
+    for _ in range(30):
+        lm.train_lanes(net, texts, lanes=64)
+    assert lm.log_scores(net, texts[:8]).sum() > before / 4
 
 
 def test_texts_side_by_side_score_as_alone():
     rng = np.random.default_rng(4)
     net = lm.fresh(np.arange(lm.VOCABULARY, 0, -1).astype(float), 50)
-    texts = [rng.integers(0, lm.VOCABULARY + 1, n).astype(np.int32) for n in (1, 700, 3, 45, 2, 2000, 9)]
-    scorer = lm.Scorer(net)
-    together = scorer.score(texts, 0)
-    assert together == pytest.approx([scorer.score([t], 0)[0] for t in texts], rel=1e-5)
+    texts = [rng.integers(0, lm.VOCABULARY + 1, n).astype(np.uint16) for n in (1, 700, 3, 45, 2, 2000, 9)]
+    together = lm.log_scores(net, texts, 3)
+    assert together == pytest.approx([lm.log_scores(net, [t])[0] for t in texts], rel=1e-5)
     plain, p = [], net.p
     for t in texts[:4]:
-        h, total, last = np.zeros((1, lm.HIDDEN)), 0.0, 0
+        h, total, last = np.zeros((lm.HIDDEN, 1)), 0.0, 0
         for x in t:
-            h = net.step(p["w"][[last]], h)[0]
+            h = net.step(p["w"][[last]].T, h)[0]
             total += lm.log_probabilities(net, h, np.array([x]))[0][0]
             last = x
         plain.append(total / math.log(10))
     assert together[:4] == pytest.approx(plain, rel=1e-4)
+    assert len(lm.log_scores(net, [])) == 0
+
+
+def test_memory_of_a_very_long_text():
+    """A text of a million tokens beside many short ones: memory is of all tokens, not of the longest for each."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    net = lm.fresh(np.arange(lm.VOCABULARY, 0, -1).astype(float), 50)
+    texts = [rng.integers(0, lm.VOCABULARY + 1, n).astype(np.uint16) for n in [1_000_000] + [20] * 600]
+    tracemalloc.start()
+    found = lm.log_scores(net, texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.isfinite(found).all() and peak < 100e6
 
 
 def test_averages_weigh_tokens():
@@ -263,9 +371,9 @@ def test_network_learns_from_every_training_text(spark):
 def test_training_counts_every_token():
     """Texts of one token and of many windows, held in several parts."""
     rng = np.random.default_rng(2)
-    texts = [rng.integers(0, lm.VOCABULARY + 1, n + 1).astype(np.uint16) for n in (1, 700, 3, 64, 65, 2000, 9, 1)]
+    texts = [rng.integers(0, lm.VOCABULARY + 1, n).astype(np.uint16) for n in (1, 700, 3, 64, 65, 2000, 9, 1)]
     for held in (50, 4000):
-        assert lm.train_texts(lm.fresh(np.full(lm.VOCABULARY, 5.0), 9), iter(texts), 0.05, held) == sum(len(t) - 1 for t in texts)
+        assert lm.train_texts(lm.fresh(np.full(lm.VOCABULARY, 5.0), 9), iter(texts), 0.05, held) == sum(map(len, texts))
 
 
 def test_count_of_the_end_beside_many_words_of_its_level(spark, monkeypatch):
