@@ -124,3 +124,17 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in zip(order, order[1:], strict=False)] + [(b"\xf0", b"\xf0"), (b"\xf1", b"\xf2")], "a binary, b binary")
     got = {bytes(r["node"]): bytes(r["root"]) for r in near_dedup.components(edges).collect()}
     assert {got.get(bytes([i]), bytes([i])) for i in range(n)} == {b"\x00"} and got[b"\xf2"] == b"\xf1"
+
+
+def test_recall_at_the_threshold():
+    """Of 2,000 pairs of sets of similarity 0.8 exactly, those that share no band, or whose sketches look too unlike."""
+    rng = np.random.default_rng(11)
+    lost = 0
+    for n in np.repeat([9, 45, 180, 900], 500):
+        x = rng.integers(0, 1 << 63, n + n // 9 * 2, dtype=np.uint64)  # n in both, n / 9 more in each: n / (n + 2 n / 8) is 0.8 for n of 8 to 9 parts
+        both, each = x[: n // 9 * 8], n // 9
+        one, two = np.concatenate([both, x[n : n + each]]), np.concatenate([both, x[n + each :]])
+        a, b = near_dedup.signature(one), near_dedup.signature(two)
+        likely = near_dedup.estimates(a.astype(np.uint8), b.astype(np.uint8)[None])[0] >= near_dedup.LEAST_ESTIMATE
+        lost += not (likely and (near_dedup.bands(a) == near_dedup.bands(b)).any())
+    assert lost == 0
