@@ -7,6 +7,9 @@ import json
 import sys
 import threading
 import time
+import urllib.request
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlsplit
 
@@ -22,6 +25,18 @@ class Service:
     def __init__(self, engine: SearchEngine, folder: str | None = None, cache: str | None = None):
         self.engine, self.folder, self.cache = engine, folder, cache
         self.building = threading.Lock()
+        self.asked, self.busy = time.monotonic(), 0
+        self.stop: Callable[[], None] = lambda: None
+
+    @contextmanager
+    def answering(self) -> Iterator[None]:
+        """A request, for the time of the last one and the number that are being answered."""
+        self.busy += 1
+        try:
+            yield
+        finally:
+            self.busy -= 1
+            self.asked = time.monotonic()
 
     def health(self) -> tuple[int, dict]:
         ready = self.engine.index is not None
@@ -67,9 +82,17 @@ def handler(service: Service) -> type[BaseHTTPRequestHandler]:
             self.wfile.write(raw)
 
         def do_GET(self) -> None:
+            with service.answering():
+                self.get()
+
+        def do_POST(self) -> None:
+            with service.answering():
+                self.post()
+
+        def get(self) -> None:
             url = urlsplit(self.path)
             if url.path == "/":
-                self.answer(200, {"name": "quillspark", "paths": ["/health", "/search?q=&top_k=", "POST /index"]})
+                self.answer(200, {"name": "quillspark", "paths": ["/health", "/search?q=&top_k=", "POST /index", "POST /stop"]})
             elif url.path == "/health":
                 self.answer(*service.health())
             elif url.path == "/search":
@@ -77,10 +100,13 @@ def handler(service: Service) -> type[BaseHTTPRequestHandler]:
             else:
                 self.answer(404, {"error": "no such path"})
 
-        def do_POST(self) -> None:
+        def post(self) -> None:
             body = self.rfile.read(int(self.headers.get("Content-Length") or 0))
             if urlsplit(self.path).path == "/index":
                 self.answer(*service.index(body))
+            elif urlsplit(self.path).path == "/stop":
+                self.answer(200, {"status": "stopped"})
+                threading.Thread(target=service.stop, daemon=True).start()  # which waits for the end of this request
             else:
                 self.answer(404, {"error": "no such path"})
 
@@ -90,9 +116,19 @@ def handler(service: Service) -> type[BaseHTTPRequestHandler]:
     return Handler
 
 
-def serve(service: Service, host: str, port: int) -> ThreadingHTTPServer:
-    """A server that is bound and still to be started."""
-    return ThreadingHTTPServer((host, port), handler(service))
+def serve(service: Service, host: str, port: int, idle: float | None = None) -> ThreadingHTTPServer:
+    """A server that is bound and still to be started. It ends by POST /stop, or once nobody has asked for ``idle`` seconds."""
+    server = ThreadingHTTPServer((host, port), handler(service))
+    service.stop = server.shutdown
+    if idle is not None:
+
+        def watch() -> None:
+            while (rest := service.asked + idle - time.monotonic()) > 0 or service.busy:
+                time.sleep(max(rest, 0.05))
+            server.shutdown()
+
+        threading.Thread(target=watch, daemon=True).start()
+    return server
 
 
 def _arguments(argv: list[str]) -> argparse.Namespace:
@@ -108,34 +144,43 @@ def _arguments(argv: list[str]) -> argparse.Namespace:
     for name, text in (("test", "recall over a file of questions and keywords"), ("benchmark", "recall and latency over the same, run twice")):
         sub = commands.add_parser(name, help=text)
         sub.add_argument("folder")
-        sub.add_argument("questions")
+        sub.add_argument("questions", nargs="?" if name == "benchmark" else None, help="file of lines N. question -> keyword, keyword" + " (default: the built-in questions)" * (name == "benchmark"))
     for name in ("serve", "daemon"):
         sub = commands.add_parser(name, help="answer over HTTP")
         sub.add_argument("folder", nargs="?")
         sub.add_argument("--host", default="127.0.0.1")
         sub.add_argument("--port", type=int, default=9090)
+        sub.add_argument("--idle", type=float, help="end after so many seconds without a request")
+    end = commands.add_parser("stop", help="end the server of a port")
+    end.add_argument("--host", default="127.0.0.1")
+    end.add_argument("--port", type=int, default=9090)
     return parser.parse_args(argv)
 
 
 def main(argv: list[str] | None = None) -> int:
     given = _arguments(sys.argv[1:] if argv is None else argv)
+    if given.command == "stop":
+        with urllib.request.urlopen(f"http://{given.host}:{given.port}/stop", b"", timeout=10) as r:
+            print(r.read().decode())
+        return 0
     spark = SparkSession.builder.appName("quillspark").getOrCreate()
     engine = SearchEngine(spark, kind=given.kind)
     began = time.time()
     if given.folder:
-        print(f"{engine.index_folder(given.folder, given.cache, given.no_cache)} chunks in {time.time() - began:.1f} s")
+        tell = (lambda done, total: print(f"\r{done}/{total} tasks", end="", file=sys.stderr)) if sys.stderr.isatty() else None
+        print(f"{engine.index_folder(given.folder, given.cache, given.no_cache, tell)} chunks in {time.time() - began:.1f} s")
     if given.command == "search":
         began = time.time()
         for r in json.loads(engine.search_json(" ".join(given.query), given.top_k)):
             print(f"{r['rank']}. [{r['score']:.4f}] {r['source']} | {r['heading']}\n{r['expanded'][:500]}\n")
         print(f"{1000 * (time.time() - began):.0f} ms")
     elif given.command in ("test", "benchmark"):
-        truth = evaluate.load(spark, given.questions)
+        truth = evaluate.load(spark, given.questions) if given.questions else evaluate.questions(spark)
         for _ in range(1 + (given.command == "benchmark")):
             found = engine.evaluate(truth, given.top_k)
             print(f"recall {found['hits']}/{found['queries']} = {found['recall']:.1%}, {found['average_ms']:.1f} ms a query")
     else:
-        server = serve(Service(engine, given.folder, given.cache), given.host, given.port)
+        server = serve(Service(engine, given.folder, given.cache), given.host, given.port, given.idle)
         print(f"http://{given.host}:{server.server_port}")
         server.serve_forever()
     return 0

@@ -14,6 +14,7 @@ from .operators import evaluate, search
 from .operators.index import ChunkIndex
 from .operators.score import query_frame
 from .operators.search import CosineIndex
+from .progress import Tell, progress
 from .sources.folder import read_folder
 
 KINDS = {"bm25": ChunkIndex, "cosine": CosineIndex}
@@ -31,15 +32,16 @@ class SearchEngine:
         self.spark, self.settings, self.kind = spark, settings or Settings.load(), kind
         self.index: ChunkIndex | CosineIndex | None = None
 
-    def index_documents(self, docs: DataFrame, id_col: str = "source", text_col: str = "text", path: str | None = None) -> int:
-        """Builds the index of a table of documents; gives the number of chunks."""
-        if self.kind == "cosine":
-            self.index = CosineIndex.build(docs, self.settings, id_col=id_col, text_col=text_col, path=path)
-        else:
-            self.index = ChunkIndex.build(docs, id_col=id_col, text_col=text_col, path=path)
-        return self.health()
+    def index_documents(self, docs: DataFrame, id_col: str = "source", text_col: str = "text", path: str | None = None, tell: Tell | None = None) -> int:
+        """Builds the index of a table of documents; gives the number of chunks. tell is called with tasks done and known meanwhile."""
+        with progress(self.spark, tell):
+            if self.kind == "cosine":
+                self.index = CosineIndex.build(docs, self.settings, id_col=id_col, text_col=text_col, path=path).warmed()
+            else:
+                self.index = ChunkIndex.build(docs, id_col=id_col, text_col=text_col, path=path).warmed()
+            return self.health()
 
-    def index_folder(self, folder: str, cache: str | None = None, no_cache: bool = False) -> int:
+    def index_folder(self, folder: str, cache: str | None = None, no_cache: bool = False, tell: Tell | None = None) -> int:
         """Opens the index kept under ``cache`` if there is one, else reads the folder and keeps it there."""
         if cache and not no_cache:
             try:
@@ -48,7 +50,7 @@ class SearchEngine:
             except AnalysisException as e:
                 if e.getCondition() != "PATH_NOT_FOUND":
                     raise
-        return self.index_documents(read_folder(self.spark, folder), path=cache)
+        return self.index_documents(read_folder(self.spark, folder), path=cache, tell=tell)
 
     def add(self, text: str, source: str, page: int = 0) -> int:
         """Adds one text to a bm25 index; gives the number of its chunks. A cosine index is built as a whole."""
@@ -63,7 +65,7 @@ class SearchEngine:
         self._opened().save(path)
 
     def load(self, path: str) -> None:
-        self.index = KINDS[self.kind].load(self.spark, path)
+        self.index = KINDS[self.kind].load(self.spark, path).warmed()
 
     def _opened(self) -> ChunkIndex | CosineIndex:
         if self.index is None:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import QUESTIONS
+
 
 def parse(lines: DataFrame, col: str = "value") -> DataFrame:
     """qid, query and keywords from lines `N. query -> kw, kw`; lines without an arrow and empty keywords go."""
@@ -20,6 +22,12 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return parse(spark.read.text(path))
 
 
+def questions(spark: SparkSession) -> DataFrame:
+    """qid, query and keywords of the built-in questions."""
+    rows = [(i + 1, q, [w.lower() for w in words]) for i, (q, words) in enumerate(QUESTIONS)]
+    return spark.createDataFrame(rows, "qid int, query string, keywords array<string>")
+
+
 def hits(truth: DataFrame, results: DataFrame) -> DataFrame:
     """qid and hit: whether any keyword stands in the lower-case snippets and expansions of the query's results."""
     blob = results.groupBy("qid").agg(F.lower(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "snippet", "expanded"))), lambda x: F.concat_ws(" ", x["snippet"], x["expanded"])), " ")).alias("blob"))

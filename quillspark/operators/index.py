@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections import Counter
+from collections.abc import Iterable
+from dataclasses import dataclass, field
 from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,6 +18,20 @@ from ..scratch import materialize, scratch_path
 KEY = ["doc_id", "chunk_no"]
 
 
+#: Tables of so many bytes at most, all together, are kept in memory by an engine.
+HELD_BYTES = 256 << 20
+
+
+def kept_in_memory(tables: list[DataFrame]) -> bool:
+    """Keeps written tables in memory if they are small; says whether it does."""
+    sizes = [int(str(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for t in tables]
+    if sum(sizes) > HELD_BYTES:
+        return False
+    for t in tables:
+        t.persist()
+    return True
+
+
 def analysed(chunks: DataFrame) -> DataFrame:
     """chunks with lex (words without stopwords, then bigrams) and tri (padded trigrams); chunks with neither go."""
     lists = lambda words, base: F.struct(F.concat(base, text.bigrams(base)).alias("lex"), text.trigrams(words).alias("tri"))
@@ -42,6 +58,8 @@ class ChunkIndex:
     terms: DataFrame
     totals: DataFrame
     TABLES: ClassVar[tuple[str, ...]] = ("chunks", "posted", "terms", "totals")
+    _stats: tuple[int, float, float] | None = field(default=None, init=False, repr=False)
+    _held: dict[tuple[str, str], int] | None = field(default=None, init=False, repr=False)
 
     @classmethod
     def build(cls, docs: DataFrame, sizes: Chunking = SMALL_CHUNKS, page: int = 0, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> ChunkIndex:
@@ -83,11 +101,36 @@ class ChunkIndex:
     def union(self, other: ChunkIndex) -> ChunkIndex:
         return ChunkIndex(*[getattr(self, t).unionByName(getattr(other, t), allowMissingColumns=True) for t in self.TABLES])
 
+    def compacted(self, path: str | None = None) -> ChunkIndex:
+        """This index with all additions laid out as one, under path or in the shared folder: statistics have one row each again."""
+        root = path or scratch_path(self.chunks.sparkSession, "chunk-index")
+        totals = self.totals.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "w_sum", "t_sum")])
+        ChunkIndex(self.chunks, self.posted, self.document_frequency(), totals).save(root)
+        return ChunkIndex.load(self.chunks.sparkSession, root)
+
+    def warmed(self) -> ChunkIndex:
+        """This index kept in memory for searches, if its tables are HELD_BYTES at most; its terms are then held by the driver. Else as it is."""
+        if not kept_in_memory([self.chunks, self.posted, self.terms]):
+            return self
+        held: Counter = Counter()
+        for f, term, df in zip(*(c.to_pylist() for c in self.terms.select("field", "term", "df").toArrow().columns), strict=True):
+            held[f, term] += df
+        self._held = held
+        return self
+
     def field_stats(self) -> tuple[int, float, float]:
         """Chunks, and the mean lengths of both fields (1 at least)."""
-        rows = self.totals.select("n", "w_sum", "t_sum").collect()  # one for each addition
-        n, w, t = (sum(r[i] for r in rows) for i in range(3))
-        return n, max(w / max(n, 1), 1.0), max(t / max(n, 1), 1.0)
+        if self._stats is None:
+            n, w, t = self.totals.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "w_sum", "t_sum")]).first()
+            self._stats = n, max(w / max(n, 1), 1.0), max(t / max(n, 1), 1.0)
+        return self._stats
+
+    def frequencies(self, terms: Iterable[str]) -> dict[tuple[str, str], int]:
+        """df by field and term of some terms."""
+        if self._held is not None:
+            return self._held
+        rows = self.terms.where(F.col("term").isin(sorted(terms))).groupBy("field", "term").agg(F.sum("df").alias("df"))
+        return {(r["field"], r["term"]): r["df"] for r in rows.collect()}
 
     def document_frequency(self) -> DataFrame:
         """field, term and df."""
@@ -133,6 +176,29 @@ def sparse_vectors(rows: DataFrame, keys: list[str], text_col: str, vocab: DataF
     return weighed.withColumn("weight", F.when(norm > 0, F.col("raw") / norm).otherwise(F.col("raw"))).select(*keys, "term", "weight")
 
 
+@dataclass
+class Vocabulary:
+    """term and idf, for the vectors of queries."""
+
+    vocab: DataFrame
+    _held: dict[str, float] | None = field(default=None, init=False, repr=False)
+
+    @property
+    def held(self) -> bool:
+        """Whether the driver holds the vocabulary, as it does for small indexes kept in memory."""
+        return self._held is not None
+
+    def hold(self) -> None:
+        terms, idf = self.vocab.select("term", "idf").toArrow().columns
+        self._held = dict(zip(terms.to_pylist(), idf.to_pylist(), strict=True))
+
+    def weights(self, terms: Iterable[str]) -> dict[str, float]:
+        """idf of some terms, as far as they are known."""
+        if self._held is not None:
+            return self._held
+        return {r["term"]: r["idf"] for r in self.vocab.where(F.col("term").isin(sorted(terms))).select("term", "idf").collect()}
+
+
 def hashed_vectors(rows: DataFrame, keys: list[str], text_col: str, dim: int) -> DataFrame:
     """keys, dim and weight: counts of hashed n-grams scaled to length 1."""
     found = histogram(rows, keys, text_col, dim)

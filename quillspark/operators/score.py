@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,11 +13,19 @@ from pyspark.sql import functions as F
 
 from ..config import BM25_B, BM25_K1, FINANCE_TERMS, FUSION_K, NUMERIC_BOOST, TRIGRAM_WEIGHT, WORD_WEIGHT
 from ..functions import text
-from .index import KEY, ChunkIndex, bm25_idf
+from .index import KEY, ChunkIndex, Vocabulary, bm25_idf, lookup_terms, sparse_vectors
 
 
-#: Up to so many values are pushed into a scan as a list.
+#: Up to so many values are pushed into a scan as a list, and up to so many queries are looked at by the driver.
 LISTED = 1000
+#: Up to so many postings are scored by one task, without an exchange.
+ONE_TASK = 200_000
+
+
+def few(queries: DataFrame) -> bool:
+    """Whether the planner knows that the queries are LISTED at most, as it does of query_frame()."""
+    most = queries._jdf.queryExecution().optimizedPlan().maxRows()
+    return most.isDefined() and most.get() <= LISTED
 
 
 def query_frame(spark: SparkSession, queries: Sequence[tuple[int, str]]) -> DataFrame:
@@ -26,40 +35,67 @@ def query_frame(spark: SparkSession, queries: Sequence[tuple[int, str]]) -> Data
     return spark.createDataFrame(pa.table(columns))
 
 
+def _query_fields(queries: DataFrame) -> DataFrame:
+    """qid and the terms of each field (w, t), repeated as in the query."""
+    words = queries.select("qid", text.tokens(text.collapse(F.col("query"))).alias("_words"))
+    base = text.without_stopwords(F.col("_words"))
+    return words.select("qid", F.concat(base, text.bigrams(base)).alias("w"), text.trigrams(F.col("_words")).alias("t"))
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """qid, field, term, qf (occurrences in the query) and nq (distinct terms of it in the field, unknown ones too)."""
-    base = text.without_stopwords(F.col("_words"))
-    fields = F.array(F.struct(F.lit("w").alias("field"), F.concat(base, text.bigrams(base)).alias("terms")), F.struct(F.lit("t").alias("field"), text.trigrams(F.col("_words")).alias("terms")))
-    found = queries.select("qid", text.tokens(text.collapse(F.col("query"))).alias("_words")).select("qid", F.inline(fields))
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("terms")) for f in ("w", "t")])
     count = lambda t: F.struct(t.alias("term"), F.size(F.filter("terms", lambda x: x == t)).alias("qf"))  # noqa: E731  queries are short
+    found = _query_fields(queries).select("qid", F.inline(fields))
     return found.select("qid", "field", F.size(F.array_distinct("terms")).alias("nq"), F.inline(F.transform(F.array_distinct("terms"), count)))
 
 
-def _weighed(index: ChunkIndex, terms: DataFrame, n: int) -> tuple[DataFrame, Column]:
-    """query_terms() with a positive idf, and a condition on terms for scans.
+_WEIGHED = pa.schema([("qid", pa.int32()), ("field", pa.string()), ("nq", pa.int32()), ("term", pa.string()), ("qf", pa.int32()), ("idf", pa.float64())])
+
+
+@dataclass
+class Asked:
+    """The terms of some queries (query_terms() with a positive idf), a condition on terms for scans, and how many postings meet both (None: unknown)."""
 
-    The terms of a few queries are looked up by a pushed list, and the planner is given the
-    few rows that come of it; those of many are joined.
-    """
-    spark = terms.sparkSession
-    few = terms.limit(LISTED + 1).toArrow()
-    if few.num_rows > LISTED:
-        joined = terms.join(index.document_frequency(), ["field", "term"]).withColumn("idf", bm25_idf(F.col("df"), F.lit(float(n))))
-        return joined.where(F.col("idf") > 0), F.lit(True)
-    listed = F.col("term").isin(sorted(set(few["term"].to_pylist())))
-    df: Counter = Counter()
-    for r in index.terms.where(listed).collect():
-        df[r["field"], r["term"]] += r["df"]
-    rows = [r | {"idf": idf} for r in few.to_pylist() if (k := df[r["field"], r["term"]]) and (idf := math.log((n - k + 0.5) / (k + 0.5) + 1)) > 0]
-    return spark.createDataFrame(pa.Table.from_pylist(rows, schema=few.schema.append(pa.field("idf", pa.float64())))), listed
+    terms: DataFrame
+    listed: Column
+    postings: int | None
+
+
+def asked_terms(index: ChunkIndex, queries: DataFrame, fields: Sequence[str] = ("w", "t")) -> Asked:
+    """The terms of a few queries are looked up by a pushed list, and the planner is given the rows that come of it; those of many are joined."""
+    n = index.field_stats()[0]
+    if few(queries):
+        rows = []
+        for r in _query_fields(queries).collect():
+            for field in fields:
+                counted = Counter(r[field])
+                rows += [{"qid": r["qid"], "field": field, "nq": len(counted), "term": t, "qf": qf} for t, qf in counted.items()]
+        terms = {r["term"] for r in rows}
+        if len(terms) <= LISTED:
+            df, found, postings = index.frequencies(terms), [], 0
+            for r in rows:
+                k = df.get((r["field"], r["term"]), 0)
+                if k and (idf := math.log((n - k + 0.5) / (k + 0.5) + 1)) > 0:
+                    found.append(r | {"idf": idf})
+                    postings += k
+            return Asked(queries.sparkSession.createDataFrame(pa.Table.from_pylist(found, schema=_WEIGHED)), F.col("term").isin(sorted(terms)), postings)
+    joined = query_terms(queries).where(F.col("field").isin(*fields)).join(index.document_frequency(), ["field", "term"])
+    return Asked(joined.withColumn("idf", bm25_idf(F.col("df"), F.lit(float(n)))).where(F.col("idf") > 0), F.lit(True), None)
 
 
 def bm25(index: ChunkIndex, queries: DataFrame, fields: Sequence[str] = ("w", "t")) -> DataFrame:
     """qid, field, doc_id, chunk_no, raw (sum of contributions), matched (distinct query terms) and nq."""
-    n, w_avg, t_avg = index.field_stats()
-    asked = F.col("field").isin(*fields)
-    terms, listed = _weighed(index, query_terms(queries).where(asked), n)
-    hits = index.posted.where(listed & asked).join(terms, ["field", "term"]).select("qid", "field", "qf", "nq", "idf", F.inline("postings"))
+    return scored(index, asked_terms(index, queries, fields), fields)
+
+
+def scored(index: ChunkIndex, asked: Asked, fields: Sequence[str] = ("w", "t")) -> DataFrame:
+    """bm25() of terms that have been looked up; few postings are scored by one task."""
+    _, w_avg, t_avg = index.field_stats()
+    posted = index.posted.where(asked.listed & F.col("field").isin(*fields))
+    if asked.postings is not None and asked.postings <= ONE_TASK:
+        posted = posted.coalesce(1)
+    hits = posted.join(asked.terms, ["field", "term"]).select("qid", "field", "qf", "nq", "idf", F.inline("postings"))
     norm = 1 - BM25_B + BM25_B * F.col("len") / F.when(F.col("field") == "w", w_avg).otherwise(t_avg)
     gain = F.col("idf") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * norm) * (1 + 0.1 * (F.col("qf") - 1))
     return hits.groupBy("qid", "field", *KEY).agg(F.sum(gain).alias("raw"), F.count("*").alias("matched"), F.first("nq").alias("nq"))
@@ -81,11 +117,11 @@ def by_score(scored: DataFrame, k: int, by: Sequence[str] = ("qid",)) -> DataFra
     return best(scored, k, F.desc(F.round("score", 9)), by=by)
 
 
-def fused(ranked: DataFrame) -> DataFrame:
-    """qid, doc_id, chunk_no and score: the weighted reciprocal ranks in the lists of both fields."""
+def fused(ranked: DataFrame, together: bool = False) -> DataFrame:
+    """qid, doc_id, chunk_no and score: the weighted reciprocal ranks in the lists of both fields. together: whether one task has them all."""
     weight = F.when(F.col("field") == "w", WORD_WEIGHT).otherwise(TRIGRAM_WEIGHT)
-    together = ranked.repartition("qid")  # the sums and the ranks that follow need no further exchange
-    return together.groupBy("qid", *KEY).agg(F.sum(weight / (FUSION_K + F.col("rank"))).alias("score"))
+    ranked = ranked if together else ranked.repartition("qid")  # the sums and the ranks that follow need no further exchange
+    return ranked.groupBy("qid", *KEY).agg(F.sum(weight / (FUSION_K + F.col("rank"))).alias("score"))
 
 
 def query_numbers(queries: DataFrame) -> DataFrame:
@@ -104,6 +140,24 @@ def numeric_boost(scored: DataFrame, contents: DataFrame, queries: DataFrame) ->
     return scored.join(hit, ["qid", *KEY], "left").withColumn("boosted", F.col("score") + F.coalesce("_boost", F.lit(0.0))).drop("_boost")
 
 
+_VECTORS = pa.schema([("qid", pa.int32()), ("term", pa.string()), ("weight", pa.float64())])
+
+
+def query_vectors(queries: DataFrame, index: Vocabulary) -> tuple[DataFrame, Column]:
+    """qid, term and weight, and a condition on terms for scans. Terms of a few queries are looked up by a pushed list."""
+    if few(queries):
+        asked = [(r["qid"], Counter(r["terms"])) for r in queries.select("qid", lookup_terms(F.col("query")).alias("terms")).collect()]
+        terms = set().union(*(c for _, c in asked))
+        if len(terms) <= LISTED:
+            idf, rows = index.weights(terms), []
+            for qid, counted in asked:
+                raw = {t: n * idf[t] for t, n in counted.items() if t in idf}
+                norm = math.sqrt(math.fsum(x * x for x in raw.values()))
+                rows += [{"qid": qid, "term": t, "weight": x / norm if norm > 0 else x} for t, x in raw.items()]
+            return queries.sparkSession.createDataFrame(pa.Table.from_pylist(rows, schema=_VECTORS)), F.col("term").isin(sorted(terms))
+    return sparse_vectors(queries, ["qid"], "query", index.vocab), F.lit(True)
+
+
 def sparse_scores(vectors: DataFrame, query_vectors: DataFrame, keys: list[str] = KEY) -> DataFrame:
     """qid, keys and sparse: the inner product of unit vectors, for those that share a term."""
     asked = query_vectors.select("qid", "term", F.col("weight").alias("_q"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import ClassVar
 
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,11 +14,11 @@ from ..config import FIELD_CANDIDATES, FINANCE_TERMS, Settings
 from ..functions import segment, text
 from ..scratch import materialize, scratch_path
 from . import embed, score
-from .index import KEY, ChunkIndex, lookup_terms, sparse_vectors, vocabulary
+from .index import KEY, ChunkIndex, Vocabulary, kept_in_memory, sparse_vectors, vocabulary
 
 
-#: So many chunk keys may be sorted out on their own to find those that a query does not hit.
-FILL = 100_000
+#: Keys of a block that a query meets.
+KEY_BLOCK = 4096
 
 
 def with_next(chunks: DataFrame) -> DataFrame:
@@ -31,16 +31,23 @@ def expanded(content: Column, following: Column, most: int) -> Column:
     return F.left(F.when(following.isNull(), content).otherwise(F.concat(content, F.lit(" "), F.left(following, F.lit(600)))), F.lit(most))
 
 
-def _results(ranked: DataFrame, chunks: DataFrame, snippet: int, most: int, flat: bool) -> DataFrame:
+def _results(ranked: DataFrame, chunks: DataFrame, snippet: int, most: int, flat: bool, few: bool) -> DataFrame:
     """qid, rank, doc_id, chunk_no, score, page, source, heading, snippet and expanded.
 
-    The ranked few are found first; where they are few indeed, their documents are looked up
-    by a pushed list.
+    The ranked few are found first; those of few queries go to the driver, and their
+    documents are looked up by a pushed list, those of many are written and joined.
     """
-    spark = ranked.sparkSession
-    table = ranked.select("qid", "rank", *KEY, "score").toArrow()
-    found, listed = spark.createDataFrame(table), table["doc_id"].unique().to_pylist()
-    known = chunks.where(F.col("doc_id").isin(listed)) if len(listed) <= score.LISTED else chunks.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
+    spark, ranked = ranked.sparkSession, ranked.select("qid", "rank", *KEY, "score")
+    if few:
+        table = ranked.toArrow()
+        found, listed = spark.createDataFrame(table), table["doc_id"].unique().to_pylist()
+    else:
+        found, listed = materialize(ranked, "ranked"), None
+    if listed is not None and len(listed) <= score.LISTED:
+        known = chunks.where(F.col("doc_id").isin(listed))
+        known = known.coalesce(1) if len(listed) <= 20 else known
+    else:
+        known = chunks.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
     cut = text.snippet(F.col("content"), snippet) if flat else F.left("content", F.lit(snippet))
     wide = expanded(F.col("content"), F.col("next"), most)
     wide = F.regexp_replace(wide, text.WHITE, " ") if flat else wide
@@ -50,20 +57,27 @@ def _results(ranked: DataFrame, chunks: DataFrame, snippet: int, most: int, flat
 
 def bm25_search(index: ChunkIndex, queries: DataFrame, k: int = 10) -> DataFrame:
     """Words and trigrams by BM25, 200 each, fused by reciprocal rank, boosted for grouped numerals; the best k (1 at least)."""
-    lists = score.by_score(score.covered(score.bm25(index, queries)), FIELD_CANDIDATES, by=("qid", "field"))
-    boosted = score.numeric_boost(score.fused(lists), index.chunks, queries).withColumn("score", F.col("boosted"))
+    asked = score.asked_terms(index, queries)
+    lists = score.by_score(score.covered(score.scored(index, asked)), FIELD_CANDIDATES, by=("qid", "field"))
+    fused = score.fused(lists, asked.postings is not None and asked.postings <= score.ONE_TASK)
+    boosted = score.numeric_boost(fused, index.chunks, queries).withColumn("score", F.col("boosted"))
     ranked = score.by_score(boosted.select("qid", *KEY, "score"), max(k, 1))
-    return _results(ranked, index.chunks, 300, 900, flat=True)
+    return _results(ranked, index.chunks, 300, 900, flat=True, few=score.few(queries))
 
 
 @dataclass
-class CosineIndex:
+class CosineIndex(Vocabulary):
     """TF-IDF vectors of chunks by a vocabulary of whole texts."""
 
     chunks: DataFrame
-    vocab: DataFrame
     vectors: DataFrame
-    TABLES: ClassVar[tuple[str, ...]] = ("chunks", "vocab", "vectors")
+    TABLES: ClassVar[tuple[str, ...]] = ("vocab", "chunks", "vectors")
+
+    def warmed(self) -> CosineIndex:
+        """This index kept in memory for searches, if its tables are small; its vocabulary is then held by the driver. Else as it is."""
+        if kept_in_memory([self.chunks, self.vocab, self.vectors]):
+            self.hold()
+        return self
 
     @classmethod
     def build(cls, docs: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text", idf_unit: str = "file", path: str | None = None) -> CosineIndex:
@@ -78,7 +92,7 @@ class CosineIndex:
         vocab = spark.read.parquet(f"{root}/vocab")
         vectors = materialize(sparse_vectors(chunks, KEY, "content", vocab), "vectors")
         vectors.repartitionByRange("term", *KEY).sortWithinPartitions("term", *KEY).write.parquet(f"{root}/vectors")  # a search reads its terms only
-        return cls(chunks, vocab, spark.read.parquet(f"{root}/vectors"))
+        return cls(vocab, chunks, spark.read.parquet(f"{root}/vectors"))
 
     def save(self, path: str) -> None:
         for t in self.TABLES:
@@ -94,39 +108,51 @@ class CosineIndex:
         return both.agg(F.max("chunks").alias("chunks"), F.max("word_terms").alias("word_terms"))
 
 
-def query_vectors(queries: DataFrame, vocab: DataFrame) -> tuple[DataFrame, Column]:
-    """qid, term and weight, and a condition on terms for scans. Terms of a few queries are looked up by a pushed list."""
-    terms = queries.select(F.explode(lookup_terms(F.col("query"))).alias("term")).distinct().limit(score.LISTED + 1).toArrow()["term"].to_pylist()
-    if len(terms) > score.LISTED:
-        return sparse_vectors(queries, ["qid"], "query", vocab), F.lit(True)
-    listed = F.col("term").isin(terms)
-    found = sparse_vectors(queries, ["qid"], "query", vocab.where(listed))
-    return queries.sparkSession.createDataFrame(found.toArrow()), listed
-
-
 def candidates(index: CosineIndex, queries: DataFrame, settings: Settings) -> DataFrame:
     """qid, doc_id, chunk_no, sparse and rank of the best chunks; those that share no term follow the positive ones with 0.
 
-    Queries with enough positive chunks need no others. For the rest, chunks are taken in key
-    order, as many as the candidates wanted and the chunks that such a query hits at most.
+    Queries with enough positive chunks need no others. For the rest, chunks that they don't
+    hit are taken in key order.
     """
     spark, most, order = queries.sparkSession, settings.top_k_candidates, F.desc(F.round("sparse", 9))
-    asked, listed = query_vectors(queries, index.vocab)
-    hits = score.sparse_scores(index.vectors.where(listed), asked).select("qid", *KEY, "sparse")
-    top = score.best(hits.where(F.round("sparse", 9) > 0), most, order).toArrow()  # at most so many a query
-    counts = Counter(top["qid"].to_pylist())
-    short = [q for q in queries.select("qid").toArrow()["qid"].to_pylist() if counts[q] < most]
-    found = spark.createDataFrame(top)
-    if not short:
+    asked, listed = score.query_vectors(queries, index)
+    posted = index.vectors.where(listed)
+    hits = score.sparse_scores(posted.coalesce(1) if index.held else posted, asked).select("qid", *KEY, "sparse")
+    top = score.best(hits.where(F.round("sparse", 9) > 0), most, order)  # at most so many a query
+    few = score.few(queries)
+    found = spark.createDataFrame(top.toArrow()) if few else materialize(top, "candidates")
+    counts = found.groupBy("qid").agg(F.count("*").alias("_n"))
+    short = queries.select("qid").join(counts, "qid", "left").where(F.coalesce("_n", F.lit(0)) < most).select("qid")
+    short = spark.createDataFrame(short.toArrow()) if few else materialize(short, "short")
+    if short.isEmpty():
         return found
-    few = hits.where(F.col("qid").isin(short))
-    need = few.groupBy("qid").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    first = index.chunks.select(*KEY)
-    if need + most <= FILL:  # else every chunk is looked at, and the ranks keep few of each task
-        first = first.orderBy(*KEY).limit(need + most)
-    filler = first.withColumn("qid", F.explode(F.array(*[F.lit(q) for q in short])))
-    both = few.unionByName(filler.join(few.select("qid", *KEY), ["qid", *KEY], "left_anti").withColumn("sparse", F.lit(0.0)))
-    return found.where(~F.col("qid").isin(short)).unionByName(score.best(both, most, order))
+    hit = materialize(hits.join(short, "qid", "left_semi"), "hits")
+    filler = _unhit(index.chunks.select(*KEY), hit.select("qid", *KEY), short, most)
+    both = hit.unionByName(filler.withColumn("sparse", F.lit(0.0)))
+    return found.join(short, "qid", "left_anti").unionByName(score.best(both, most, order))
+
+
+def _unhit(keys: DataFrame, hit: DataFrame, queries: DataFrame, most: int) -> DataFrame:
+    """qid and the first ``most`` keys of each query that it doesn't hit.
+
+    A prefix of the keys is looked at, four times as long each round, for those queries only
+    that found too few in the last, so the work of a query grows with its own hits.
+    """
+    total, size, done, left = keys.count(), 2 * most, None, queries
+    while True:
+        blocks = -(-min(size, total) // KEY_BLOCK)
+        first = keys.orderBy(*KEY).limit(min(size, total)).withColumn("_block", F.pmod(F.xxhash64(*KEY), F.lit(blocks)))
+        each = left.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))  # a query that is left meets the prefix block by block
+        free = first.join(each, "_block").select("qid", *KEY).join(hit, ["qid", *KEY], "left_anti")
+        free = materialize(score.best(free, most), "free").select("qid", *KEY)
+        done = free if done is None else done.join(left, "qid", "left_anti").unionByName(free)
+        if size >= total:
+            return done
+        enough = free.groupBy("qid").agg(F.count("*").alias("_n")).where(F.col("_n") >= most).select("qid")
+        left = materialize(left.join(enough, "qid", "left_anti"), "left")
+        if left.isEmpty():
+            return done
+        size *= 4
 
 
 def reranked(found: DataFrame, chunks: DataFrame, queries: DataFrame, settings: Settings, terms: Sequence[str] = FINANCE_TERMS, dense: DataFrame | None = None) -> DataFrame:
@@ -154,7 +180,7 @@ def cosine_search(index: CosineIndex, queries: DataFrame, k: int = 10, settings:
         dense = embed.dense(found, index.chunks, queries, settings.embedding_dim, load)
     scored = reranked(found, index.chunks, queries, settings, terms, dense)
     ranked = score.best(scored.drop("rank"), k, F.desc(F.round("score", 9)), F.desc(F.round("sparse", 9))).select("qid", "rank", *KEY, "score")
-    return _results(ranked, index.chunks, 600, 2000, flat=False)
+    return _results(ranked, index.chunks, 600, 2000, flat=False, few=score.few(queries))
 
 
 def as_json(results: DataFrame) -> DataFrame:

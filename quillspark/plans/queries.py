@@ -12,7 +12,7 @@ from ..functions import segment, text
 from ..functions.hashing import histogram
 from ..operators import evaluate, index, score, search, tree
 from ..operators.index import KEY
-from ..scratch import materialize, scratch_path
+from ..scratch import scratch_path
 from . import fixtures
 
 SETTINGS = Settings()
@@ -308,7 +308,7 @@ def a_sparse_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def a_sparse_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cosine(spark, sf_dir)
-    vectors, listed = search.query_vectors(asked(spark), found.vocab)
+    vectors, listed = score.query_vectors(asked(spark), found)
     return rounded(score.sparse_scores(found.vectors.where(listed), vectors), "sparse").select("qid", *KEY, "sparse")
 
 
@@ -423,17 +423,15 @@ def tree_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = materialize(tree.rolled_up(outline_nodes(spark, sf_dir)), "nodes")
-    vocab = index.vocabulary(docs(spark, sf_dir))
-    return rounded(tree.search(nodes, vocab, asked(spark), 10), "score").select("qid", "rank", "doc_id", "node_id", "score", F.md5("snippet").alias("snippet_md5"))
+    found = tree.TreeIndex.build(tree.rolled_up(outline_nodes(spark, sf_dir)), index.vocabulary(docs(spark, sf_dir)))
+    return rounded(tree.search(found, asked(spark), 10), "score").select("qid", "rank", "doc_id", "node_id", "score", F.md5("snippet").alias("snippet_md5"))
 
 
 @query
 def tree_search_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With hashed n-grams as the dense half."""
-    nodes = materialize(tree.rolled_up(outline_nodes(spark, sf_dir)), "nodes")
-    found = tree.search(nodes, index.vocabulary(docs(spark, sf_dir)), asked(spark), 10, dim=SETTINGS.embedding_dim)
-    return rounded(found, "score").select("qid", "rank", "doc_id", "node_id", "score")
+    found = tree.TreeIndex.build(tree.rolled_up(outline_nodes(spark, sf_dir)), index.vocabulary(docs(spark, sf_dir)), SETTINGS.embedding_dim)
+    return rounded(tree.search(found, asked(spark), 10), "score").select("qid", "rank", "doc_id", "node_id", "score")
 
 
 @query

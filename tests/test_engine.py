@@ -48,11 +48,31 @@ def pdf(raw: bytes) -> str:
 
 
 def test_folder(spark, folder):
-    assert {r["source"] for r in read_folder(spark, folder).collect()} == {"gold.md", "ships.txt", "tiny.csv", "paper.pdf", "bad.pdf"}
+    assert {r["source"] for r in read_folder(spark, folder, {}).collect()} == {"gold.md", "ships.txt", "tiny.csv", "paper.pdf", "bad.pdf"}
     found = {r["source"]: r["text"] for r in read_folder(spark, folder, {"pdf": pdf}).collect()}
     assert set(found) == {"gold.md", "ships.txt", "tiny.csv", "paper.pdf"} and found["paper.pdf"] == SHIPS
 
 
+def test_pdf_by_a_program(spark, tmp_path, monkeypatch):
+    """pdftotext, where there is one; here a stand-in that tells what it was given. Without it, such files go."""
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs/paper.pdf").write_bytes(b"%PDF\xff" + SHIPS.encode())
+    (tmp_path / "docs/quillspark.json").write_text("{}")
+    (tmp_path / "bin").mkdir()
+    program = tmp_path / "bin/pdftotext"
+    program.write_text('#!/bin/sh\necho "text of $1 to $2"\n')
+    program.chmod(0o755)
+    monkeypatch.setenv("PATH", f"{tmp_path / 'bin'}:/usr/bin:/bin")
+    from quillspark.sources import folder
+
+    assert folder.pdf_text(b"%PDF") == "text of - to -\n"
+    path = str(program)
+    by = lambda raw: __import__("subprocess").run([path, "-", "-"], input=raw, capture_output=True, check=True).stdout.decode()  # noqa: E731  workers have the PATH that they began with
+    assert [tuple(r) for r in read_folder(spark, str(tmp_path / "docs"), {"pdf": by}).collect()] == [("paper.pdf", "text of - to -\n")]
+    program.unlink()
+    assert read_folder(spark, str(tmp_path / "docs")).count() == 0
+
+
 def test_parquet_source(spark, sf_dir):
     found = read_parquet(spark, f"{sf_dir}/documents.parquet")
     assert found.columns == ["source", "text"] and found.count() == 200
@@ -82,6 +102,56 @@ def test_engine(spark, folder, tmp_path, kind):
     assert (found["hits"], found["queries"], found["recall"]) == (1, 2, 0.5)
 
 
+def test_progress(spark, folder):
+    told = []
+    SearchEngine(spark, Settings()).index_folder(folder, tell=lambda done, total: told.append((done, total)))
+    assert told and all(0 <= done <= total for done, total in told) and told[-1][0] == told[-1][1] > 0
+    assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") is None
+
+
+def test_built_in_questions(spark, folder, capsys):
+    truth = evaluate.questions(spark)
+    assert truth.count() == 20 and all(w == w.lower() for r in truth.collect() for w in r["keywords"])
+    cli.main(["benchmark", folder])
+    assert capsys.readouterr().out.count("/20 =") == 2
+
+
+def test_compacted_index(spark):
+    engine = SearchEngine(spark, Settings())
+    for i in range(3):
+        engine.add(GOLD if i % 2 else SHIPS, f"doc{i}")
+    before, found = engine.stats(), [tuple(r) for r in engine.search("gold ships", 5).collect()]
+    index = engine.index.compacted()
+    assert (index.totals.count(), index.terms.groupBy("field", "term").count().where("count > 1").count()) == (1, 0)
+    for engine.index in (index, index.warmed()):
+        assert engine.stats() == before and sorted(map(tuple, engine.search("gold ships", 5).collect())) == sorted(found)
+
+
+def test_many_queries_stay_on_executors(spark, folder, monkeypatch):
+    """More queries than the driver looks at: the same answers by joins."""
+    for kind in ("bm25", "cosine"):
+        engine = SearchEngine(spark, Settings(top_k_candidates=3), kind)
+        engine.index_folder(folder)
+        asked = ["gold revenue", "harbour ships", "nothingatall", "nickel"]
+        key = lambda df: sorted((r["qid"], r["rank"], r["source"], round(r["score"], 9)) for r in df.collect())
+        want = key(engine.search(asked, 3))
+        with monkeypatch.context() as m:
+            m.setattr("quillspark.operators.score.LISTED", 1)
+            assert key(engine.search(asked, 3)) == want
+
+
+def test_scratch_tables_go(spark):
+    from pathlib import Path
+
+    from quillspark.scratch import drop, materialize, scratch_path
+
+    found = materialize(spark.range(3), "some")
+    path = Path(found.inputFiles()[0].removeprefix("file:")).parent
+    assert path.is_dir() and path.parent == Path(scratch_path(spark, "x")).parent
+    drop(spark, str(path))
+    assert not path.exists()
+
+
 def test_unknown_kind(spark):
     with pytest.raises(ValueError):
         SearchEngine(spark, kind="other")
@@ -149,7 +219,8 @@ def test_command_line(spark, folder, tmp_path, capsys):
 
 def test_http(spark, folder):
     server = cli.serve(cli.Service(SearchEngine(spark, Settings())), "127.0.0.1", 0)
-    threading.Thread(target=server.serve_forever, daemon=True).start()
+    thread = threading.Thread(target=server.serve_forever, daemon=True)
+    thread.start()
 
     def ask(path, body=None):
         try:
@@ -169,5 +240,18 @@ def test_http(spark, folder):
         status, said = ask("/search?q=gold%20revenue&top_k=1")
         assert status == 200 and said["query"] == "gold revenue" and [r["source"] for r in said["results"]] == ["gold.md"]
         assert ask("/health")[1]["chunks"] > 0
+        assert ask("/stop", b"") == (200, {"status": "stopped"})
+        thread.join(20)
+        assert not thread.is_alive()
     finally:
         server.shutdown()
+
+
+def test_idle_server_ends(spark):
+    server = cli.serve(cli.Service(SearchEngine(spark, Settings())), "127.0.0.1", 0, idle=0.5)
+    thread = threading.Thread(target=server.serve_forever, daemon=True)
+    thread.start()
+    with urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}/health", timeout=20) as r:
+        assert r.status == 200
+    thread.join(20)
+    assert not thread.is_alive()

@@ -143,9 +143,10 @@ def test_trigram_overlap(spark, sf_dir):
         assert [r["x"] for r in got] == pytest.approx([overlap(r["text"], query) for r in got])
 
 
-@pytest.mark.parametrize("fill", [search.FILL, 0])
-def test_candidates_are_filled_with_unmatched_chunks(spark, corpus, monkeypatch, fill):
-    monkeypatch.setattr(search, "FILL", fill)
+@pytest.mark.parametrize("limit,block", [(score.LISTED, 4096), (0, 3)])
+def test_candidates_are_filled_with_unmatched_chunks(spark, corpus, monkeypatch, limit, block):
+    monkeypatch.setattr(score, "LISTED", limit)
+    monkeypatch.setattr(search, "KEY_BLOCK", block)
     rows, _ = corpus
     index = search.CosineIndex.build(spark.createDataFrame(rows, "doc_id long, text string"), Settings(top_k_candidates=12))
     asked = score.query_frame(spark, [(1, "gold"), (2, "nothingatall")])
@@ -204,15 +205,20 @@ def test_tree_against_a_stack(spark):
             assert rolled[i, n[0]] == " ".join(x for x in [n[3], *children] if x)
 
 
-def test_dense_tree_search(spark, sf_dir):
+def test_dense_tree_search(spark, sf_dir, tmp_path):
     """Against the plain inner product of hashed vectors."""
     from quillspark.functions.hashing import word_dims
     from quillspark.operators.index import vocabulary
 
     nodes = tree.rolled_up(queries.outline_nodes(spark, sf_dir)).cache()
     vocab, asked, query = vocabulary(queries.docs(spark, sf_dir)), queries.asked(spark), dict(fixtures.QUERIES)
-    bare = {(r["qid"], r["doc_id"], r["node_id"]): r["score"] for r in tree.search(nodes, vocab, asked, 50).collect()}
-    got = tree.search(nodes, vocab, asked, 50, dim=384).collect()
+    bare = {(r["qid"], r["doc_id"], r["node_id"]): r["score"] for r in tree.search(tree.TreeIndex.build(nodes, vocab), asked, 50).collect()}
+    index = tree.TreeIndex.build(nodes, vocab, 384)
+    got = tree.search(index, asked, 50).collect()
+    index.save(path := str(tmp_path / "tree"))
+    for again in (tree.TreeIndex.load(spark, path), tree.TreeIndex.load(spark, path).warmed()):
+        near = {(r["qid"], r["doc_id"], r["node_id"]): r["score"] for r in tree.search(again, asked, 50).collect()}
+        assert near == pytest.approx({(r["qid"], r["doc_id"], r["node_id"]): r["score"] for r in got})
     content = {(r["doc_id"], r["node_id"]): r["content"] for r in nodes.collect()}
     hist = lambda t: Counter(d for w in t.lower().split() for d in word_dims(w, 384))
     unit = lambda x: {k: v / n for k, v in x.items()} if (n := math.sqrt(sum(v * v for v in x.values()))) else x
