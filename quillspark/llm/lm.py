@@ -20,9 +20,9 @@ from .common import crc_mod, materialize, prepare, slices, spread, to_batch, who
 
 #: The end of a text is counted as this token; no word holds white space.
 END = b"\n"
-#: Words that the network tells apart, in classes of so many; all others share one class more.
-CLASS_WORDS, CLASSES = 32, 32
-VOCABULARY = CLASS_WORDS * CLASSES
+#: The network tells so many classes of so many words apart in a corpus of up to so many distinct words, and
+#: more, by the fourth root, in a larger one; all other words share one class. Ids have 16 bits.
+SIDE, SIDE_WORDS, MOST_SIDE = 32, 1 << 23, 255
 #: At most so many of the commonest words have counts that every worker has; those of all others are joined.
 COMMON = 1 << 17
 HIDDEN = 16
@@ -57,13 +57,18 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Network:
-    """Parameters; word i of the vocabulary is of class i // CLASS_WORDS, id VOCABULARY stands for all other words.
+    """Parameters; word i of the vocabulary is of class i // side, and the id after the last one stands for all other words.
 
     States and gates are matrices with a column for each text.
     """
 
     p: dict[str, np.ndarray]
 
+    @property
+    def side(self) -> int:
+        """The number of classes, and of words in each."""
+        return len(self.p["ob"])
+
     def step(self, gates: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         """The next state, the gates z and r of the step (one above the other), its candidate and what the state adds to that."""
         n = HIDDEN
@@ -82,22 +87,27 @@ class Network:
         return new, zr, c, u[2 * n :]
 
 
-def fresh(counts: np.ndarray, rest: int, seed: int = 5) -> Network:
+def side_of(distinct: int) -> int:
+    """Classes for a corpus of so many distinct words."""
+    return min(MOST_SIDE, max(SIDE, round(SIDE * (distinct / SIDE_WORDS) ** 0.25)))
+
+
+def fresh(counts: np.ndarray, rest: int, side: int = SIDE, seed: int = 5) -> Network:
     """A network that, untrained, gives the unigram probabilities of the counts (of the vocabulary, and of all other tokens)."""
     rng = np.random.default_rng(seed)
     normal = lambda *s, by: rng.normal(0, by, s).astype(np.float32)
-    c = np.zeros(VOCABULARY)
+    c = np.zeros(side * side)
     c[: len(counts)] = counts
-    smooth = c + np.where(np.arange(VOCABULARY) < max(1, len(counts)), 0.5, 1e-3)
-    per_class = smooth.reshape(CLASSES, CLASS_WORDS)
+    smooth = c + np.where(np.arange(len(c)) < max(1, len(counts)), 0.5, 1e-3)
+    per_class = smooth.reshape(side, side)
     class_share = np.append(per_class.sum(1), rest + 1.0)
     return Network(
         {
-            "w": normal(VOCABULARY + 1, 3 * HIDDEN, by=0.3),
+            "w": normal(side * side + 1, 3 * HIDDEN, by=0.3),
             "u": normal(HIDDEN, 3 * HIDDEN, by=1 / math.sqrt(HIDDEN)),
-            "c": normal(HIDDEN, CLASSES + 1, by=0.01),
+            "c": normal(HIDDEN, side + 1, by=0.01),
             "cb": np.log(class_share / class_share.sum()).astype(np.float32),
-            "o": normal(CLASSES, HIDDEN, CLASS_WORDS, by=0.01),
+            "o": normal(side, HIDDEN, side, by=0.01),
             "ob": np.log(per_class / per_class.sum(1, keepdims=True)).astype(np.float32),
         }
     )
@@ -116,10 +126,11 @@ def _softmax_of(x: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray, np
 
 def log_probabilities(net: Network, h: np.ndarray, target: np.ndarray, grad: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural logarithm of each target's probability after its state (a column of h, between -1 and 1); with grad also adds its gradients there and gives that of h."""
-    kind = (target // CLASS_WORDS).astype(np.int16)
+    side = net.side
+    kind = (target // side).astype(np.int16)
     order = np.argsort(kind, kind="stable")
     target = target[order]
-    bounds = [*np.searchsorted(kind[order], np.arange(CLASSES + 1)).tolist(), len(order)]
+    bounds = [*np.searchsorted(kind[order], np.arange(side + 1)).tolist(), len(order)]
     ranges = [slice(a, b) for a, b in zip(bounds, bounds[1:], strict=False)]  # of each class, and of the last one for all other words
     h = np.take(h, order, axis=1)
     limit = np.abs(h).max(initial=0)
@@ -139,8 +150,8 @@ def log_probabilities(net: Network, h: np.ndarray, target: np.ndarray, grad: dic
         grad["cb"] += e.sum(1)
         dh = net.p["c"] @ e
     most = limit * np.abs(net.p["o"]).sum(1) + np.abs(net.p["ob"])
-    if (known := bounds[CLASSES]) <= FEW:  # too few tokens to go class by class
-        at, of, within = slice(known), kind[order[:known]], target[:known] % CLASS_WORDS
+    if (known := bounds[side]) <= FEW:  # too few tokens to go class by class
+        at, of, within = slice(known), kind[order[:known]], target[:known] % side
         own, hk = np.arange(known), h[:, :known]
         x = np.matmul(hk.T[:, None], net.p["o"][of])[:, 0].T + net.p["ob"][of].T
         given = x[within, own]
@@ -153,10 +164,10 @@ def log_probabilities(net: Network, h: np.ndarray, target: np.ndarray, grad: dic
             np.add.at(grad["ob"], of, e.T)
             dh[:, at] += np.matmul(net.p["o"][of], e.T[:, :, None])[:, :, 0].T
         ranges = []
-    for k, at in enumerate(ranges[:CLASSES]):
+    for k, at in enumerate(ranges[:side]):
         if at.start == at.stop:
             continue
-        hk, within = h[:, at], target[at] - k * CLASS_WORDS
+        hk, within = h[:, at], target[at] - k * side
         own = np.arange(len(within))
         x = net.p["o"][k].T @ hk
         x += net.p["ob"][k][:, None]
@@ -270,7 +281,7 @@ def _window(net: Network, source: np.ndarray, target: np.ndarray, new: np.ndarra
         if begins[t]:  # what came before is another text
             carry[:, new[t, :m]] = 0
     du[:, 2 * n :] = dc  # now of the gates
-    order = np.argsort(source.astype(np.int16), kind="stable")
+    order = np.argsort(source.astype(np.uint16), kind="stable")
     used, starts = np.unique(source[order], return_index=True)
     flat = du.transpose(1, 0, 2).reshape(3 * n, -1)
     dw = np.add.reduceat(np.take(flat, order if at is None else at[order], axis=1), starts, axis=1)
@@ -384,7 +395,7 @@ def _common(counts: DataFrame) -> list[tuple[bytes, int]]:
     return [(END, end["c"] if end else 0), *sorted(found.items(), key=lambda x: (-x[1], x[0]))]
 
 
-def _encoded(source: DataFrame, common: list[tuple[bytes, int]]) -> DataFrame:
+def _encoded(source: DataFrame, common: list[tuple[bytes, int]], vocabulary: int) -> DataFrame:
     """Each text's row, ids of the network (16 bits each), sums over its common words and its other words (rare)."""
     sent = source.sparkSession.sparkContext.broadcast(common)
 
@@ -399,8 +410,8 @@ def _encoded(source: DataFrame, common: list[tuple[bytes, int]]) -> DataFrame:
                 for doc_id, held_out, text in zip(part.column("doc_id").to_pylist(), part.column("held_out").to_pylist(), whole_texts(part.column("text")), strict=True):
                     found = [*words(text), END]
                     at = np.fromiter((number(w, -1) for w in found), np.int32, len(found))
-                    rare, rest = at < 0, at >= VOCABULARY
-                    ids = np.where(rare | rest, VOCABULARY, at).astype(np.uint16)
+                    rare, rest = at < 0, at >= vocabulary
+                    ids = np.where(rare | rest, vocabulary, at).astype(np.uint16)
                     rows.append((row, doc_id, held_out, len(found), int(counted[at].sum()), int((rare | rest).sum()), float(logs[at].sum()), float(logs[at[rest]].sum()), [found[i] for i in np.nonzero(rare)[0]], ids.tobytes()))
                     row += 1
                 columns = zip(*rows, strict=True)
@@ -434,10 +445,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     counts = materialize(training.mapInArrow(_gather, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")), "counts")
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     common = _common(counts)
-    vocabulary = common[:VOCABULARY]
+    side = side_of(distinct)
+    vocabulary = common[: side * side]
     inside = sum(c for _, c in vocabulary)
-    encoded = materialize(_encoded(source, common), "encoded")
-    net = fresh(np.array([c for _, c in vocabulary], float), tokens - inside)
+    encoded = materialize(_encoded(source, common, side * side), "encoded")
+    net = fresh(np.array([c for _, c in vocabulary], float), tokens - inside, side)
     net = train_network(encoded.where(~F.col("held_out")).select("ids"), net)
     sent = spark.sparkContext.broadcast(pickle.dumps(net.p))
 

@@ -195,6 +195,7 @@ def test_folded_network_is_the_network():
 
 # --- language model
 
+VOCABULARY = lm.SIDE * lm.SIDE
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -242,12 +243,12 @@ def test_language_model_of_odd_rows(spark, odd, none):
 
 def test_probabilities_add_up_to_one():
     """Over all classes and words, and the class of all other words, at any state."""
-    net = lm.fresh(np.arange(lm.VOCABULARY, 0, -1).astype(float), 500)
+    net = lm.fresh(np.arange(VOCABULARY, 0, -1).astype(float), 500)
     rng = np.random.default_rng(3)
     for k in net.p:
         net.p[k] = net.p[k] + rng.normal(0, 0.3, net.p[k].shape).astype(np.float32)
     h = rng.normal(0, 1, (lm.HIDDEN, 1)).astype(np.float32)
-    logs, _ = lm.log_probabilities(net, np.repeat(h, lm.VOCABULARY + 1, 1), np.arange(lm.VOCABULARY + 1))
+    logs, _ = lm.log_probabilities(net, np.repeat(h, VOCABULARY + 1, 1), np.arange(VOCABULARY + 1))
     assert np.exp(logs.astype(float)).sum() == pytest.approx(1, abs=1e-4)
 
 
@@ -256,8 +257,8 @@ def test_gradients_of_the_softmax(size, few, monkeypatch):
     """Against differences of the loss, with small and with very large logits, class by class and all at once."""
     monkeypatch.setattr(lm, "FEW", few)
     rng = np.random.default_rng(1)
-    net = lm.fresh(np.arange(lm.VOCABULARY, 0, -1).astype(float), 50)
-    h, target = rng.normal(0, 1, (lm.HIDDEN, 5)), np.array([0, 40, 40, lm.VOCABULARY, 999])
+    net = lm.fresh(np.arange(VOCABULARY, 0, -1).astype(float), 50)
+    h, target = rng.normal(0, 1, (lm.HIDDEN, 5)), np.array([0, 40, 40, VOCABULARY, 999])
     net.p = {k: v.astype(float) for k, v in net.p.items()}
     net.p["cb"] *= size
     grad = {k: np.zeros_like(v) for k, v in net.p.items()}
@@ -281,7 +282,7 @@ def slope(x, at, loss, e=1e-5):
 def test_gradients_of_the_recurrence():
     """Of a window of three lanes that end at different steps and hold several texts, against differences of the loss."""
     rng = np.random.default_rng(6)
-    net = lm.fresh(np.arange(lm.VOCABULARY, 0, -1).astype(float), 50)
+    net = lm.fresh(np.arange(VOCABULARY, 0, -1).astype(float), 50)
     net.p = {k: v + rng.normal(0, 0.3, v.shape) for k, v in net.p.items()}
     texts = [rng.integers(0, 40, n) for n in (6, 1, 3, 2, 4)]
     source, target, new, own, live = next(lm.Lanes(texts, 3).windows(0, 9))
@@ -321,8 +322,8 @@ def test_training_learns_order():
 
 def test_texts_side_by_side_score_as_alone():
     rng = np.random.default_rng(4)
-    net = lm.fresh(np.arange(lm.VOCABULARY, 0, -1).astype(float), 50)
-    texts = [rng.integers(0, lm.VOCABULARY + 1, n).astype(np.uint16) for n in (1, 700, 3, 45, 2, 2000, 9)]
+    net = lm.fresh(np.arange(VOCABULARY, 0, -1).astype(float), 50)
+    texts = [rng.integers(0, VOCABULARY + 1, n).astype(np.uint16) for n in (1, 700, 3, 45, 2, 2000, 9)]
     together = lm.log_scores(net, texts, 3)
     assert together == pytest.approx([lm.log_scores(net, [t])[0] for t in texts], rel=1e-5)
     plain, p = [], net.p
@@ -342,8 +343,8 @@ def test_memory_of_a_very_long_text():
     import tracemalloc
 
     rng = np.random.default_rng(5)
-    net = lm.fresh(np.arange(lm.VOCABULARY, 0, -1).astype(float), 50)
-    texts = [rng.integers(0, lm.VOCABULARY + 1, n).astype(np.uint16) for n in [1_000_000] + [20] * 600]
+    net = lm.fresh(np.arange(VOCABULARY, 0, -1).astype(float), 50)
+    texts = [rng.integers(0, VOCABULARY + 1, n).astype(np.uint16) for n in [1_000_000] + [20] * 600]
     tracemalloc.start()
     found = lm.log_scores(net, texts)
     peak = tracemalloc.get_traced_memory()[1]
@@ -351,6 +352,20 @@ def test_memory_of_a_very_long_text():
     assert np.isfinite(found).all() and peak < 100e6
 
 
+def test_vocabulary_grows_with_the_corpus(documents, monkeypatch):
+    """By the fourth root of the distinct words, without a step; probabilities still add up, and counts are what they were."""
+    sides = [lm.side_of(n) for n in (0, 1000, 1 << 23, 1 << 25, 1 << 27, 1 << 31, 1 << 60)]
+    assert sides == [32, 32, 32, 45, 64, 128, 255]
+    net = lm.fresh(np.arange(45 * 45, 0, -1).astype(float), 500, 45)
+    logs, _ = lm.log_probabilities(net, np.zeros((lm.HIDDEN, 45 * 45 + 1), np.float32), np.arange(45 * 45 + 1))
+    assert np.exp(logs.astype(float)).sum() == pytest.approx(1, abs=1e-4)
+    monkeypatch.setattr(lm, "SIDE_WORDS", 1000)
+    assert lm.side_of(5000) > lm.SIDE
+    got = lm.score(documents.repartition(3)).collect()
+    compare(got, [(r["doc_id"], r["text"]) for r in documents.collect()])
+    assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
+
+
 def test_averages_weigh_tokens():
     import pickle
 
@@ -371,9 +386,9 @@ def test_network_learns_from_every_training_text(spark):
 def test_training_counts_every_token():
     """Texts of one token and of many windows, held in several parts."""
     rng = np.random.default_rng(2)
-    texts = [rng.integers(0, lm.VOCABULARY + 1, n).astype(np.uint16) for n in (1, 700, 3, 64, 65, 2000, 9, 1)]
+    texts = [rng.integers(0, VOCABULARY + 1, n).astype(np.uint16) for n in (1, 700, 3, 64, 65, 2000, 9, 1)]
     for held in (50, 4000):
-        assert lm.train_texts(lm.fresh(np.full(lm.VOCABULARY, 5.0), 9), iter(texts), 0.05, held) == sum(map(len, texts))
+        assert lm.train_texts(lm.fresh(np.full(VOCABULARY, 5.0), 9), iter(texts), 0.05, held) == sum(map(len, texts))
 
 
 def test_count_of_the_end_beside_many_words_of_its_level(spark, monkeypatch):
