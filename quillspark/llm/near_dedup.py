@@ -22,6 +22,8 @@ LEAST_ESTIMATE = 0.62
 BLOCK = 1024
 BLOCK_SHINGLES = 1 << 21
 CACHE_WORDS = 400_000
+#: Edges of a graph that one task takes.
+ONE_TASK_EDGES = 200_000
 
 _SHIFTS = np.arange(COORDS, dtype=np.uint32)
 
@@ -253,15 +255,34 @@ def _confirming(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return run
 
 
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each node of the edges (u, v) and the least one that it reaches."""
+    forest, kind = _Forest(), None
+    for batch in batches:
+        kind = batch.schema.field("u").type
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            forest.up.setdefault(u, u)
+            forest.up.setdefault(v, v)
+            forest.link(u, v)
+    nodes, least = sorted(forest.up), {}
+    roots = [least.setdefault(forest.root(x), x) for x in nodes]  # the first of a tree is its least
+    if nodes:
+        yield to_batch({"node": (nodes, kind), "root": (roots, kind)})
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """node and root (the least node it can reach) of every node that an edge (a, b) names.
 
     Large-star and small-star steps in turn, each written to the shared folder, until the
-    edges stop changing; they then join each node to its root.
+    edges stop changing; they then join each node to its root. One task finds the same in
+    graphs of ONE_TASK_EDGES at most, without rounds.
     """
     spark = edges.sparkSession
     edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().write.parquet(path := scratch_path(spark, name))
     star, known = spark.read.parquet(path), None
+    if star.count() <= ONE_TASK_EDGES:
+        node = star.schema["u"].dataType.simpleString()
+        return materialize(star.coalesce(1).mapInArrow(_roots, f"node {node}, root {node}"), name)
     while True:
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -63,9 +63,10 @@ def family(rng, words, n, first):
     return [(first + i, " ".join(w.upper() if rng.random() < 0.1 else w for w in x)) for i, x in enumerate(out)]
 
 
-@pytest.mark.parametrize("block", [1024, 4])
-def test_families(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,edges_of_one_task", [(1024, 0), (4, 0), (4, 200_000)])
+def test_families(spark, monkeypatch, block, edges_of_one_task):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "ONE_TASK_EDGES", edges_of_one_task)
     rng, rows = random.Random(block), []
     words = [f"word{i}" for i in range(400)]
     for n in (1, 1, 1, 2, 2, 3, 5, 8, 13, 40):
@@ -117,7 +118,9 @@ def test_signature_is_a_minimum_over_the_set():
     assert len({*near_dedup.bands(whole).tolist()}) == near_dedup.BANDS
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("edges_of_one_task", [0, 1000])
+def test_components_of_a_long_chain(spark, monkeypatch, edges_of_one_task):
+    monkeypatch.setattr(near_dedup, "ONE_TASK_EDGES", edges_of_one_task)
     n = 60
     order = list(range(n))
     random.Random(3).shuffle(order)
