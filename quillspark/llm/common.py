@@ -73,7 +73,7 @@ def to_batch(columns: dict[str, tuple[Iterable, pa.DataType]]) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in columns.values()], names=list(columns))
 
 
-def stratified(df: DataFrame, stratum: Column, order: Column, most: int, strata: int = 256) -> DataFrame:
+def stratified(df: DataFrame, stratum: Column, order: Column, most: int | Column, strata: int = 256) -> DataFrame:
     """A repeatable sample of about ``most`` rows at most of each of the ``strata`` commonest values of stratum, by the hash of ``order``."""
     keyed = df.withColumn("_stratum", stratum.cast("string")).where(F.col("_stratum").isNotNull())
     common = keyed.groupBy("_stratum").agg(F.count("*").alias("_rows")).orderBy(F.desc("_rows"), "_stratum").limit(strata)

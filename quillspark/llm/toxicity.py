@@ -119,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     key = F.col(id_col).cast("long")
     known = labels.select(key.alias("_id"), F.col(label_col).cast("int").alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & (crc_mod(F.col("_id"), 5) != 0))
     known = known.groupBy("_id").agg(F.max("_y").alias("_y"))
-    chosen = stratified(known.where(F.col("_y") == 1), F.lit("1"), F.col("_id"), positives).unionByName(stratified(known.where(F.col("_y") == 0), F.lit("0"), F.col("_id"), negatives))
+    chosen = stratified(known, F.col("_y"), F.col("_id"), F.when(F.col("_y") == 1, positives).otherwise(negatives))
     sample = docs.select(key.alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
