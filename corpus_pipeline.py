@@ -10,7 +10,7 @@ from quillspark.llm.common import prepare, read_table, scratch_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document goes if its likeliest language is less likely than so many times the mean of all (and than LEAST_CERTAIN).
-TIMES_THE_MEAN, LEAST_CERTAIN = 2.0, 0.5
+TIMES_THE_MEAN, LEAST_CERTAIN = 1.5, 0.5
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +20,7 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the network has learned: those without a letter go, and those of which no language is twice as likely as the mean of all.
+    """Documents in a language that the network has learned: those without a letter go, and those of which no language is half as likely again as the mean of all.
 
     Where nothing could be learned, there is nothing to reject by, and all documents stay.
     """
