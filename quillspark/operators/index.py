@@ -66,13 +66,17 @@ class ChunkIndex:
         """Chunks and analyses documents in one pass; the tables are written under path, or to the shared folder."""
         spark = docs.sparkSession
         root = path or scratch_path(spark, "chunk-index")
-        found = materialize(segment.indexed(docs, sizes, id_col, text_col), "indexed")
-        chunks = found.where(F.col("term").isNull()).select(*KEY, "heading", "content", F.lit(page).alias("page"), "w_len", "t_len")
-        posted = found.where(F.col("term").isNotNull()).select("field", "term", "block", "postings")
+        cls.unwritten(materialize(segment.indexed(docs, sizes, id_col, text_col), "indexed"), page).save(root)
+        return cls.load(spark, root)
+
+    @classmethod
+    def unwritten(cls, indexed: DataFrame, page: int = 0) -> ChunkIndex:
+        """The tables as plans over segment.indexed(), for those who want statistics and no searches."""
+        chunks = indexed.where(F.col("term").isNull()).select(*KEY, "heading", "content", F.lit(page).alias("page"), "w_len", "t_len")
+        posted = indexed.where(F.col("term").isNotNull()).select("field", "term", "block", "postings")
         terms = posted.groupBy("field", "term").agg(F.sum(F.size("postings")).alias("df"))
         totals = chunks.agg(F.count("*").alias("n"), F.coalesce(F.sum("w_len"), F.lit(0)).alias("w_sum"), F.coalesce(F.sum("t_len"), F.lit(0)).alias("t_sum"))
-        cls(chunks, posted, terms, totals).save(root)
-        return cls.load(spark, root)
+        return cls(chunks, posted, terms, totals)
 
     def save(self, path: str, mode: str = "errorifexists", part: str = "") -> None:
         """Parquet, laid out for lookups: chunks by document, postings and terms by term, so that a search reads few row groups.

@@ -53,6 +53,27 @@ def test_folder(spark, folder):
     assert set(found) == {"gold.md", "ships.txt", "tiny.csv", "paper.pdf"} and found["paper.pdf"] == SHIPS
 
 
+def test_huge_files_are_read_by_splits(spark, tmp_path, monkeypatch):
+    """Parts together are the file, line by line; each is bounded, and small files stay whole."""
+    from quillspark.sources import folder
+
+    monkeypatch.setattr(folder, "HUGE", 4000)
+    monkeypatch.setattr(folder, "PART", 1000)
+    lines = [f"line {i} of a file that is too large é" for i in range(500)]
+    (tmp_path / "huge.txt").write_bytes("\n".join(lines).encode() + b"\n\xff end")
+    (tmp_path / "small.txt").write_text("small")
+    (tmp_path / "huge.pdf").write_text("x" * 5000)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        found = {r["source"]: r["text"] for r in read_folder(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found.pop("small.txt") == "small" and all(k.startswith("huge.txt#") and len(t) <= 1000 for k, t in found.items()) and len(found) > 20
+    place = lambda k: tuple(map(int, k.partition("#")[2].split(".")))
+    assert "\n".join(found[k] for k in sorted(found, key=place)) == "\n".join([*lines, "\ufffd end"])
+
+
 def test_pdf_by_a_program(spark, tmp_path, monkeypatch):
     """pdftotext, where there is one; here a stand-in that tells what it was given. Without it, such files go."""
     (tmp_path / "docs").mkdir()
