@@ -18,9 +18,9 @@ BANDS, ROWS = 32, 4
 COORDS = BANDS * ROWS
 #: Pairs whose sketches agree in less are over five standard errors below a similarity of 0.8.
 LEAST_ESTIMATE = 0.62
-#: Members of a bucket that are compared in one group, and shingles held by one group.
+#: Members of a bucket whose sketches are compared in one block; members, and shingles of theirs, on each side of a group that is confirmed.
 BLOCK = 1024
-BLOCK_SHINGLES = 1 << 21
+GROUP, GROUP_SHINGLES = 512, 1 << 20
 CACHE_WORDS = 400_000
 #: Edges of a graph that one task takes.
 ONE_TASK_EDGES = 200_000
@@ -345,7 +345,7 @@ def near_dedup(docs: DataFrame, shingle: int = 4, percent: int = 80, id_col: str
     held = materialize(held, "held")
     share = held.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
     split = share.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "s", "label")).alias("most")).where(F.col("n") > F.col("most.n"))
-    chunks = lambda n, s: F.greatest(F.ceil(n / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("long")
+    chunks = lambda n, s: F.greatest(F.ceil(n / GROUP), F.ceil(s / GROUP_SHINGLES)).cast("long")
     split = split.select("bucket", F.col("most.label").alias("most"), chunks(F.col("n") - F.col("most.n"), F.col("s") - F.col("most.s")).alias("lefts"), chunks(F.col("n"), F.col("s")).alias("rights"))
     cut = held.join(materialize(split, "split"), "bucket")  # beside a written table, a large bucket of held may be split
     at = lambda n: F.pmod(F.xxhash64("digest", "bucket"), F.col(n))

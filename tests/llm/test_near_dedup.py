@@ -66,6 +66,7 @@ def family(rng, words, n, first):
 @pytest.mark.parametrize("block,edges_of_one_task", [(1024, 0), (4, 0), (4, 200_000)])
 def test_families(spark, monkeypatch, block, edges_of_one_task):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "GROUP", block // 2)
     monkeypatch.setattr(near_dedup, "ONE_TASK_EDGES", edges_of_one_task)
     rng, rows = random.Random(block), []
     words = [f"word{i}" for i in range(400)]
