@@ -30,7 +30,8 @@ def repeated_lines(docs: DataFrame, min_sites: int, id_col: str, text_col: str,
     """doc_id, text_hash, pos and home (the first occurrence) of every line that stands on ``min_sites`` distinct sites or more."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(site_col).cast("string").alias("site"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     hashed = F.transform(F.transform(_lines(F.col("text")), _trimmed), lambda x: F.when(x != "", _line_hash(x)))
-    lines = source.select("doc_id", "site", F.xxhash64("text").alias("text_hash"), F.posexplode(hashed).alias("pos", "line")).where(F.col("line").isNotNull())
+    whole = source.select("doc_id", "site", F.xxhash64("text").alias("text_hash"), hashed.alias("hashed"))  # below the generator, so once for each text
+    lines = whole.select("doc_id", "site", "text_hash", F.posexplode("hashed").alias("pos", "line")).where(F.col("line").isNotNull())
     lines = materialize(lines, "lines")
     spread = lines.groupBy("line").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.min(F.struct("doc_id", "text_hash", "pos")).alias("home"))
     spread = spread.withColumn("sites", F.hll_sketch_estimate("sketch")).drop("sketch").where(F.col("sites") >= min_sites / NEAR)
