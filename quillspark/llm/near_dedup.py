@@ -19,9 +19,9 @@ COORDS = BANDS * ROWS
 #: Pairs whose sketches agree in less are over five standard errors below a similarity of 0.8.
 LEAST_ESTIMATE = 0.62
 #: Members of a bucket whose sketches are compared in one block; members, and shingles of theirs, on each side of a group that is confirmed.
-BLOCK = 1024
+BLOCK = 512
 GROUP, GROUP_SHINGLES = 512, 1 << 20
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: Edges of a graph that one task takes.
 ONE_TASK_EDGES = 200_000
 

@@ -18,7 +18,7 @@ _TERM = re.compile(r"\w+")
 #: Hashed terms: a word, and its first four and five letters.
 BITS = 18
 PREFIXES = (4, 5)
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 
 
 class Terms(dict):

@@ -63,7 +63,7 @@ def family(rng, words, n, first):
     return [(first + i, " ".join(w.upper() if rng.random() < 0.1 else w for w in x)) for i, x in enumerate(out)]
 
 
-@pytest.mark.parametrize("block,edges_of_one_task", [(1024, 0), (4, 0), (4, 200_000)])
+@pytest.mark.parametrize("block,edges_of_one_task", [(512, 0), (4, 0), (4, 200_000)])
 def test_families(spark, monkeypatch, block, edges_of_one_task):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
     monkeypatch.setattr(near_dedup, "GROUP", block // 2)
