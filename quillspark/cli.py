@@ -67,7 +67,8 @@ class Service:
             fresh = SearchEngine(self.engine.spark, self.engine.settings, self.engine.kind)
             cache = self.cache if folder == self.folder and not no_cache else None
             chunks = fresh.index_folder(folder, cache)
-            self.engine, self.folder = fresh, folder
+            before, self.engine, self.folder = self.engine, fresh, folder
+            before.forget()
         return 200, {"folder": folder, "chunks": chunks, "seconds": round(time.time() - began, 3)}
 
 

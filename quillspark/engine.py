@@ -67,6 +67,13 @@ class SearchEngine:
     def load(self, path: str) -> None:
         self.index = KINDS[self.kind].load(self.spark, path).warmed()
 
+    def forget(self) -> None:
+        """Lets go of an index; what is kept of it in memory is freed. Searches that still run read its tables."""
+        if self.index is not None:
+            for t in self.index.TABLES:
+                getattr(self.index, t).unpersist()
+        self.index = None
+
     def _opened(self) -> ChunkIndex | CosineIndex:
         if self.index is None:
             raise RuntimeError("nothing is indexed yet")

@@ -116,6 +116,10 @@ def test_engine(spark, folder, tmp_path, kind):
     assert both & {(0, "ships.txt"), (0, "paper.pdf")} and (1, "gold.md") in both
     assert engine.search("   ").count() == 0
     engine.save(str(tmp_path / "saved"))
+    chunks = again.index.chunks
+    assert chunks.storageLevel.useMemory
+    again.forget()
+    assert again.index is None and not chunks.storageLevel.useMemory
     again.load(str(tmp_path / "saved"))
     assert again.stats() == engine.stats()
     truth = evaluate.parse(spark.createDataFrame([("1. gold revenue? -> tenth",), ("2. ships -> nothing of it,",)], "value string"))
