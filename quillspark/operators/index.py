@@ -18,8 +18,8 @@ from ..scratch import materialize, scratch_path
 KEY = ["doc_id", "chunk_no"]
 
 
-#: Tables of so many bytes at most, all together, are kept in memory by an engine.
-HELD_BYTES = 256 << 20
+#: Tables of so many bytes at most, all together, are kept in memory by an engine, and so many of their terms by the driver.
+HELD_BYTES, HELD_TERMS = 256 << 20, 1_000_000
 
 
 def kept_in_memory(tables: list[DataFrame]) -> bool:
@@ -113,13 +113,14 @@ class ChunkIndex:
         return ChunkIndex.load(self.chunks.sparkSession, root)
 
     def warmed(self) -> ChunkIndex:
-        """This index kept in memory for searches, if its tables are HELD_BYTES at most; its terms are then held by the driver. Else as it is."""
-        if not kept_in_memory([self.chunks, self.posted, self.terms]):
-            return self
-        held: Counter = Counter()
-        for f, term, df in zip(*(c.to_pylist() for c in self.terms.select("field", "term", "df").toArrow().columns), strict=True):
-            held[f, term] += df
-        self._held = held
+        """This index kept in memory for searches, if its tables are HELD_BYTES at most; HELD_TERMS terms at most are held by the driver. Else as it is."""
+        if kept_in_memory([self.chunks, self.posted, self.terms]):
+            found = self.terms.select("field", "term", "df").limit(HELD_TERMS + 1).toArrow()
+            if found.num_rows <= HELD_TERMS:
+                held: Counter = Counter()
+                for f, term, df in zip(*(c.to_pylist() for c in found.columns), strict=True):
+                    held[f, term] += df
+                self._held = held
         return self
 
     def field_stats(self) -> tuple[int, float, float]:
@@ -193,8 +194,10 @@ class Vocabulary:
         return self._held is not None
 
     def hold(self) -> None:
-        terms, idf = self.vocab.select("term", "idf").toArrow().columns
-        self._held = dict(zip(terms.to_pylist(), idf.to_pylist(), strict=True))
+        """Takes the vocabulary to the driver, unless it has over HELD_TERMS terms."""
+        found = self.vocab.select("term", "idf").limit(HELD_TERMS + 1).toArrow()
+        if found.num_rows <= HELD_TERMS:
+            self._held = dict(zip(*(c.to_pylist() for c in found.columns), strict=True))
 
     def weights(self, terms: Iterable[str]) -> dict[str, float]:
         """idf of some terms, as far as they are known."""
