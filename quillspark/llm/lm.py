@@ -5,18 +5,18 @@ from __future__ import annotations
 import heapq
 import math
 import pickle
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialize, prepare, slices, spread, to_batch, whole_texts, words
+from .common import crc_mod, materialize, prepare, slices, spread, to_batch
 
 #: The end of a text is counted as this token; no word holds white space.
 END = b"\n"
@@ -30,29 +30,56 @@ HIDDEN = 16
 WINDOW, TOGETHER = 32, 256
 #: Texts scored side by side, tokens of one span of their steps, and tokens gathered before they are scored.
 STREAMS, SPAN, HELD_TOKENS = 512, 16384, 4_000_000
-FLUSH_WORDS = 400_000
+#: Words of so many bytes, with their lengths, are counted together.
+GATHERED_BYTES = 48 << 20
 #: Up to so many tokens, words of all classes are looked at in one step.
 FEW = 64
 _ENCODED = {"row": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "n_rest": pa.int64(), "logs": pa.float64(), "rest_logs": pa.float64(), "rare": pa.list_(pa.binary()), "ids": pa.binary()}
 
 
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """What ``words`` gives of each text (null as empty), one after the other, and where those of each end; no word becomes a Python object."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string()).fill_null("")))
+    found = lists.values
+    some = pc.greater(pc.binary_length(found), 0)  # white space at either end of a text makes an empty one
+    ends = np.append(0, np.cumsum(some.to_numpy(zero_copy_only=False)))[lists.offsets.to_numpy()[1:]]
+    return found.filter(some).cast(pa.binary()), ends
+
+
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words."""
-    counted: Counter[bytes] = Counter()
+    held: list[pa.Array] = []
+    waiting = texts = 0
 
     def flush() -> pa.RecordBatch:
-        out = to_batch({"word": (list(counted), pa.binary()), "n": (list(counted.values()), pa.int64())})
-        counted.clear()
-        return out
+        found = pc.value_counts(pa.chunked_array(held, pa.binary()))
+        return to_batch({"word": (found.field("values"), pa.binary()), "n": (found.field("counts"), pa.int64())})
 
     for batch in batches:
         for part in slices(batch, "text"):
-            for text in whole_texts(part.column("text")):
-                counted.update(words(text))
-                counted[END] += 1
-            if len(counted) > FLUSH_WORDS:
+            found, _ = _words(part.column("text"))
+            held.append(found)
+            waiting += found.nbytes
+            texts += part.num_rows
+            if waiting > GATHERED_BYTES:
                 yield flush()
+                held, waiting = [], 0
     yield flush()
+    yield to_batch({"word": ([END] if texts else [], pa.binary()), "n": ([texts] if texts else [], pa.int64())})
+
+
+class Workspace:
+    """Arrays by name that windows use again, one after the other: a new one each time would cost more in page faults than its arithmetic."""
+
+    def __init__(self) -> None:
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, rows: int, columns: int, kind: np.dtype) -> np.ndarray:
+        """An array of that shape with any values in it; rows lie apart by no power of two, so that they don't share lines of the cache."""
+        found = self.held.get(name)
+        if found is None or found.shape[0] < rows or found.shape[1] < columns or found.dtype != kind:
+            found = self.held[name] = np.empty((rows, -(-columns // 1024) * 1024 + 16), kind)
+        return found[:rows, :columns]
 
 
 @dataclass
@@ -69,22 +96,26 @@ class Network:
         """The number of classes, and of words in each."""
         return len(self.p["ob"])
 
-    def step(self, gates: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The next state, the gates z and r of the step (one above the other), its candidate and what the state adds to that."""
+    def step(self, gates: np.ndarray, h: np.ndarray, into: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, ...]:
+        """The next state, the gates z and r of the step (one above the other), its candidate and what the state adds to all three; ``into`` takes them."""
         n = HIDDEN
-        u = self.p["u"].T @ h
-        zr = gates[: 2 * n] + u[: 2 * n]
+        if into is None:
+            kind = np.result_type(gates, h)
+            into = tuple(np.empty((rows, h.shape[1]), kind) for rows in (n, 2 * n, n, 3 * n))
+        new, zr, c, u = into
+        np.matmul(self.p["u"].T, h, out=u)
+        np.add(gates[: 2 * n], u[: 2 * n], out=zr)
         np.negative(zr, out=zr)
         np.exp(zr, out=zr)
         zr += 1
         np.reciprocal(zr, out=zr)
-        c = zr[n:] * u[2 * n :]
+        np.multiply(zr[n:], u[2 * n :], out=c)
         c += gates[2 * n :]
         np.tanh(c, out=c)
-        new = h - c
+        np.subtract(h, c, out=new)
         new *= zr[:n]
         new += c
-        return new, zr, c, u[2 * n :]
+        return into
 
 
 def side_of(distinct: int) -> int:
@@ -124,66 +155,72 @@ def _softmax_of(x: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray, np
     return x, total, top + np.log(total)
 
 
-def log_probabilities(net: Network, h: np.ndarray, target: np.ndarray, grad: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Natural logarithm of each target's probability after its state (a column of h, between -1 and 1); with grad also adds its gradients there and gives that of h."""
-    side = net.side
-    kind = (target // side).astype(np.int16)
-    order = np.argsort(kind, kind="stable")
-    target = target[order]
-    bounds = [*np.searchsorted(kind[order], np.arange(side + 1)).tolist(), len(order)]
-    ranges = [slice(a, b) for a, b in zip(bounds, bounds[1:], strict=False)]  # of each class, and of the last one for all other words
-    h = np.take(h, order, axis=1)
-    limit = np.abs(h).max(initial=0)
-    x = net.p["c"].T @ h
+def log_probabilities(net: Network, h: np.ndarray, target: np.ndarray, grad: dict[str, np.ndarray] | None = None, work: Workspace | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Natural logarithm of each target's probability after its state (a column of h, between -1 and 1); with grad also adds its gradients there and gives that of h.
+
+    What it gives of h lies in ``work`` until the next call.
+    """
+    work = work or Workspace()
+    side, tokens, n = net.side, len(target), len(h)
+    of = (target // side).astype(np.uint8)  # the class; that after the last one is of all other words
+    dtype = np.result_type(h, net.p["c"])
+    limit = max(h.max(initial=0), -h.min(initial=0))
+    x = np.matmul(net.p["c"].T, h, out=work("classes", side + 1, tokens, dtype))
     x += net.p["cb"][:, None]
-    found = np.empty(len(order), x.dtype)
-    for k, at in enumerate(ranges):
-        found[at] = x[k, at]
+    every = np.arange(tokens)
+    found = x[of, every]
     e, total, log = _softmax_of(x, float((limit * np.abs(net.p["c"]).sum(0) + np.abs(net.p["cb"])).max()))
     found -= log
     dh = None
     if grad is not None:
         e *= 1 / total
-        for k, at in enumerate(ranges):
-            e[k, at] -= 1
+        e[of, every] -= 1
         grad["c"] += h @ e.T
         grad["cb"] += e.sum(1)
-        dh = net.p["c"] @ e
+        dh = np.matmul(net.p["c"], e, out=work("dh", n, tokens, dtype))
     most = limit * np.abs(net.p["o"]).sum(1) + np.abs(net.p["ob"])
-    if (known := bounds[side]) <= FEW:  # too few tokens to go class by class
-        at, of, within = slice(known), kind[order[:known]], target[:known] % side
-        own, hk = np.arange(known), h[:, :known]
+    at = np.flatnonzero(of < side)
+    at = at[np.argsort(of[at], kind="stable")]  # tokens of words of the vocabulary, class by class
+    known, of = len(at), of[at]
+    within, logs = target[at] % side, np.empty(known, dtype)
+    hk = np.take(h, at, axis=1, out=work("hk", n, known, h.dtype), mode="clip")
+    dk = work("dk", n, known + 1, dtype)
+    if known <= FEW:  # too few tokens to go class by class
+        own = every[:known]
         x = np.matmul(hk.T[:, None], net.p["o"][of])[:, 0].T + net.p["ob"][of].T
-        given = x[within, own]
+        logs[:] = x[within, own]
         e, total, log = _softmax_of(x, float(most.max()))
-        found[at] += given - log
+        logs -= log
         if grad is not None:
             e *= 1 / total
             e[within, own] -= 1
             np.add.at(grad["o"], of, hk.T[:, :, None] * e.T[:, None])
             np.add.at(grad["ob"], of, e.T)
-            dh[:, at] += np.matmul(net.p["o"][of], e.T[:, :, None])[:, :, 0].T
-        ranges = []
-    for k, at in enumerate(ranges[:side]):
-        if at.start == at.stop:
-            continue
-        hk, within = h[:, at], target[at] - k * side
-        own = np.arange(len(within))
-        x = net.p["o"][k].T @ hk
-        x += net.p["ob"][k][:, None]
-        given = x[within, own]
-        e, total, log = _softmax_of(x, float(most[k].max()))
-        given -= log
-        found[at] += given
-        if grad is not None:
-            e *= 1 / total
-            e[within, own] -= 1
-            grad["o"][k] += hk @ e.T
-            grad["ob"][k] += e.sum(1)
-            dh[:, at] += net.p["o"][k] @ e
-    back = np.empty_like(order)
-    back[order] = np.arange(len(order))
-    return found[back], None if dh is None else np.take(dh, back, axis=1)
+            dk[:, :known] = np.matmul(net.p["o"][of], e.T[:, :, None])[:, :, 0].T
+    else:
+        bounds, highest = np.searchsorted(of, np.arange(side + 1)).tolist(), most.max(1).tolist()
+        for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+            if a == b:
+                continue
+            part, right, own = hk[:, a:b], within[a:b], every[: b - a]
+            x = net.p["o"][k].T @ part
+            x += net.p["ob"][k][:, None]
+            given = x[right, own]
+            e, total, log = _softmax_of(x, highest[k])
+            np.subtract(given, log, out=logs[a:b])
+            if grad is not None:
+                e *= 1 / total
+                e[right, own] -= 1
+                grad["o"][k] += part @ e.T
+                grad["ob"][k] += e.sum(1)
+                np.matmul(net.p["o"][k], e, out=dk[:, a:b])
+    found[at] += logs
+    if grad is not None:
+        dk[:, known] = 0
+        back = np.full(tokens, known)
+        back[at] = every[:known]
+        dh += np.take(dk, back, axis=1, out=work("known", n, tokens, dtype), mode="clip")
+    return found, dh
 
 
 class Lanes:
@@ -231,78 +268,118 @@ class Lanes:
             last, last_owner, t0 = ids[-1], own[-1], t0 + n
 
 
-def _window(net: Network, source: np.ndarray, target: np.ndarray, new: np.ndarray, live: list[int], h: np.ndarray, grad: dict[str, np.ndarray]) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
-    """Adds the gradients of a window of lanes to grad; gives the state after it, and the words of w in use with their gradients."""
-    n, (steps, width), kind = HIDDEN, source.shape, net.p["w"].dtype
-    ragged, begins = live[-1] < width, new.any(1).tolist()
-    make = np.zeros if ragged else np.empty
-    gates, table = np.empty((3 * n, width), kind), np.ascontiguousarray(net.p["w"].T)
-    before, after, cand, un = (make((steps, n, width), kind) for _ in range(4))
-    zr = make((steps, 2 * n, width), kind)
-    for t, m in enumerate(live):
-        before[t, :, :m] = h[:, :m]
+def _columns(live: list[int]) -> list[slice]:
+    """The columns of each step of a window, where those of all steps lie side by side."""
+    ends = np.cumsum(live).tolist()
+    return [slice(end - m, end) for m, end in zip(live, ends, strict=True)]
+
+
+def _flat(x: np.ndarray, live: list[int]) -> np.ndarray:
+    """The entries of the lanes that live, in the order of ``_columns``."""
+    return x.ravel() if live[-1] == x.shape[1] else x[np.arange(x.shape[1])[None] < np.array(live)[:, None]]
+
+
+def _run(net: Network, table: np.ndarray, source: np.ndarray, new: np.ndarray, live: list[int], h: np.ndarray, work: Workspace, keep: bool = False) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
+    """States after the steps of a window, a column for each token, whose inputs are columns of the table; with keep also each step's state before and what ``step`` gives."""
+    n, total, kind = HIDDEN, len(source), table.dtype
+    states, kept = work("states", n, total, kind), []
+    held, spare, m = work("kept", 1, 8 * n * (total if keep else live[0]), kind)[0], work("gates", 1, 3 * n * live[0], kind)[0], 0
+    begins, old = new.any(1).tolist(), (~new).astype(kind)
+    for t, at in enumerate(_columns(live)):
+        if keep or m != live[t]:  # what belongs to a step lies together
+            m = live[t]
+            own = held[8 * n * at.start : 8 * n * at.stop] if keep else held[: 8 * n * m]
+            own, gates = own.reshape(8 * n, m), spare[: 3 * n * m].reshape(3 * n, m)
+            before, into = own[:n], (own[n : 2 * n], own[2 * n : 4 * n], own[4 * n : 5 * n], own[5 * n :])
         if begins[t]:
-            before[t][:, new[t]] = 0
-        np.take(table, source[t], axis=1, out=gates, mode="clip")
-        after[t, :, :m], zr[t, :, :m], cand[t, :, :m], un[t, :, :m] = net.step(gates[:, :m], before[t, :, :m])
-        h = after[t]
-    states, target, source = after.transpose(1, 0, 2).reshape(n, -1), target.ravel(), source.ravel()
-    at = np.flatnonzero(np.arange(width)[None] < np.array(live)[:, None]) if ragged else None
-    if ragged:
-        target, source = target[at], source[at]
-        _, some = log_probabilities(net, states[:, at], target, grad)
-        back = np.zeros_like(states)
-        back[:, at] = some
-    else:
-        _, back = log_probabilities(net, states, target, grad)
-    back = back.reshape(n, steps, width)
-    z, r = zr[:, :n], zr[:, n:]
-    of_c = 1 - z
-    of_z = before - cand
-    of_z *= z
-    of_z *= of_c
-    cand *= cand
-    of_c -= of_c * cand
-    of_r = 1 - r
-    of_r *= r
-    of_r *= un
-    du, dc, carry = make((steps, 3 * n, width), kind), make((steps, n, width), kind), np.zeros((n, 0), kind)
-    for t in range(steps - 1, -1, -1):
-        m = live[t]
-        d, own, c = back[:, t, :m], du[t, :, :m], dc[t, :, :m]
+            np.multiply(h[:, :m], old[t, :m], out=before)
+        else:
+            before[:] = h[:, :m]
+        table.take(source[at], axis=1, out=gates, mode="clip")
+        h = net.step(gates, before, into)[0]
+        states[:, at] = h
+        if keep:
+            kept.append((before, *into))
+    return states, kept
+
+
+def _window(net: Network, source: np.ndarray, target: np.ndarray, new: np.ndarray, live: list[int], h: np.ndarray, grad: dict[str, np.ndarray], work: Workspace | None = None) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Adds the gradients of a window of lanes to grad; gives the state after it, and the words of w in use with their gradients."""
+    work = work or Workspace()
+    n, kind, begins = HIDDEN, net.p["w"].dtype, new.any(1).tolist()
+    old = (~new).astype(kind)
+    source, target = _flat(source, live), _flat(target, live)
+    total = len(source)
+    order = np.argsort(source.astype(np.uint16), kind="stable")
+    ordered = source[order]
+    first = np.append(True, ordered[1:] != ordered[:-1])
+    starts = np.flatnonzero(first)
+    used, place = ordered[starts], np.empty(total, np.intp)  # the words in use, and which of them each input is
+    place[order] = np.cumsum(first) - 1
+    states, kept = _run(net, np.ascontiguousarray(net.p["w"][used].T), place, new, live, h, work, True)
+    _, back = log_probabilities(net, states, target, grad, work)
+    of_gates, carry = work("of_gates", 3 * n, total, kind), np.zeros((n, 0), kind)
+    weights, of_u = np.roll(net.p["u"], n, axis=1), np.zeros((n, 3 * n), kind)
+    spare, m = work("spare", 1, 7 * n * live[0], kind)[0], 0
+    for t, at in reversed([*enumerate(_columns(live))]):
+        before, _, zr, cand, u = kept[t]
+        z, r = zr[:n], zr[n:]
+        if m != live[t]:
+            m = live[t]
+            own = spare[: 7 * n * m].reshape(7 * n, m)
+            of_un, of_z, of_r, of_c, d, rest, fall = (own[i : i + n] for i in range(0, 7 * n, n))
+        d[:] = back[:, at]
         d[:, : carry.shape[1]] += carry
-        np.multiply(d, of_c[t, :, :m], out=c)
-        np.multiply(d, of_z[t, :, :m], out=own[:n])
-        np.multiply(c, of_r[t, :, :m], out=own[n : 2 * n])
-        np.multiply(c, r[t, :, :m], out=own[2 * n :])
-        grad["u"] += before[t, :, :m] @ own.T
-        carry = net.p["u"] @ own
-        carry += d * z[t, :, :m]
+        np.subtract(1, z, out=rest)
+        np.multiply(cand, cand, out=fall)
+        np.subtract(1, fall, out=fall)
+        fall *= rest
+        np.multiply(d, fall, out=of_c)
+        np.subtract(before, cand, out=of_z)
+        of_z *= z
+        of_z *= rest
+        of_z *= d
+        np.multiply(of_c, r, out=of_un)  # what the state adds to the candidate goes through r
+        np.subtract(1, r, out=of_r)
+        of_r *= u[2 * n :]
+        of_r *= of_un
+        carry = weights @ own[: 3 * n]
+        of_u += before @ own[: 3 * n].T
+        d *= z
+        carry += d
         if begins[t]:  # what came before is another text
-            carry[:, new[t, :m]] = 0
-    du[:, 2 * n :] = dc  # now of the gates
-    order = np.argsort(source.astype(np.uint16), kind="stable")
-    used, starts = np.unique(source[order], return_index=True)
-    flat = du.transpose(1, 0, 2).reshape(3 * n, -1)
-    dw = np.add.reduceat(np.take(flat, order if at is None else at[order], axis=1), starts, axis=1)
-    return h[:, : live[-1]], (used, dw.T)
+            carry *= old[t, :m]
+        of_gates[:, at] = own[n : 4 * n]
+    grad["u"] += np.roll(of_u, -n, axis=1)
+    few, dw = len(used) - 1, np.empty((len(used), 3 * n), kind)  # the last word mostly stands for all others: its inputs are added up where they are
+    if few:
+        some = np.take(of_gates, order[: starts[few]], axis=1, out=work("some", 3 * n, int(starts[few]), kind), mode="clip")
+        dw[:few] = np.add.reduceat(some, starts[:few], axis=1).T
+    dw[few] = of_gates @ (place == few).astype(kind)
+    return states[:, total - live[-1] :].copy(), (used, dw)
 
 
 def train_lanes(net: Network, texts: list[np.ndarray], rate: float = 0.05, memory: dict[str, np.ndarray] | None = None, lanes: int = TOGETHER, seed: int = 7) -> int:
     """AdaGrad over whole texts (ids after the end that each begins from); gives the tokens trained on."""
     memory = {k: np.full_like(v, 1e-3) for k, v in net.p.items()} if memory is None else memory
-    h, trained = np.zeros((HIDDEN, lanes), net.p["w"].dtype), 0
+    h, trained, work = np.zeros((HIDDEN, lanes), net.p["w"].dtype), 0, Workspace()
     for source, target, new, _, live in Lanes(texts, lanes, np.random.default_rng(seed)).windows(0, WINDOW):  # truncated: gradients end at the window, the state goes on
         grad = {k: np.zeros_like(v) for k, v in net.p.items() if k != "w"}
-        h, (used, dw) = _window(net, source, target, new, live, h, grad)
+        h, (used, dw) = _window(net, source, target, new, live, h, grad, work)
         size = np.float32(live[0])
-        dw = dw / size
-        memory["w"][used] += dw * dw
-        net.p["w"][used] -= rate * dw / np.sqrt(memory["w"][used])
+        dw /= size
+        seen = memory["w"][used]
+        seen += dw * dw
+        memory["w"][used] = seen
+        dw *= rate
+        dw /= np.sqrt(seen, out=seen)
+        net.p["w"][used] -= dw
         for k, g in grad.items():
             g /= size
             memory[k] += g * g
-            net.p[k] -= rate * g / np.sqrt(memory[k])
+            g *= rate
+            g /= np.sqrt(memory[k])
+            net.p[k] -= g
         trained += sum(live)
     return trained
 
@@ -361,18 +438,13 @@ def train_network(texts: DataFrame, net: Network, rounds: int = 2, fan_in: int =
 
 def log_scores(net: Network, texts: list[np.ndarray], lanes: int = STREAMS) -> np.ndarray:
     """log10 probability of each whole text's ids by the network, all words outside its vocabulary as one; the state is carried to its end."""
-    out, h = np.zeros(len(texts)), np.zeros((HIDDEN, lanes), np.float32)
+    out, h, work = np.zeros(len(texts)), np.zeros((HIDDEN, lanes), np.float32), Workspace()
     table = np.ascontiguousarray(net.p["w"].T)
     for source, target, new, own, live in Lanes(texts, lanes).windows(0):
-        states, begins, gates = [], new.any(1).tolist(), np.empty((3 * HIDDEN, source.shape[1]), table.dtype)
-        for t, m in enumerate(live):
-            h = np.where(new[t, :m], 0, h[:, :m]) if begins[t] else h[:, :m]
-            np.take(table, source[t], axis=1, out=gates, mode="clip")
-            h = net.step(gates[:, :m], h)[0]
-            states.append(h)
-        at = np.arange(source.shape[1])[None] < np.array(live)[:, None]
-        got, _ = log_probabilities(net, np.concatenate(states, 1), target[at])
-        out += np.bincount(own[at], got, len(texts))
+        states = _run(net, table, _flat(source, live), new, live, h, work)[0]
+        got, _ = log_probabilities(net, states, _flat(target, live), None, work)
+        out += np.bincount(_flat(own, live), got, len(texts))
+        h = states[:, states.shape[1] - live[-1] :].copy()
     return out / math.log(10)
 
 
@@ -401,21 +473,34 @@ def _encoded(source: DataFrame, common: list[tuple[bytes, int]], vocabulary: int
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, row = sent.value, TaskContext.get().partitionId() << 33
-        number = {w: i for i, (w, _) in enumerate(known)}.get
+        numbered = pa.array([w for w, _ in known], pa.binary())
         logs = np.array([math.log10(c + 1) for _, c in known] + [0.0])
         counted = np.array([c > 0 for _, c in known] + [False])
         for batch in batches:
             for part in slices(batch, "text"):
-                rows: list[tuple] = []
-                for doc_id, held_out, text in zip(part.column("doc_id").to_pylist(), part.column("held_out").to_pylist(), whole_texts(part.column("text")), strict=True):
-                    found = [*words(text), END]
-                    at = np.fromiter((number(w, -1) for w in found), np.int32, len(found))
-                    rare, rest = at < 0, at >= vocabulary
-                    ids = np.where(rare | rest, vocabulary, at).astype(np.uint16)
-                    rows.append((row, doc_id, held_out, len(found), int(counted[at].sum()), int((rare | rest).sum()), float(logs[at].sum()), float(logs[at[rest]].sum()), [found[i] for i in np.nonzero(rare)[0]], ids.tobytes()))
-                    row += 1
-                columns = zip(*rows, strict=True)
-                yield to_batch({name: (values, kind) for (name, kind), values in zip(_ENCODED.items(), columns, strict=True)})
+                found, ends = _words(part.column("text"))
+                place, texts = pc.index_in(found, numbered), np.arange(part.num_rows)
+                at = np.zeros(len(found) + len(texts), np.int32)  # the end is the first of the common words
+                inner = np.ones(len(at), bool)
+                inner[ends + texts] = False
+                at[inner] = place.fill_null(len(known)).to_numpy()
+                begins, n_tokens = np.append(0, (ends + texts + 1)[:-1]), np.diff(ends, prepend=0) + 1
+                rare, rest = at == len(known), at >= vocabulary
+                log, other = logs[at], rare | rest
+                values = {
+                    "row": row + texts,
+                    "doc_id": part.column("doc_id"),
+                    "held_out": part.column("held_out"),
+                    "n_tokens": n_tokens,
+                    "n_known": np.add.reduceat(counted[at], begins, dtype=np.int64),
+                    "n_rest": np.add.reduceat(other, begins, dtype=np.int64),
+                    "logs": np.add.reduceat(log, begins),
+                    "rest_logs": np.add.reduceat(np.where(rest, log, 0.0), begins),
+                    "rare": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.add.reduceat(rare, begins, dtype=np.int64))), pa.int32()), found.filter(place.is_null())),
+                    "ids": pa.Array.from_buffers(pa.binary(), len(texts), [None, *(pa.py_buffer(x) for x in (np.append(0, 2 * np.cumsum(n_tokens)).astype(np.int32), np.where(other, vocabulary, at).astype(np.uint16)))]),
+                }
+                row += len(texts)
+                yield to_batch({name: (values[name], kind) for name, kind in _ENCODED.items()})
 
     return source.mapInArrow(encode, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, n_rest long, logs double, rest_logs double, rare array<binary>, ids binary")
 
