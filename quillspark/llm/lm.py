@@ -184,36 +184,31 @@ def log_probabilities(net: Network, h: np.ndarray, target: np.ndarray, grad: dic
     known, of = len(at), of[at]
     within, logs = target[at] % side, np.empty(known, dtype)
     hk = np.take(h, at, axis=1, out=work("hk", n, known, h.dtype), mode="clip")
-    dk = work("dk", n, known + 1, dtype)
+    dk, x, own = work("dk", n, known + 1, dtype), work("words", side, known, dtype), every[:known]
+    bounds = np.searchsorted(of, np.arange(side + 1)).tolist()
+    ranges = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if a < b]
     if known <= FEW:  # too few tokens to go class by class
-        own = every[:known]
-        x = np.matmul(hk.T[:, None], net.p["o"][of])[:, 0].T + net.p["ob"][of].T
-        logs[:] = x[within, own]
-        e, total, log = _softmax_of(x, float(most.max()))
-        logs -= log
-        if grad is not None:
-            e *= 1 / total
-            e[within, own] -= 1
+        x[:] = np.matmul(hk.T[:, None], net.p["o"][of])[:, 0].T
+        x += net.p["ob"][of].T
+    else:
+        for k, part in ranges:
+            within_k = np.matmul(net.p["o"][k].T, hk[:, part], out=x[:, part])
+            within_k += net.p["ob"][k][:, None]
+    logs[:] = x[within, own]
+    e, total, log = _softmax_of(x, float(most.max()))
+    logs -= log
+    if grad is not None:
+        e *= 1 / total
+        e[within, own] -= 1
+        if known <= FEW:
             np.add.at(grad["o"], of, hk.T[:, :, None] * e.T[:, None])
             np.add.at(grad["ob"], of, e.T)
             dk[:, :known] = np.matmul(net.p["o"][of], e.T[:, :, None])[:, :, 0].T
-    else:
-        bounds, highest = np.searchsorted(of, np.arange(side + 1)).tolist(), most.max(1).tolist()
-        for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
-            if a == b:
-                continue
-            part, right, own = hk[:, a:b], within[a:b], every[: b - a]
-            x = net.p["o"][k].T @ part
-            x += net.p["ob"][k][:, None]
-            given = x[right, own]
-            e, total, log = _softmax_of(x, highest[k])
-            np.subtract(given, log, out=logs[a:b])
-            if grad is not None:
-                e *= 1 / total
-                e[right, own] -= 1
-                grad["o"][k] += part @ e.T
-                grad["ob"][k] += e.sum(1)
-                np.matmul(net.p["o"][k], e, out=dk[:, a:b])
+        else:
+            for k, part in ranges:
+                grad["o"][k] += hk[:, part] @ e[:, part].T
+                grad["ob"][k] += e[:, part].sum(1)
+                np.matmul(net.p["o"][k], e[:, part], out=dk[:, part])
     found[at] += logs
     if grad is not None:
         dk[:, known] = 0
