@@ -25,6 +25,8 @@ END = b"\n"
 SIDE, SIDE_WORDS, MOST_SIDE = 32, 1 << 23, 255
 #: At most so many of the commonest words have counts that every worker has; those of all others are joined.
 COMMON = 1 << 17
+#: That join looks words up in memory, of about so many distinct ones at most in a task.
+JOINED = 1 << 20
 HIDDEN = 16
 #: Network training reads whole texts in TOGETHER lanes, with state carried over windows of so many tokens.
 WINDOW, TOGETHER = 32, 256
@@ -34,6 +36,12 @@ STREAMS, SPAN, HELD_TOKENS = 512, 16384, 4_000_000
 GATHERED_BYTES = 48 << 20
 #: Up to so many tokens, words of all classes are looked at in one step.
 FEW = 64
+#: Tokens whose classes are looked at together, for the same cache.
+PART = 2048
+#: Columns that lie beside those of a matrix.
+PAD = 16
+#: Steps whose factors of the gradient are made together: they stay in a core's own cache.
+STEPS = 4
 _ENCODED = {"row": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "n_rest": pa.int64(), "logs": pa.float64(), "rest_logs": pa.float64(), "rare": pa.list_(pa.binary()), "ids": pa.binary()}
 
 
@@ -74,12 +82,23 @@ class Workspace:
     def __init__(self) -> None:
         self.held: dict[str, np.ndarray] = {}
 
-    def __call__(self, name: str, rows: int, columns: int, kind: np.dtype) -> np.ndarray:
-        """An array of that shape with any values in it; rows lie apart by no power of two, so that they don't share lines of the cache."""
+    def flat(self, name: str, size: int, kind: np.dtype) -> np.ndarray:
+        """So many entries with any values in them."""
         found = self.held.get(name)
-        if found is None or found.shape[0] < rows or found.shape[1] < columns or found.dtype != kind:
-            found = self.held[name] = np.empty((rows, -(-columns // 1024) * 1024 + 16), kind)
-        return found[:rows, :columns]
+        if found is None or len(found) < size or found.dtype != kind:
+            found = self.held[name] = np.empty(size, kind)
+        return found[:size]
+
+    def __call__(self, name: str, rows: int, columns: int, kind: np.dtype) -> np.ndarray:
+        """A contiguous array of that shape, and PAD columns to be left alone; rows lie apart by no power of two, so that they don't share lines of the cache."""
+        return self.flat(name, rows * (columns + PAD), kind).reshape(rows, columns + PAD)
+
+    def pick(self, name: str, x: np.ndarray, at: np.ndarray, more: int = 0) -> np.ndarray:
+        """Columns ``at`` of a contiguous array, like what ``__call__`` gives, above so many more rows with any values in them."""
+        out, padded = self(name, len(x) + more, len(at), x.dtype), np.zeros(len(at) + PAD, np.intp)
+        padded[: len(at)] = at
+        np.take(x, padded, axis=1, out=out[: len(x)], mode="clip")
+        return out
 
 
 @dataclass
@@ -96,21 +115,22 @@ class Network:
         """The number of classes, and of words in each."""
         return len(self.p["ob"])
 
-    def step(self, gates: np.ndarray, h: np.ndarray, into: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, ...]:
-        """The next state, the gates z and r of the step (one above the other), its candidate and what the state adds to all three; ``into`` takes them."""
+    def step(self, gates: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The next state, the gates z and r of the step (one above the other), what the state adds to the candidate, the candidate, and what the state adds to all three before r."""
+        kind = np.result_type(gates, h)
+        return self.step_into(_turned(gates), h, tuple(np.empty((rows * HIDDEN, h.shape[1]), kind) for rows in (1, 2, 1, 1, 3)))
+
+    def step_into(self, turned: np.ndarray, h: np.ndarray, into: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        """What ``step`` gives, in ``into``; of the inputs, those of z and r have the other sign."""
         n = HIDDEN
-        if into is None:
-            kind = np.result_type(gates, h)
-            into = tuple(np.empty((rows, h.shape[1]), kind) for rows in (n, 2 * n, n, 3 * n))
-        new, zr, c, u = into
+        new, zr, added, c, u = into
         np.matmul(self.p["u"].T, h, out=u)
-        np.add(gates[: 2 * n], u[: 2 * n], out=zr)
-        np.negative(zr, out=zr)
+        np.subtract(turned[: 2 * n], u[: 2 * n], out=zr)
         np.exp(zr, out=zr)
         zr += 1
         np.reciprocal(zr, out=zr)
-        np.multiply(zr[n:], u[2 * n :], out=c)
-        c += gates[2 * n :]
+        np.multiply(zr[n:], u[2 * n :], out=added)
+        np.add(added, turned[2 * n :], out=c)
         np.tanh(c, out=c)
         np.subtract(h, c, out=new)
         new *= zr[:n]
@@ -118,6 +138,13 @@ class Network:
         return into
 
 
+def _turned(gates: np.ndarray) -> np.ndarray:
+    """A contiguous copy of inputs (columns) with the other sign for z and r."""
+    found = np.array(gates, order="C")
+    np.negative(found[: 2 * HIDDEN], out=found[: 2 * HIDDEN])
+    return found
+
+
 def side_of(distinct: int) -> int:
     """Classes for a corpus of so many distinct words."""
     return min(MOST_SIDE, max(SIDE, round(SIDE * (distinct / SIDE_WORDS) ** 0.25)))
@@ -158,64 +185,70 @@ def _softmax_of(x: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray, np
 def log_probabilities(net: Network, h: np.ndarray, target: np.ndarray, grad: dict[str, np.ndarray] | None = None, work: Workspace | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural logarithm of each target's probability after its state (a column of h, between -1 and 1); with grad also adds its gradients there and gives that of h.
 
-    What it gives of h lies in ``work`` until the next call.
+    h may have more columns than there are targets. What it gives of h lies in ``work`` until the next call.
     """
     work = work or Workspace()
     side, tokens, n = net.side, len(target), len(h)
     of = (target // side).astype(np.uint8)  # the class; that after the last one is of all other words
     dtype = np.result_type(h, net.p["c"])
-    limit = max(h.max(initial=0), -h.min(initial=0))
-    x = np.matmul(net.p["c"].T, h, out=work("classes", side + 1, tokens, dtype))
-    x += net.p["cb"][:, None]
-    every = np.arange(tokens)
-    found = x[of, every]
-    e, total, log = _softmax_of(x, float((limit * np.abs(net.p["c"]).sum(0) + np.abs(net.p["cb"])).max()))
-    found -= log
-    dh = None
-    if grad is not None:
-        e *= 1 / total
-        e[of, every] -= 1
-        grad["c"] += h @ e.T
-        grad["cb"] += e.sum(1)
-        dh = np.matmul(net.p["c"], e, out=work("dh", n, tokens, dtype))
-    most = limit * np.abs(net.p["o"]).sum(1) + np.abs(net.p["ob"])
-    at = np.flatnonzero(of < side)
-    at = at[np.argsort(of[at], kind="stable")]  # tokens of words of the vocabulary, class by class
-    known, of = len(at), of[at]
-    within, logs = target[at] % side, np.empty(known, dtype)
-    hk = np.take(h, at, axis=1, out=work("hk", n, known, h.dtype), mode="clip")
-    dk, x, own = work("dk", n, known + 1, dtype), work("words", side, known, dtype), every[:known]
+    limit = max(h[:, :tokens].max(initial=0), -h[:, :tokens].min(initial=0))
+    order = np.argsort(of, kind="stable")  # tokens class by class, those of other words last
+    of, every = of[order], np.arange(tokens)
     bounds = np.searchsorted(of, np.arange(side + 1)).tolist()
-    ranges = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if a < b]
+    known = bounds[side]
+    a = work.pick("ahead", h, order, 1)[:, :tokens]
+    a[n] = 1  # the biases are one more row of the weights
+    c, found, dh = np.vstack((net.p["c"], net.p["cb"])).T, np.empty(tokens, dtype), work("dh", n, tokens, dtype)
+    bound = float((limit * np.abs(net.p["c"]).sum(0) + np.abs(net.p["cb"])).max())
+    for begin in range(0, tokens, PART):
+        part = slice(begin, min(begin + PART, tokens))
+        m = part.stop - begin
+        x, of_part = np.matmul(c, a[:, part], out=work("classes", side + 1, m, dtype)[:, :m]), of[part]
+        logs = x[of_part, every[:m]]
+        e, total, log = _softmax_of(x, bound)
+        np.subtract(logs, log, out=found[part])
+        if grad is not None:
+            e *= 1 / total
+            e[of_part, every[:m]] -= 1
+            of_c = a[:, part] @ e.T
+            grad["c"] += of_c[:n]
+            grad["cb"] += of_c[n]
+            np.matmul(net.p["c"], e, out=dh[:, part])
+    most = limit * np.abs(net.p["o"]).sum(1) + np.abs(net.p["ob"])
+    own, of, ranges = every[:known], of[:known], [(k, slice(a, b)) for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if a < b]
+    within = target[order[:known]] % side
+    x, ak = work("words", side, known, dtype)[:, :known], a[:, :known]
+    o = np.concatenate((net.p["o"], net.p["ob"][:, None]), 1)
     if known <= FEW:  # too few tokens to go class by class
-        x[:] = np.matmul(hk.T[:, None], net.p["o"][of])[:, 0].T
-        x += net.p["ob"][of].T
+        x[:] = np.matmul(ak.T[:, None], o[of])[:, 0].T
     else:
         for k, part in ranges:
-            within_k = np.matmul(net.p["o"][k].T, hk[:, part], out=x[:, part])
-            within_k += net.p["ob"][k][:, None]
-    logs[:] = x[within, own]
+            np.matmul(o[k].T, a[:, part], out=x[:, part])
+    logs = x[within, own]
     e, total, log = _softmax_of(x, float(most.max()))
     logs -= log
+    found[:known] += logs
     if grad is not None:
         e *= 1 / total
         e[within, own] -= 1
         if known <= FEW:
-            np.add.at(grad["o"], of, hk.T[:, :, None] * e.T[:, None])
+            np.add.at(grad["o"], of, ak[:n].T[:, :, None] * e.T[:, None])
             np.add.at(grad["ob"], of, e.T)
-            dk[:, :known] = np.matmul(net.p["o"][of], e.T[:, :, None])[:, :, 0].T
+            dh[:, :known] += np.matmul(net.p["o"][of], e.T[:, :, None])[:, :, 0].T
         else:
+            dk = work("dk", n, known, dtype)[:, :known]
             for k, part in ranges:
-                grad["o"][k] += hk[:, part] @ e[:, part].T
-                grad["ob"][k] += e[:, part].sum(1)
+                of_o = a[:, part] @ e[:, part].T
+                grad["o"][k] += of_o[:n]
+                grad["ob"][k] += of_o[n]
                 np.matmul(net.p["o"][k], e[:, part], out=dk[:, part])
-    found[at] += logs
-    if grad is not None:
-        dk[:, known] = 0
-        back = np.full(tokens, known)
-        back[at] = every[:known]
-        dh += np.take(dk, back, axis=1, out=work("known", n, tokens, dtype), mode="clip")
-    return found, dh
+            dh[:, :known] += dk
+        place = np.empty(tokens, np.intp)
+        place[order] = every
+        dh = work.pick("of_h", dh, place)[:, :tokens]
+    out = np.empty(tokens, dtype)
+    out[order] = found
+    return out, None if grad is None else dh
 
 
 class Lanes:
@@ -274,35 +307,49 @@ def _flat(x: np.ndarray, live: list[int]) -> np.ndarray:
     return x.ravel() if live[-1] == x.shape[1] else x[np.arange(x.shape[1])[None] < np.array(live)[:, None]]
 
 
-def _run(net: Network, table: np.ndarray, source: np.ndarray, new: np.ndarray, live: list[int], h: np.ndarray, work: Workspace, keep: bool = False) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
-    """States after the steps of a window, a column for each token, whose inputs are columns of the table; with keep also each step's state before and what ``step`` gives."""
-    n, total, kind = HIDDEN, len(source), table.dtype
-    states, kept = work("states", n, total, kind), []
-    held, spare, m = work("kept", 1, 8 * n * (total if keep else live[0]), kind)[0], work("gates", 1, 3 * n * live[0], kind)[0], 0
-    begins, old = new.any(1).tolist(), (~new).astype(kind)
-    for t, at in enumerate(_columns(live)):
-        if keep or m != live[t]:  # what belongs to a step lies together
-            m = live[t]
-            own = held[8 * n * at.start : 8 * n * at.stop] if keep else held[: 8 * n * m]
-            own, gates = own.reshape(8 * n, m), spare[: 3 * n * m].reshape(3 * n, m)
-            before, into = own[:n], (own[n : 2 * n], own[2 * n : 4 * n], own[4 * n : 5 * n], own[5 * n :])
-        if begins[t]:
-            np.multiply(h[:, :m], old[t, :m], out=before)
+def _begins(new: np.ndarray, live: list[int]) -> list[np.ndarray]:
+    """At each step, the lanes that live and begin a text."""
+    step, lane = np.nonzero(new if live[-1] == new.shape[1] else new & (np.arange(new.shape[1]) < np.array(live)[:, None]))
+    ends = np.searchsorted(step, np.arange(len(live) + 1)).tolist()
+    return [lane[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def _run(net: Network, turned: np.ndarray, source: np.ndarray, begins: list[np.ndarray], live: list[int], h: np.ndarray, work: Workspace, keep: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """States after the steps of a window, a column for each token (and more columns), whose inputs are columns of the turned table.
+
+    With keep also, step after step, the state before, z, r, what the state adds to the candidate, and the candidate.
+    """
+    n, total, kind = HIDDEN, len(source), turned.dtype
+    states, cells = work("states", n, total, kind), work.flat("kept", 5 * n * (total if keep else 2 * live[0]), kind)
+    spare, m = work.flat("gates", 7 * n * live[0], kind), 0
+    for t, (at, begun) in enumerate(zip(_columns(live), begins, strict=True)):
+        place = 5 * n * (at.start if keep else t % 2 * live[0])
+        if same := m == live[t]:
+            own = after
         else:
+            m = live[t]
+            gates, u, last = spare[: 3 * n * m].reshape(3 * n, m), spare[3 * n * m : 6 * n * m].reshape(3 * n, m), spare[6 * n * m : 7 * n * m].reshape(n, m)
+            own = cells[place : place + 5 * n * m].reshape(5 * n, m)  # what belongs to a step lies together
+        before = own[:n]
+        if not same:
             before[:] = h[:, :m]
-        table.take(source[at], axis=1, out=gates, mode="clip")
-        h = net.step(gates, before, into)[0]
+        if len(begun):
+            before[:, begun] = 0
+        if t + 1 < len(live) and live[t + 1] == m:  # the next state is where the next step looks for it
+            after = cells[5 * n * (at.stop if keep else (t + 1) % 2 * live[0]) :][: 5 * n * m].reshape(5 * n, m)
+            new = after[:n]
+        else:
+            new = last
+        turned.take(source[at], axis=1, out=gates, mode="clip")
+        h = net.step_into(gates, before, (new, own[n : 3 * n], own[3 * n : 4 * n], own[4 * n :], u))[0]
         states[:, at] = h
-        if keep:
-            kept.append((before, *into))
-    return states, kept
+    return states, cells
 
 
 def _window(net: Network, source: np.ndarray, target: np.ndarray, new: np.ndarray, live: list[int], h: np.ndarray, grad: dict[str, np.ndarray], work: Workspace | None = None) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
     """Adds the gradients of a window of lanes to grad; gives the state after it, and the words of w in use with their gradients."""
     work = work or Workspace()
-    n, kind, begins = HIDDEN, net.p["w"].dtype, new.any(1).tolist()
-    old = (~new).astype(kind)
+    n, kind, begins = HIDDEN, net.p["w"].dtype, _begins(new, live)
     source, target = _flat(source, live), _flat(target, live)
     total = len(source)
     order = np.argsort(source.astype(np.uint16), kind="stable")
@@ -311,47 +358,56 @@ def _window(net: Network, source: np.ndarray, target: np.ndarray, new: np.ndarra
     starts = np.flatnonzero(first)
     used, place = ordered[starts], np.empty(total, np.intp)  # the words in use, and which of them each input is
     place[order] = np.cumsum(first) - 1
-    states, kept = _run(net, np.ascontiguousarray(net.p["w"][used].T), place, new, live, h, work, True)
+    states, cells = _run(net, _turned(net.p["w"][used].T), place, begins, live, h, work, True)
     _, back = log_probabilities(net, states, target, grad, work)
     of_gates, carry = work("of_gates", 3 * n, total, kind), np.zeros((n, 0), kind)
     weights, of_u = np.roll(net.p["u"], n, axis=1), np.zeros((n, 3 * n), kind)
-    spare, m = work("spare", 1, 7 * n * live[0], kind)[0], 0
-    for t, at in reversed([*enumerate(_columns(live))]):
-        before, _, zr, cand, u = kept[t]
-        z, r = zr[:n], zr[n:]
-        if m != live[t]:
-            m = live[t]
-            own = spare[: 7 * n * m].reshape(7 * n, m)
-            of_un, of_z, of_r, of_c, d, rest, fall = (own[i : i + n] for i in range(0, 7 * n, n))
-        d[:] = back[:, at]
-        d[:, : carry.shape[1]] += carry
+    columns, stop = _columns(live), len(live)
+    while stop:  # some steps of as many lanes, from the last ones on
+        m, start = live[stop - 1], stop - 1
+        while start and live[start - 1] == m and stop - start < STEPS:
+            start -= 1
+        k, at = stop - start, slice(columns[start].start, columns[stop - 1].stop)
+        before, z, r, added, cand = cells[5 * n * at.start : 5 * n * at.stop].reshape(k, 5, n, m).swapaxes(0, 1)
+        own = work.flat("own", 4 * k * n * m, kind).reshape(k, 4, n, m)  # of a step: what the gradient of its state is multiplied by
+        of_un, of_z, of_r, of_c = own.swapaxes(0, 1)
+        rest, spare = work.flat("rest", k * n * m, kind).reshape(k, n, m), work.flat("spare", 2 * n * m, kind).reshape(2, n, m)
         np.subtract(1, z, out=rest)
-        np.multiply(cand, cand, out=fall)
-        np.subtract(1, fall, out=fall)
-        fall *= rest
-        np.multiply(d, fall, out=of_c)
+        np.multiply(cand, cand, out=of_c)
+        np.subtract(1, of_c, out=of_c)
+        of_c *= rest
         np.subtract(before, cand, out=of_z)
         of_z *= z
         of_z *= rest
-        of_z *= d
         np.multiply(of_c, r, out=of_un)  # what the state adds to the candidate goes through r
         np.subtract(1, r, out=of_r)
-        of_r *= u[2 * n :]
-        of_r *= of_un
-        carry = weights @ own[: 3 * n]
-        of_u += before @ own[: 3 * n].T
-        d *= z
-        carry += d
-        if begins[t]:  # what came before is another text
-            carry *= old[t, :m]
-        of_gates[:, at] = own[n : 4 * n]
+        of_r *= added
+        of_r *= of_c
+        by_step, d = own.reshape(k, 4 * n, m), spare[0]
+        for t in range(stop - 1, start - 1, -1):
+            if carry.shape[1] == m:
+                np.add(back[:, columns[t]], carry, out=d)
+            else:
+                d[:] = back[:, columns[t]]
+                d[:, : carry.shape[1]] += carry
+            own[t - start] *= d
+            carry = np.matmul(weights, by_step[t - start, : 3 * n], out=spare[1])
+            d *= z[t - start]
+            carry += d
+            if len(begins[t]):  # what came before is another text
+                carry[:, begins[t]] = 0
+        if start and live[start - 1] != m:
+            carry = carry.copy()  # its place is for other lanes
+        of_u += np.matmul(before, by_step[:, : 3 * n].swapaxes(1, 2)).sum(0)
+        of_gates[:, at].reshape(3 * n, k, m)[:] = by_step[:, n:].swapaxes(0, 1)
+        stop = start
     grad["u"] += np.roll(of_u, -n, axis=1)
     few, dw = len(used) - 1, np.empty((len(used), 3 * n), kind)  # the last word mostly stands for all others: its inputs are added up where they are
     if few:
-        some = np.take(of_gates, order[: starts[few]], axis=1, out=work("some", 3 * n, int(starts[few]), kind), mode="clip")
+        some = work.pick("some", of_gates, order[: starts[few]])[:, : starts[few]]
         dw[:few] = np.add.reduceat(some, starts[:few], axis=1).T
-    dw[few] = of_gates @ (place == few).astype(kind)
-    return states[:, total - live[-1] :].copy(), (used, dw)
+    dw[few] = of_gates[:, :total] @ (place == few).astype(kind)
+    return states[:, total - live[-1] : total].copy(), (used, dw)
 
 
 def train_lanes(net: Network, texts: list[np.ndarray], rate: float = 0.05, memory: dict[str, np.ndarray] | None = None, lanes: int = TOGETHER, seed: int = 7) -> int:
@@ -434,12 +490,13 @@ def train_network(texts: DataFrame, net: Network, rounds: int = 2, fan_in: int =
 def log_scores(net: Network, texts: list[np.ndarray], lanes: int = STREAMS) -> np.ndarray:
     """log10 probability of each whole text's ids by the network, all words outside its vocabulary as one; the state is carried to its end."""
     out, h, work = np.zeros(len(texts)), np.zeros((HIDDEN, lanes), np.float32), Workspace()
-    table = np.ascontiguousarray(net.p["w"].T)
+    turned = _turned(net.p["w"].T)
     for source, target, new, own, live in Lanes(texts, lanes).windows(0):
-        states = _run(net, table, _flat(source, live), new, live, h, work)[0]
+        total = sum(live)
+        states = _run(net, turned, _flat(source, live), _begins(new, live), live, h, work)[0]
         got, _ = log_probabilities(net, states, _flat(target, live), None, work)
         out += np.bincount(_flat(own, live), got, len(texts))
-        h = states[:, states.shape[1] - live[-1] :].copy()
+        h = states[:, total - live[-1] : total].copy()
     return out / math.log(10)
 
 
@@ -553,7 +610,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     columns = ["row", "doc_id", "held_out", "n_tokens", "n_known", "n_rest", "logs", "rest_logs"]
     scored = encoded.select(*columns, "ids").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, n_rest long, logs double, rest_logs double, net double")
-    found = encoded.select("row", F.explode("rare").alias("word")).join(counts, "word")
+    rare, known, parts = encoded.select("row", F.explode("rare").alias("word")), counts, -(-distinct // JOINED)
+    if parts > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        rare, known = (x.repartition(parts, "word") for x in (rare, known))
+    found = rare.join(known.hint("shuffle_hash"), "word")  # looked up: to sort words took half of the JVM's time
     found = found.groupBy("row").agg(F.sum(F.log10(F.col("c") + 1)).alias("rare_logs"), F.count("*").alias("rare_known"))
     scored = scored.join(found, "row", "left").withColumn("rare_logs", F.coalesce("rare_logs", F.lit(0.0)))
     base = math.log10(tokens + distinct + 1)

@@ -429,3 +429,15 @@ def test_count_of_the_end_beside_many_words_of_its_level(spark, monkeypatch):
     held = next(i for i in range(100) if remainder(i, 7) == 2)
     rows = [(train, " ".join(f"w{j}" for j in range(100))), (held, "w1 w2 elsewhere")]
     compare(lm.score(frame(spark, [(*r, None) for r in rows])).collect(), rows)
+
+
+@pytest.mark.parametrize("joined", [1 << 20, 50])
+def test_rare_words_are_looked_up(documents, monkeypatch, joined):
+    """Their join sorts no words, in tasks whose number grows with that of distinct words."""
+    monkeypatch.setattr(lm, "COMMON", 1500)
+    monkeypatch.setattr(lm, "JOINED", joined, raising=False)
+    got = lm.score(documents.repartition(3))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"ShuffledHashJoin \[word#", plan) and not re.search(r"SortMergeJoin \[word#", plan)
+    assert ("REPARTITION_BY_NUM" in plan) == (joined == 50)
+    compare(got.collect(), [(r["doc_id"], r["text"]) for r in documents.collect()])
