@@ -31,17 +31,19 @@ HIDDEN = 16
 #: Network training reads whole texts in TOGETHER lanes, with state carried over windows of so many tokens.
 WINDOW, TOGETHER = 32, 256
 #: Texts scored side by side, tokens of one span of their steps, and tokens gathered before they are scored.
-STREAMS, SPAN, HELD_TOKENS = 512, 16384, 4_000_000
+STREAMS, SPAN, HELD_TOKENS = 256, 16384, 4_000_000
 #: Words of so many bytes, with their lengths, are counted together.
 GATHERED_BYTES = 48 << 20
 #: Up to so many tokens, words of all classes are looked at in one step.
 FEW = 64
 #: Tokens whose classes are looked at together, for the same cache.
-PART = 2048
+PART = 4096
+#: Bytes that are asked of the system at once: such blocks get large pages where small ones don't.
+BLOCK = 16 << 20
 #: Columns that lie beside those of a matrix.
 PAD = 16
 #: Steps whose factors of the gradient are made together: they stay in a core's own cache.
-STEPS = 4
+STEPS = 8
 _ENCODED = {"row": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "n_rest": pa.int64(), "logs": pa.float64(), "rest_logs": pa.float64(), "rare": pa.list_(pa.binary()), "ids": pa.binary()}
 
 
@@ -81,12 +83,22 @@ class Workspace:
 
     def __init__(self) -> None:
         self.held: dict[str, np.ndarray] = {}
+        self.left = np.empty(0, np.uint8)
+
+    def _new(self, size: int) -> np.ndarray:
+        """So many bytes of a block, or more than a block."""
+        if (size := -(-size // 64) * 64 + 7 * 64) > len(self.left):  # arrays begin at places of their own within pages
+            block = np.empty(max(size, BLOCK) + 4096, np.uint8)
+            self.left = block[-block.ctypes.data % 4096 :]
+        found, self.left = self.left[:size], self.left[size:]
+        return found
 
     def flat(self, name: str, size: int, kind: np.dtype) -> np.ndarray:
         """So many entries with any values in them."""
         found = self.held.get(name)
         if found is None or len(found) < size or found.dtype != kind:
-            found = self.held[name] = np.empty(size, kind)
+            itemsize = np.dtype(kind).itemsize
+            found = self.held[name] = self._new(size * itemsize)[: size * itemsize].view(kind)
         return found[:size]
 
     def __call__(self, name: str, rows: int, columns: int, kind: np.dtype) -> np.ndarray:
@@ -116,20 +128,21 @@ class Network:
         return len(self.p["ob"])
 
     def step(self, gates: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The next state, the gates z and r of the step (one above the other), what the state adds to the candidate, the candidate, and what the state adds to all three before r."""
+        """The next state, the gates z and r of the step (one above the other), what the state adds to the candidate, and the candidate."""
         kind = np.result_type(gates, h)
-        return self.step_into(_turned(gates), h, tuple(np.empty((rows * HIDDEN, h.shape[1]), kind) for rows in (1, 2, 1, 1, 3)))
+        return self.step_into(_turned(gates), h, tuple(np.empty((rows * HIDDEN, h.shape[1]), kind) for rows in (1, 2, 1, 1)))
 
     def step_into(self, turned: np.ndarray, h: np.ndarray, into: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
         """What ``step`` gives, in ``into``; of the inputs, those of z and r have the other sign."""
         n = HIDDEN
-        new, zr, added, c, u = into
-        np.matmul(self.p["u"].T, h, out=u)
-        np.subtract(turned[: 2 * n], u[: 2 * n], out=zr)
+        new, zr, added, c = into
+        np.matmul(self.p["u"][:, : 2 * n].T, h, out=zr)
+        np.subtract(turned[: 2 * n], zr, out=zr)
         np.exp(zr, out=zr)
         zr += 1
         np.reciprocal(zr, out=zr)
-        np.multiply(zr[n:], u[2 * n :], out=added)
+        np.matmul(self.p["u"][:, 2 * n :].T, h, out=added)
+        added *= zr[n:]
         np.add(added, turned[2 * n :], out=c)
         np.tanh(c, out=c)
         np.subtract(h, c, out=new)
@@ -198,24 +211,28 @@ def log_probabilities(net: Network, h: np.ndarray, target: np.ndarray, grad: dic
     known = bounds[side]
     a = work.pick("ahead", h, order, 1)[:, :tokens]
     a[n] = 1  # the biases are one more row of the weights
+    ranges = [(k, a, b) for k, (a, b) in enumerate(zip(bounds, [*bounds[1:], tokens], strict=True)) if a < b]
     c, found, dh = np.vstack((net.p["c"], net.p["cb"])).T, np.empty(tokens, dtype), work("dh", n, tokens, dtype)
     bound = float((limit * np.abs(net.p["c"]).sum(0) + np.abs(net.p["cb"])).max())
     for begin in range(0, tokens, PART):
         part = slice(begin, min(begin + PART, tokens))
         m = part.stop - begin
-        x, of_part = np.matmul(c, a[:, part], out=work("classes", side + 1, m, dtype)[:, :m]), of[part]
-        logs = x[of_part, every[:m]]
+        x, logs = np.matmul(c, a[:, part], out=work("classes", side + 1, m, dtype)[:, :m]), found[part]
+        here = [(k, slice(max(a - begin, 0), b - begin)) for k, a, b in ranges if a < part.stop and b > begin]
+        for k, at in here:
+            logs[at] = x[k, at]
         e, total, log = _softmax_of(x, bound)
-        np.subtract(logs, log, out=found[part])
+        logs -= log
         if grad is not None:
             e *= 1 / total
-            e[of_part, every[:m]] -= 1
+            for k, at in here:
+                e[k, at] -= 1
             of_c = a[:, part] @ e.T
             grad["c"] += of_c[:n]
             grad["cb"] += of_c[n]
             np.matmul(net.p["c"], e, out=dh[:, part])
     most = limit * np.abs(net.p["o"]).sum(1) + np.abs(net.p["ob"])
-    own, of, ranges = every[:known], of[:known], [(k, slice(a, b)) for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if a < b]
+    own, of, ranges = every[:known], of[:known], [(k, slice(a, b)) for k, a, b in ranges if k < side]
     within = target[order[:known]] % side
     x, ak = work("words", side, known, dtype)[:, :known], a[:, :known]
     o = np.concatenate((net.p["o"], net.p["ob"][:, None]), 1)
@@ -236,12 +253,12 @@ def log_probabilities(net: Network, h: np.ndarray, target: np.ndarray, grad: dic
             np.add.at(grad["ob"], of, e.T)
             dh[:, :known] += np.matmul(net.p["o"][of], e.T[:, :, None])[:, :, 0].T
         else:
-            dk = work("dk", n, known, dtype)[:, :known]
+            dk, of_o = work("dk", n, known, dtype)[:, :known], np.zeros_like(o)
             for k, part in ranges:
-                of_o = a[:, part] @ e[:, part].T
-                grad["o"][k] += of_o[:n]
-                grad["ob"][k] += of_o[n]
+                np.matmul(a[:, part], e[:, part].T, out=of_o[k])
                 np.matmul(net.p["o"][k], e[:, part], out=dk[:, part])
+            grad["o"] += of_o[:, :n]
+            grad["ob"] += of_o[:, n]
             dh[:, :known] += dk
         place = np.empty(tokens, np.intp)
         place[order] = every
@@ -321,14 +338,14 @@ def _run(net: Network, turned: np.ndarray, source: np.ndarray, begins: list[np.n
     """
     n, total, kind = HIDDEN, len(source), turned.dtype
     states, cells = work("states", n, total, kind), work.flat("kept", 5 * n * (total if keep else 2 * live[0]), kind)
-    spare, m = work.flat("gates", 7 * n * live[0], kind), 0
+    spare, m = work.flat("gates", 4 * n * live[0], kind), 0
     for t, (at, begun) in enumerate(zip(_columns(live), begins, strict=True)):
         place = 5 * n * (at.start if keep else t % 2 * live[0])
         if same := m == live[t]:
             own = after
         else:
             m = live[t]
-            gates, u, last = spare[: 3 * n * m].reshape(3 * n, m), spare[3 * n * m : 6 * n * m].reshape(3 * n, m), spare[6 * n * m : 7 * n * m].reshape(n, m)
+            gates, last = spare[: 3 * n * m].reshape(3 * n, m), spare[3 * n * m : 4 * n * m].reshape(n, m)
             own = cells[place : place + 5 * n * m].reshape(5 * n, m)  # what belongs to a step lies together
         before = own[:n]
         if not same:
@@ -341,7 +358,7 @@ def _run(net: Network, turned: np.ndarray, source: np.ndarray, begins: list[np.n
         else:
             new = last
         turned.take(source[at], axis=1, out=gates, mode="clip")
-        h = net.step_into(gates, before, (new, own[n : 3 * n], own[3 * n : 4 * n], own[4 * n :], u))[0]
+        h = net.step_into(gates, before, (new, own[n : 3 * n], own[3 * n : 4 * n], own[4 * n :]))[0]
         states[:, at] = h
     return states, cells
 

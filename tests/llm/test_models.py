@@ -404,6 +404,21 @@ def test_training_takes_its_memory_once():
     assert resource.getrusage(resource.RUSAGE_SELF).ru_minflt - begun < 20 * 600
 
 
+def test_workspace_lies_in_one_block():
+    """Arrays of a training window lie side by side in memory that may have large pages, and don't overlap."""
+    work = lm.Workspace()
+    net = lm.fresh(np.arange(VOCABULARY, 0, -1).astype(float), 50)
+    rng = np.random.default_rng(8)
+    texts = [rng.integers(0, VOCABULARY + 1, lm.WINDOW).astype(np.uint16) for _ in range(lm.TOGETHER)]
+    source, target, new, _, live = next(lm.Lanes(texts, lm.TOGETHER).windows(0, lm.WINDOW))
+    grad = {k: np.zeros_like(v) for k, v in net.p.items() if k != "w"}
+    lm._window(net, source, target, new, live, np.zeros((lm.HIDDEN, lm.TOGETHER), np.float32), grad, work)
+    places = sorted((x.ctypes.data, x.ctypes.data + x.nbytes) for x in work.held.values())
+    assert len(places) > 8 and places[-1][1] - places[0][0] <= lm.BLOCK
+    assert all(a[1] <= b[0] for a, b in zip(places, places[1:], strict=False))
+    assert len(work.flat("large", lm.BLOCK, np.float32)) == lm.BLOCK and not len(work.flat("none", 0, np.float32))
+
+
 def test_words_in_bulk():
     """They are those of each text alone, for all bytes, without a Python object for each."""
     import pyarrow as pa
